@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table, written
+from .shared import checked, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -64,9 +64,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     d = d.select("row", F.col(f"row.`{source_col}`").alias("source"), words_of(F.col(f"row.`{text_col}`")).alias("size"))
     rates = source_rates(docs.select(F.col(f"`{source_col}`").alias("source"), words_of(F.col(f"`{text_col}`")).alias("size")), weights, most)
-    rates, _ = written(rates.withColumnRenamed("source", "its"), "rates")
-    if rates.count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
+    rates = checked(rates.withColumnRenamed("source", "its"), "rates", BROADCAST_SOURCES)
     whole = F.floor("rate")
     copies = whole + (draw(F.col(f"row.`{id_col}`"), seed) < F.col("rate") - whole).cast("long")
     return d.join(rates, d["source"].eqNullSafe(rates["its"]), "left").select("row", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))

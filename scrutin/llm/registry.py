@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .caps import OP2_SQL, op2_caps
 from .mixing import OP4_SQL, op4_mixing
+from .simhash import op6_simhash
 
-QUERIES = {"op4_mixing": op4_mixing}
-SQL = {"op4_mixing": OP4_SQL}
+QUERIES = {"op2_caps": op2_caps, "op4_mixing": op4_mixing, "op6_simhash": op6_simhash}
+SQL = {"op2_caps": OP2_SQL, "op4_mixing": OP4_SQL}

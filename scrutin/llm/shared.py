@@ -36,6 +36,12 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def checked(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
+    """df as a written table; one of at most `rows` (narrow) rows is sent to every executor, a larger one is shuffled."""
+    df, _ = written(df, name)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
