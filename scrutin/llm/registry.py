@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from .caps import OP2_SQL, op2_caps
 from .mixing import OP4_SQL, op4_mixing
+from .packing import op10_packing
+from .pii import op7_pii
+from .quality import op5_quality
+from .secrets import op9_secrets
 from .simhash import op6_simhash
+from .tokens import op1_tokens
+from .topk import OP3_SQL, op3_topk
+from .toxicity import op8_toxicity
 
-QUERIES = {"op2_caps": op2_caps, "op4_mixing": op4_mixing, "op6_simhash": op6_simhash}
-SQL = {"op2_caps": OP2_SQL, "op4_mixing": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_tokens, op2_caps, op3_topk, op4_mixing, op5_quality, op6_simhash, op7_pii, op8_toxicity, op9_secrets, op10_packing)}
+#: The others are beyond SQL (trees, tries, fingerprints, positions in code points) and are tested by brute force.
+SQL = {"op2_caps": OP2_SQL, "op3_topk": OP3_SQL, "op4_mixing": OP4_SQL}
