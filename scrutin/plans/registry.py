@@ -1,4 +1,7 @@
 """Queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
