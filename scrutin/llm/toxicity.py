@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is logistic in its words; the document's is their noisy-or,
-1 - prod(1 - s), so that one offending sentence is enough. Only documents are labelled; the weights are fitted through
+A document is a bag of sentences. A sentence's score is logistic in its telling words (0 without one); the document's is
+their noisy-or, 1 - prod(1 - s), so that one offending sentence is enough. Only documents are labelled; the weights are fitted through
 the noisy-or, and the fitted sentence scores then locate the offending sentences."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,17 +22,23 @@ from .shared import table
 
 #: The fit reads at most about this many labelled documents, chosen by a hash of their id.
 MOST_TRAINING = 6_000
-#: A word is learned if at least so many sampled documents hold it.
+#: A word is learned if at least so many sampled documents hold it, and it tells more than chance does, less SLACK.
 LEAST_DOCUMENTS = 3
-STEPS, PENALTY = 120, 2e-3
+SLACK = 4.0
+STEPS, PENALTY = 200, 0.02
 OFFENDING = 0.5
 
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)")
 WORD = re.compile(r"\w+")
 
 
-def words_of(sentence: str) -> list[str]:
-    return WORD.findall(sentence.lower())
+STEM = 4
+
+
+def words_of(sentence: str) -> set[str]:
+    """A sentence's distinct words, and the beginnings of longer ones, which inflected forms share."""
+    words = set(WORD.findall(sentence.lower()))
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
 
 
 @dataclass
@@ -42,41 +50,60 @@ class Model:
         """(start, end, score) of each sentence in code points; those of equal words have equal scores."""
         get, out = self.weight.get, []
         for m in SENTENCE.finditer(text or ""):
-            z = self.bias + sum(get(w, 0.0) for w in set(words_of(m[0])))
-            out.append((m.start(), m.end(), 1 / (1 + np.exp(-min(40.0, max(-40.0, z))))))
+            told = [x for w in words_of(m[0]) if (x := get(w)) is not None]
+            score = 1 / (1 + math.exp(-min(40.0, max(-40.0, self.bias + sum(sorted(told)))))) if told else 0.0
+            out.append((m.start(), m.end(), score))
         return out
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's noisy-or (no sentence: 0) and its offending sentences, by start."""
-        scored = self.sentence_scores(text)
-        p = -np.expm1(sum(np.log1p(-min(s, 1 - 1e-12)) for _, _, s in scored)) if scored else 0.0
-        return float(p), [s for s in scored if s[2] >= OFFENDING]
+        scored = [s for s in self.sentence_scores(text) if s[2]]
+        return -math.expm1(math.fsum(math.log1p(-min(s, 1 - 1e-12)) for _, _, s in scored)), [s for s in scored if s[2] >= OFFENDING]
+
+
+def telling_words(held: list[set[str]], labels: np.ndarray) -> list[str]:
+    """Words that toxic documents hold oftener than chance explains: the log-likelihood ratio of the word against the
+    label has to exceed what the best of all the words would reach by chance, less SLACK. A noisy-or has no use for words
+    that speak against an offence, and thousands of rare words would only let it memorise."""
+    often, bad = Counter(), Counter()
+    for words, label in zip(held, labels):
+        often.update(words)
+        if label == 1:
+            bad.update(words)
+    n, positive = len(held), float(labels.sum())
+    out = []
+    least = 2 * math.log(max(2, sum(c >= LEAST_DOCUMENTS for c in often.values()))) - SLACK
+    for w, c in often.items():
+        k = bad[w]
+        if c < LEAST_DOCUMENTS or k * n <= c * positive:
+            continue
+        cells = ((k, c * positive / n), (c - k, c * (n - positive) / n), (positive - k, (n - c) * positive / n), (n - positive - c + k, (n - c) * (n - positive) / n))
+        if 2 * sum(a * math.log(a / b) for a, b in cells if a > 0) >= least:
+            out.append(w)
+    return sorted(out)
 
 
 def train(texts: list[str | None], labels: np.ndarray) -> Model:
-    """Full-batch Adam on the cross-entropy of the noisy-or, with an L2 penalty on the words' weights. No labels or one
-    class only: no weights, and a bias that scores every sentence near zero or one alike."""
-    bags = [[sorted(set(words_of(m[0]))) for m in SENTENCE.finditer(t or "")] for t in texts]
-    often: dict[str, int] = {}
-    for bag in bags:
-        for w in {w for s in bag for w in s}:
-            often[w] = often.get(w, 0) + 1
-    known = {w: i for i, w in enumerate(sorted(w for w, n in often.items() if n >= LEAST_DOCUMENTS))}
+    """Full-batch Adam on the cross-entropy of the noisy-or, with an L2 penalty on the words' weights. No labels, one
+    class only or no telling words: no weights, every score is 0."""
+    bags = [[sorted(words_of(m[0])) for m in SENTENCE.finditer(t or "")] for t in texts]
+    known = {w: i for i, w in enumerate(telling_words([{w for s in bag for w in s} for bag in bags], labels))}
     if not len(labels) or labels.min() == labels.max() or not known:
-        return Model({}, 6.0 if len(labels) and labels.min() == 1 else -6.0)
+        return Model({}, 0.0)
     ids, sentence_at, doc_at = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
             own = [known[w] for w in s if w in known]
-            ids += own
-            sentence_at += [len(doc_at)] * len(own)
-            doc_at.append(d)
+            if own:
+                ids += own
+                sentence_at += [len(doc_at)] * len(own)
+                doc_at.append(d)
     ids, sentence_at, doc_at = np.array(ids, np.int32), np.array(sentence_at, np.int32), np.array(doc_at, np.int32)
     n, sentences = len(bags), len(doc_at)
     share = np.clip(labels.mean(), 0.01, 0.99)
-    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     theta = np.zeros(len(known) + 1)
-    theta[-1] = np.log(0.05)
+    theta[-1] = -1.0
     m, v, rate = np.zeros_like(theta), np.zeros_like(theta), 0.15
     for step in range(1, STEPS + 1):
         z = theta[-1] + np.bincount(sentence_at, weights=theta[ids], minlength=sentences)
@@ -87,7 +114,7 @@ def train(texts: list[str | None], labels: np.ndarray) -> Model:
         up = balance * np.where(labels == 1, (1 - p) / p, -1.0) / n
         dz = -up[doc_at] * s
         grad = np.append(np.bincount(ids, weights=dz[sentence_at], minlength=len(known)), dz.sum())
-        grad[:-1] += PENALTY * theta[:-1] / n * 10
+        grad[:-1] += PENALTY * theta[:-1] / n
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         rate *= 0.99
@@ -123,8 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """(id_col, held_out, score, predicted, offending), a row for each row; after the fit it is map-only.
 
     The score reads the text alone. A null or empty text has no sentence: score 0. Null ids are scored and never learned
-    from; repeated rows each get their row. Without labels of both classes all sentences score alike, near 0 (or near 1,
-    if all labels are 1)."""
+    from; repeated rows each get their row. Without labels of both classes nothing is learned and every score is 0."""
     model = fit(docs, labels, folds=folds, fold=fold, most=most, id_col=id_col, text_col=text_col)
     out = docs.select(F.col(f"`{id_col}`").alias(id_col), score_of(model, F.col(f"`{text_col}`")).alias("r"))
     out = out.select(id_col, F.col("r.score").alias("score"), F.col("r.offending").alias("offending"))

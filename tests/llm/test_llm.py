@@ -272,9 +272,13 @@ def test_forest_matches_plain_traversal():
 
 
 def test_offending_sentences_are_located():
-    clean = ["the sun is out. birds sing here.", "rain falls down. people walk on."] * 20
-    bad = ["the sun is out. you utter moron go. birds sing here."] * 20
-    model = toxicity.train(clean + bad, np.array([0.0] * 40 + [1.0] * 20))
+    rng = random.Random(8)
+    plain = ["sun", "rain", "birds", "people", "walk", "sing", "fall", "out", "down", "on", "the", "a"]
+    made = lambda: " ".join(rng.choices(plain, k=6)) + "."
+    clean = [" ".join(made() for _ in range(8)) for _ in range(160)]
+    bad = [" ".join([made(), "what " + rng.choice(("moron", "idiot")) + " " + made(), *(made() for _ in range(6))]) for _ in range(60)]
+    bad = [b.replace("what ", rng.choice(plain) + " ") for b in bad]
+    model = toxicity.train(clean + bad, np.array([0.0] * 160 + [1.0] * 60))
     p, found = model.score("rain falls down. what a moron sings! birds sing here.")
     assert p > 0.5 and [(a, b) for a, b, _ in found] == [(16, 36)]
     assert model.score("birds sing here. rain falls down.")[0] < 0.5 and model.score(None) == (0.0, [])
