@@ -41,32 +41,34 @@ def classify_responses(rows: DataFrame) -> DataFrame:
     In order: 429, a transport error, no response, HTTP errors, an unusable body, a known status text, an unknown one, an
     empty one. The body's shape comes first: empty objects, arrays and scalars are unparseable, a filled array or a
     non-zero scalar is a worker error, and a present null reads as "None"."""
-    v = F.try_parse_json("body")
-    shape = F.schema_of_variant(v)
-    is_object = shape.startswith("OBJECT<")
-    text = F.try_variant_get(v, "$.vigencia", "string")
-    raw = F.when(is_object, F.when(text.isNull() & shape.rlike(r"[<\s]`?vigencia`?: VOID"), "None").otherwise(text))
-    local = F.when(F.col("http_status") == 429, "RATE_LIMITED").otherwise(non_empty(F.col("transport_error")))
-    falsy = v.isNull() | shape.isin("OBJECT<>", "ARRAY<VOID>", "VOID") | ~is_object & ~shape.startswith("ARRAY<") & strip(F.col("body")).isin("0", "0.0", "-0", "false", '""')
-    clean = strip(F.coalesce(raw, F.lit("")))
-    known = F.create_map(*[F.lit(x) for pair in CLASS_OF.items() for x in pair])
-    cls = F.try_element_at(known, clean)
+    # A select for each step: what several later expressions use is computed once and generated code stays small.
     s = F.col("http_status")
-    error = (
-        F.when(local.isNotNull(), local)
-        .when(s == 0, "SIN_RESPUESTA")
-        .when(s >= 400, F.concat(F.lit("HTTP_"), s.cast("string")))
-        .when(falsy, "JSON_PARSE")
-        .when(~is_object, "WORKER")
-        .when(cls.isNotNull(), "")
-        .when(clean != "", "VIGENCIA_NO_MAPEADA")
-        .otherwise("RESPUESTA_VACIA")
-    )
-    label = F.when(F.col("error") == "", F.col("known")).when(F.col("error") == "VIGENCIA_NO_MAPEADA", "DESCONOCIDO").otherwise("ERROR")
-    field = lambda k: F.coalesce(F.when(is_object, F.try_variant_get(v, f"$.{k}", "string")), F.lit(""))
-    out = rows.withColumns({"error": error, "known": cls, "vigencia_raw": F.coalesce(raw, F.lit("")), "codigo": field("codigo"), "fecha_consulta": field("fecha")})
-    failed = non_empty(F.col("transport_error")).isNotNull() | (s == 429) | (s == 0) | (s >= 500)
-    return out.withColumns({"clasificacion": label, "failed": F.coalesce(failed, F.lit(False))}).drop("known")
+    r = rows.withColumn("_v", F.try_parse_json("body"))
+    r = r.withColumns({"_shape": F.schema_of_variant("_v"), "_text": F.try_variant_get("_v", "$.vigencia", "string"), "_code": F.try_variant_get("_v", "$.codigo", "string"), "_date": F.try_variant_get("_v", "$.fecha", "string")})
+    shape = F.col("_shape")
+    r = r.withColumn("_object", F.coalesce(shape.startswith("OBJECT<"), F.lit(False)))
+    none = F.col("_text").isNull() & shape.rlike(r"[<\s]`?vigencia`?: VOID")
+    zero = ~F.col("_object") & ~shape.startswith("ARRAY<") & strip(F.col("body")).isin("0", "0.0", "-0", "false", '""')
+    r = r.withColumns({
+        "vigencia_raw": F.coalesce(F.when(F.col("_object"), F.when(none, "None").otherwise(F.col("_text"))), F.lit("")),
+        "_falsy": shape.isNull() | shape.isin("OBJECT<>", "ARRAY<VOID>", "VOID") | zero,
+        "_local": F.when(s == 429, "RATE_LIMITED").otherwise(non_empty(F.col("transport_error"))),
+        "codigo": F.coalesce(F.when(F.col("_object"), F.col("_code")), F.lit("")),
+        "fecha_consulta": F.coalesce(F.when(F.col("_object"), F.col("_date")), F.lit("")),
+        "failed": F.coalesce(non_empty(F.col("transport_error")).isNotNull() | (s == 429) | (s == 0) | (s >= 500), F.lit(False)),
+    })
+    r = r.withColumn("_clean", strip(F.col("vigencia_raw")))
+    known = F.create_map(*[F.lit(x) for pair in CLASS_OF.items() for x in pair])
+    r = r.withColumn("_known", F.try_element_at(known, F.col("_clean")))
+    known_text = F.col("_known")
+    rule = F.when(F.col("_local").isNotNull(), 1).when(s == 0, 2).when(s >= 400, 3).when(F.col("_falsy"), 4).when(~F.col("_object"), 5)
+    rule = rule.when(known_text.isNotNull(), 6).when(F.col("_clean") != "", 7).otherwise(8)
+    # Arrays by the rule's number: a filter on the class that is pushed down repeats the rule once, not once for each case.
+    errors = F.array(F.col("_local"), F.lit("SIN_RESPUESTA"), F.concat(F.lit("HTTP_"), s.cast("string")), F.lit("JSON_PARSE"), F.lit("WORKER"), F.lit(""), F.lit("VIGENCIA_NO_MAPEADA"), F.lit("RESPUESTA_VACIA"))
+    labels = F.array(*[F.lit("ERROR")] * 5, known_text, F.lit("DESCONOCIDO"), F.lit("ERROR"))
+    r = r.withColumn("_rule", rule)
+    r = r.withColumns({"error": F.element_at(errors, F.col("_rule")), "clasificacion": F.element_at(labels, F.col("_rule"))})
+    return r.drop(*[c for c in r.columns if c.startswith("_")])
 
 
 def as_text(rows: DataFrame) -> DataFrame:
