@@ -84,9 +84,9 @@ def combined_profile(names: DataFrame, status: DataFrame, key: str) -> DataFrame
 def capped(rows: DataFrame, by: str, caps: dict[str, int], order: tuple[str, ...]) -> DataFrame:
     """The first rows of each class up to its cap, with `place` and `more` (how many the cap left out).
 
-    A rank within the class would gather it, so the bound of the cap-th row is found first from per-partition heads."""
-    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
-    w = Window.partitionBy(by).orderBy(*order)
-    total = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
-    ranked = rows.where(F.col(by).isin(*caps)).withColumn("place", F.row_number().over(w))
-    return ranked.where(F.col("place") <= F.try_element_at(cap, F.col(by))).join(total, by).withColumn("more", F.greatest(F.lit(0), F.col("total") - F.try_element_at(cap, F.col(by)))).drop("total")
+    The filter by the largest cap is a literal, so each task keeps only that many rows of a class before the shuffle."""
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col(by))
+    total = rows.where(F.col(by).isin(*caps)).groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    heads = rows.where(F.col(by).isin(*caps)).withColumn("place", place).where(F.col("place") <= max(caps.values()))
+    return heads.where(F.col("place") <= cap).join(total, by).withColumn("more", F.greatest(F.lit(0), F.col("total") - cap)).drop("total")

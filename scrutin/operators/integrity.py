@@ -99,7 +99,7 @@ def reconcile_sizes(files: DataFrame, remote: DataFrame) -> DataFrame:
     """files(path, url, local_size) with remote(url, remote_size, error) -> status, note, variation in percent."""
     r = files.join(remote, "url", "left").withColumn("status", size_status(F.col("local_size"), F.col("remote_size"), F.col("error"), F.col("url")))
     note = F.when(F.col("status") == OTHER_SIZE, F.format_string("local=%d remote=%d", "local_size", "remote_size")).otherwise(F.coalesce("error", F.lit("")))
-    change = F.when(F.col("status").isin(SAME_SIZE, OTHER_SIZE), F.round((F.col("remote_size") - F.col("local_size")) * 100.0 / F.col("local_size"), 6))
+    change = F.when(F.col("status").isin(SAME_SIZE, OTHER_SIZE), F.round(F.try_divide((F.col("remote_size") - F.col("local_size")) * F.lit(100.0), F.col("local_size")), 6))
     return r.withColumns({"note": note, "variation_pct": change})
 
 

@@ -1,0 +1,291 @@
+"""Golden tables: each branch and edge of the classifiers, and properties."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from scrutin import streaming
+from scrutin.functions import text
+from scrutin.operators import acta, ids, integrity, state, summaries, tables, tls
+from scrutin.plans import reports, sinks
+from scrutin.sources import files as file_source
+from scrutin.sources import ids as id_source
+from scrutin.sources import index as index_source
+
+
+def sha(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
+
+
+def test_id_text_file(spark, tmp_path):
+    for name, end in (("a", "\n"), ("b", "\r\n"), ("c", "\r")):
+        body = end.join(["# comment", "", "1234567890", "1.234.567", "9876543210 trailing words", "1234567890", "12345", "12345678901", "ABC123", "...", "12345", "0012345678", "12345678"])
+        (tmp_path / f"{name}.txt").write_bytes(body.encode())
+        queue, rejects = ids.queue_and_rejects(id_source.read(spark, f"{tmp_path}/{name}.txt"))
+        assert sorted((r.nuip, r.linea_origen, r.nuip_int) for r in queue.collect()) == sorted([("1234567890", 3, 1234567890), ("1234567", 4, 1234567), ("9876543210", 5, 9876543210), ("0012345678", 12, 12345678), ("12345678", 13, 12345678)])
+        assert sorted((r.nuip, r.error, r.linea_origen) for r in rejects.collect()) == sorted([("12345", "LONGITUD_INVALIDA", 7), ("12345678901", "LONGITUD_INVALIDA", 8), ("ABC123", "NO_NUMERICO", 9), ("...", "VACIO", 10), ("12345", "LONGITUD_INVALIDA", 11)])
+
+
+def test_byte_order_marks(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("﻿1234567\n7654321".encode())
+    (tmp_path / "a.csv").write_bytes("﻿cedula\n1234567".encode())
+    rows = ids.validate(id_source.read(spark, f"{tmp_path}/a.txt")).orderBy("linea_origen").collect()
+    assert [(r.error, r.has_bom) for r in rows] == [("NO_NUMERICO", True), (None, True)]
+    assert [r.error for r in ids.validate(id_source.read(spark, f"{tmp_path}/a.csv")).collect()] == [None]
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("nombre,Cedula ,otro\nx,1234567,y\n", [(2, "1234567")]),
+        ("1234567,x\n7654321,y", [(1, "1234567"), (2, "7654321")]),
+        ("a,nuip\nb\n\nc,123\n", [(2, "b"), (4, "123")]),
+        ("1234567;x\n", [(1, "1234567;x")]),
+        ('nuip\n"1,234,567"\n', [(2, "1,234,567")]),
+    ],
+)
+def test_id_csv(spark, tmp_path, body, want):
+    (tmp_path / "a.csv").write_text(body)
+    assert sorted((r.linea_origen, r.token) for r in id_source.read(spark, f"{tmp_path}/a.csv").collect()) == want
+
+
+RESPONSES = [
+    (200, '{"vigencia":"Vigente (Vivo)","codigo":1,"fecha":"x"}', None, "VIVO", "", "Vigente (Vivo)"),
+    (200, '{"vigencia":" Cancelada por Muerte "}', None, "FALLECIDO", "", " Cancelada por Muerte "),
+    (200, '{"vigencia":"Cedula no Existe"}', None, "NO_EXISTE", "", "Cedula no Existe"),
+    (200, '{"vigencia":"Sin datos para consultar"}', "", "SIN_DATOS", "", "Sin datos para consultar"),
+    (200, '{"vigencia":"otra"}', None, "DESCONOCIDO", "VIGENCIA_NO_MAPEADA", "otra"),
+    (200, '{"vigencia":null}', None, "DESCONOCIDO", "VIGENCIA_NO_MAPEADA", "None"),
+    (200, '{"codigo":2}', None, "ERROR", "RESPUESTA_VACIA", ""),
+    *[(200, b, None, "ERROR", "JSON_PARSE", "") for b in ("{}", "[]", "null", "0", "false", '""', "<html>")],
+    (200, "[1]", None, "ERROR", "WORKER", ""),
+    (200, "<html>", "JSON_PARSE", "ERROR", "JSON_PARSE", ""),
+    (429, None, "x", "ERROR", "RATE_LIMITED", ""),
+    (500, None, "HTTP_500: x", "ERROR", "HTTP_500: x", ""),
+    (404, None, None, "ERROR", "HTTP_404", ""),
+    (0, None, "TIMEOUT", "ERROR", "TIMEOUT", ""),
+    (0, None, None, "ERROR", "SIN_RESPUESTA", ""),
+]
+
+
+def test_responses(spark):
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(RESPONSES)], "i int, http_status int, body string, transport_error string")
+    got = ids.classify_responses(df).orderBy("i").collect()
+    assert [(r.clasificacion, r.error, r.vigencia_raw) for r in got] == [r[3:] for r in RESPONSES]
+    assert (got[0].codigo, got[0].fecha_consulta) == ("1", "x") and [r.failed for r in got][-5:] == [True, True, False, True, True]
+
+
+INDEX = {
+    "version": "t1",
+    "entries_count": 3,
+    "by_hash": {sha(b"A"): "a.pdf", sha(b"B"): "b.pdf"},
+    "by_filename": {"a.pdf": sha(b"A"), "b.pdf": {"sha256": sha(b"B"), "vuelta": "2"}, "c.pdf": sha(b"C"), "m.pdf": {"vuelta": "1"}, "x.pdf": ""},
+    "known_dif": {"d.pdf": {"versions": [{"sha256": sha(b"D1"), "note": "n1"}]}, "e.pdf": {"local_sha256": sha(b"E1"), "server_sha256": sha(b"E2")}, "c.pdf": {"versions": [{"sha256": sha(b"C9"), "note": "n"}]}},
+    "by_location": {"a.pdf": "01/001/01/02", "bad.pdf": "01/001"},
+}
+
+
+def index(spark, tmp_path):
+    (tmp_path / "index.json").write_text(json.dumps(INDEX))
+    return index_source.read(spark, f"{tmp_path}/index.json")
+
+
+def test_hash_classification(spark, tmp_path):
+    doc = index(spark, tmp_path)
+    cases = [
+        ("a.pdf", b"A", "VERIFICADA", sha(b"A"), ""),
+        ("renamed.pdf", b"B", "VERIFICADA", sha(b"B"), "vuelta: 2"),
+        ("a.pdf", b"other", "ALTERADA", sha(b"A"), ""),
+        ("b.pdf", b"other", "ALTERADA", sha(b"B"), "vuelta: 2"),
+        ("c.pdf", b"C9", "ALTERADA", sha(b"C"), ""),
+        ("c.pdf", b"C", "DESCONOCIDA", "", integrity.NOTE_NO_VERSION % 1),
+        ("d.pdf", b"D1", "VERIFICADA", "", "version conocida en known_dif: n1"),
+        ("d.pdf", b"zz", "DESCONOCIDA", "", integrity.NOTE_NO_VERSION % 1),
+        ("e.pdf", b"E2", "VERIFICADA", "", "version conocida en known_dif: version servidor post-modificacion"),
+        ("e.pdf", b"zz", "DESCONOCIDA", "", integrity.NOTE_NO_VERSION % 2),
+        ("x.pdf", b"zz", "DESCONOCIDA", "", ""),
+        ("new.pdf", b"", "DESCONOCIDA", "", ""),
+        ("m.pdf", b"zz", "DESCONOCIDA", "", integrity.NOTE_READ),
+    ]
+    df = spark.createDataFrame([(i, f, sha(b)) for i, (f, b, *_) in enumerate(cases)], "i int, filename string, sha256 string")
+    verdicts = integrity.classify(df, index_source.by_hash(doc), index_source.by_filename(doc), index_source.known_versions(doc))
+    got = verdicts.orderBy("i").collect()
+    assert [(r.status, r.expected_sha256, r.note) for r in got] == [c[2:] for c in cases] and got[-1].sha256 == ""
+    s = integrity.classify_summary(verdicts).first()
+    assert s.total == s.verified_plain + s.verified_noted + s.altered + s.unknown == len(cases)
+    assert "| ALTERADA | 3 | 23.08% |" in reports.hash_report(verdicts)
+
+
+def test_index_tables(spark, tmp_path):
+    doc = index(spark, tmp_path)
+    assert index_source.locations(doc).collect() == [("a.pdf", "01", "001", "01", "02")]
+    assert index_source.meta(doc).first().entries_count == "3"
+    index_source.normalize(spark, f"{tmp_path}/index.json", f"{tmp_path}/ix")
+    assert spark.read.parquet(f"{tmp_path}/ix/ix_hash").count() == 2
+
+
+def test_pdf_files(spark, tmp_path):
+    for name, body in (("a b.PDF", b"%PDF-1"), ("z/empty.pdf", b""), ("z/html.pdf", b"<html"), ("x.txt", b"%PDF")):
+        (tmp_path / os.path.dirname(name)).mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = {r.filename: r for r in file_source.hashed_folder(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a b.PDF", "empty.pdf", "html.pdf"} and all(got[n].sha256 == sha(b) for n, b in (("a b.PDF", b"%PDF-1"), ("empty.pdf", b"")))
+    pdfs = file_source.pdf_files(spark, str(tmp_path))
+    assert [r.filename for r in pdfs.where(file_source.is_pdf(F.col("content"))).collect()] == ["a b.PDF"]
+    assert file_source.pdf_files(spark, str(tmp_path), recursive=False).count() == 1
+
+
+def test_places(spark):
+    cases = [
+        ("X/Y/zona_01/puesto_02/01_001_9_9_E14_PRE_1.pdf", "https://h/docs/E14/01/001/01/02/E14_PRE_1.pdf"),
+        ("flat/01_001_9_9_E14_PRE_2.pdf", "https://h/docs/E14/05/006/07/08/E14_PRE_2.pdf"),
+        ("flat/01_001_9_9_E14_PRE_3.pdf", None),
+        ("X/zona_/puesto_02/01_001_9_9_E14_PRE_1.pdf", None),
+        ("X/zona_01/puesto_02/01_001_9_9_E14.pdf", None),
+        ("X/zona_01/puesto_02/01_001_9_9_E15_PRE_1.pdf", None),
+        ("only.pdf", None),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i int, path string")
+    bridge = spark.createDataFrame([("01_001_9_9_E14_PRE_2.pdf", "05", "006", "07", "08")], "filename string, dept string, mpio string, zona string, puesto string")
+    assert [r.url for r in integrity.locate(df, bridge, "https://h").orderBy("i").collect()] == [u for _, u in cases]
+
+
+def test_sizes_and_server(spark):
+    files = spark.createDataFrame([("u1", 5), ("u2", 5), ("u3", 5), ("u4", 5), (None, 5), ("u6", None), ("u7", 0)], "url string, local_size long")
+    remote = spark.createDataFrame([("u1", 5, None), ("u2", 6, None), ("u3", 0, None), ("u4", -1, "TIMEOUT"), ("u6", 5, None), ("u7", 3, "")], "url string, remote_size long, error string")
+    got = {r.url: (r.status, r.note) for r in integrity.reconcile_sizes(files, remote).collect()}
+    assert got == {"u1": ("IGUAL_TAMANIO", ""), "u2": ("DIFERENTE_TAMANIO", "local=5 remote=6"), "u3": ("TAMANIO_NO_DISPONIBLE", ""), "u4": ("ERROR_DESCARGA", "TIMEOUT"), None: ("URL_NO_CONSTRUIBLE", ""), "u6": ("ERROR_LOCAL", ""), "u7": ("DIFERENTE_TAMANIO", "local=0 remote=3")}
+    assert integrity.size_gate(integrity.reconcile_sizes(files, remote)).count() == 5
+    local = spark.createDataFrame([("a", "h", "VERIFICADA"), ("b", "h", "VERIFICADA"), ("c", "h", "DESCONOCIDA"), ("d", "h", None), (None, "h", None), ("f", None, None), ("g", "h", None)], "url string, local_sha256 string, indice_status string")
+    server = spark.createDataFrame([("a", "h", None), ("b", "x", None), ("c", "x", None), ("d", "x", None), ("g", None, "E")], "url string, server_sha256 string, error string")
+    got = {r.url: r.status for r in integrity.reconcile_server(local, server).collect()}
+    assert got == {"a": "IGUAL_SERVIDOR", "b": "MANIPULADA_EN_SERVIDOR", "c": "DIFERENTE_SERVIDOR", "d": "DIFERENTE_SERVIDOR", None: "URL_NO_CONSTRUIBLE", "f": "ERROR_LOCAL", "g": "ERROR_DESCARGA"}
+
+
+def test_progress(spark, tmp_path):
+    rows = spark.createDataFrame([(c,) for c in "abcde"], "key string")
+    progress = spark.createDataFrame([("size", "a", "ok", "f1"), ("size", "b", "err", "f1"), ("size", "c", "dif", "f1"), ("online", "d", "invalid", "f1")], "mode string, key string, bucket string, input_sha256 string")
+    left = state.pending(rows, progress, "key")
+    assert sorted(r.key for r in left.collect()) == ["b", "e"] and state.valid_progress(progress, "f2").count() == 0
+    assert left.select("key").union(progress.where("bucket <> 'err'").select("key")).distinct().count() == rows.count()
+    sinks.save_progress(progress, f"{tmp_path}/p")
+    sinks.save_progress(progress.where("mode = 'size' and key = 'a'"), f"{tmp_path}/p")
+    assert sorted(r.key for r in spark.read.parquet(f"{tmp_path}/p").collect()) == ["a", "d"]
+    sinks.drop_progress(spark, f"{tmp_path}/p", "size")
+    assert [r.key for r in spark.read.parquet(f"{tmp_path}/p").collect()] == ["d"]
+
+
+def test_failure_runs(spark):
+    rows = spark.createDataFrame([("k", i, x) for i, x in enumerate([1, 1, 1, 0, 1, 1, 0, *[1] * 7])], "k string, i int, bad int")
+    got = sorted((r.run_start, r.run_length, r.trips) for r in state.failure_runs(rows, "k", ["i"], F.col("bad") == 1).collect())
+    assert got == [(0, 3, 1), (4, 2, 0), (7, 7, 2)]
+
+
+def test_moves_and_their_reverse(spark):
+    f = spark.createDataFrame([("/b/1.pdf", "01", "p", "1.pdf"), ("/b/2.pdf", "99", "p", "2.pdf"), ("/b/3.pdf", "01", None, "3.pdf"), ("/b/ANTIOQUIA/m/z/p/4.pdf", "01", "p", "4.pdf"), ("/b/5.pdf", "01", "p", "5.pdf")], "path string, code string, puesto string, filename string")
+    f = state.decode(f.withColumns({"base": F.lit("/b"), "mpio": F.lit("m"), "zona": F.lit("z")}), "code")
+    present = f.select("path").union(spark.createDataFrame([("/b/ANTIOQUIA/m/z/p/5.pdf",)], "path string"))
+    plan = state.plan_moves(f, present)
+    assert {r.filename: r.outcome for r in plan.collect()} == {"1.pdf": "movida", "2.pdf": "sin_patron", "3.pdf": "sin_patron", "4.pdf": "en_sitio", "5.pdf": "conflicto"}
+    moved = plan.where("outcome = 'movida'").select("filename", F.col("path").alias("original"), "organized")
+    back = state.revert_plan(moved, moved.select(F.col("organized").alias("path")))
+    assert [(r.source, r.target, r.outcome) for r in back.collect()] == [("/b/ANTIOQUIA/m/z/p/1.pdf", "/b/1.pdf", "revertida")]
+
+
+def test_tables(spark, tmp_path):
+    t = spark.createDataFrame([("d", 1, 1, [["a", None], [" ", None], ['q"x', "l1\r\nl2"]]), ("d", 2, 1, [[None, ""]]), ("d", 3, 1, [["", "b,c"]])], "doc string, page int, ord int, rows array<array<string>>")
+    got = [(r.table_no, r.page, r.row_no, r.cells) for r in tables.explode_tables(t).orderBy("table_no", "row_no").collect()]
+    assert got == [(1, 1, 1, ["a", None]), (1, 1, 2, ['q"x', "l1\r\nl2"]), (2, 3, 1, ["", "b,c"])]
+    assert [r[0] for r in t.orderBy("page").select(tables.table_csv(tables.clean_rows(F.col("rows")))).collect()] == ['a,\n"q""x",l1  l2', "", ',"b,c"']
+    assert spark.range(1).select(text.csv_line(F.array(F.lit("")))).first()[0] == '""'
+    section = tables.table_section(t).first()
+    assert section.n == 2 and "### Tabla 2 (pagina 3)\n\n```csv\n,\"b,c\"\n```" in section.section
+    sinks.write_table_files(t.withColumns({"stem": F.col("doc"), "n": F.col("page")}), f"{tmp_path}/t")
+    assert spark.read.text(f"{tmp_path}/t/stem=d/n=3").first()[0] == ',"b,c"'
+
+
+def test_html(spark):
+    html = '<input name="tok" type="hidden" value="v1"><p id="q" class="x"> text </p><td>Nombre</td><b>Ana </b>'
+    row = spark.range(1).select(tables.form_field(F.lit(html), "tok"), tables.form_field(F.lit('<i value="v" name="tok">'), "tok"), tables.text_by_id(F.lit(html), "q"), tables.value_by_label(F.lit("<b>NOMBRE</b> Ana <i>"), "Nombre"), tables.value_by_label(F.lit("<td>Nombre</td><td>Ana</td>"), "Nombre"), tables.value_by_label(F.lit("<td>Nombre</td> <td>Ana</td>"), "Nombre")).first()
+    assert tuple(row) == ("v1", "", "text", "Ana", "", "")
+    assert [r[0] for r in spark.createDataFrame([(None, "b"), ("", None), ("a", "b")], "x string, y string").select(tables.first_text(F.col("x"), F.col("y"))).collect()] == ["b", "", "a"]
+
+
+def test_certificates(spark):
+    cases = [("Kaspersky CA", "h", "", True, "INTERCEPTACION_LOCAL"), ("Reset CA", "h", "", True, "INTERCEPTACION_LOCAL"), ("x", "x", "", True, "CADENA_AUTOFIRMADA_DESCONOCIDA"), ("c", "h", "Self-Signed chain", False, "CADENA_AUTOFIRMADA_DESCONOCIDA"), ("c", "h", "unable to get local issuer certificate", False, "CADENA_INCOMPLETA_SERVIDOR"), ("c", "h", "", True, "OK"), (None, None, None, None, "DESCONOCIDO")]
+    df = spark.createDataFrame([c[:4] for c in cases], "issuer_cn string, subject_cn string, verify_error string, connected boolean")
+    assert [r.likely_cause for r in tls.diagnose(df).collect()] == [c[4] for c in cases]
+    assert not spark.range(1).select(tls.contains_any(F.lit("Reset CA"), whole_words=True)).first()[0]
+    rdns = spark.createDataFrame([([[("org", "o")], [("commonName", "cn"), ("commonName", "z")]],), ([],)], "r array<array<struct<k:string,v:string>>>")
+    assert [r[0] for r in rdns.select(tls.common_name(F.col("r"))).collect()] == ["cn", ""]
+
+
+def test_sheets(spark):
+    rows = [(100, 100, 100, 200, 1, "sin alerta"), (130, 100, 100, 200, 1, "genuina"), (131, 100, 100, 200, 1, "lectura"), (100, 100, 0, 200, 1, "lectura"), (100, 100, 100, 70, 1, "genuina"), (100, 100, 100, 69, 1, "lectura"), (131, 100, 100, 200, -1, "genuina")]
+    df = spark.createDataFrame(rows, "total int, parts int, urna int, habilitados int, least int, want string").withColumn("k", F.monotonically_increasing_id())
+    got = acta.arithmetic(df)
+    assert all(r.signal == r.want for r in got.collect())
+    lights = acta.traffic_light(got, got.limit(2).select("k", F.lit("revisada").alias("review")), "k").orderBy("k").collect()
+    assert [r.outcome for r in lights[:3]] == ["Mesa Limpia", "Posible Fraude", None]
+
+
+def test_digits_and_ranks(spark):
+    df = spark.createDataFrame([([("3", 0.9), ("8", 0.05)], None), ([("3", 0.6), ("8", 0.3), ("5", 0.05), ("1", 0.01)], None), ([("3", 0.70)], None), ([("3", 0.1)], "7")], "c array<struct<digit:string,conf:double>>, h string")
+    got = [r[0] for r in df.select(acta.settled_digit(F.col("c"), F.col("h"))).collect()]
+    assert [(g.digit, g.source, g.open) for g in got] == [("3", "modelo", None), (None, None, ["3", "8", "5"]), ("3", "modelo", None), ("7", "persona", None)]
+
+
+def test_copies_and_snapshots(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "k int, v int")
+    got = {r.k: r.verdict for r in acta.compare_copies(mk([(1, 1), (2, 9), (3, 1), (4, 1), (5, 1), (6, 1)]), mk([(1, 1), (2, 1), (3, 9), (4, 1), (5, 2), (6, 1)]), mk([(1, 1), (2, 1), (3, 1), (4, 9), (5, 3)]), "k", "v").collect()}
+    assert got == {1: "iguales", 2: "difiere_c", 3: "difiere_t", 4: "difiere_d", 5: "todas_difieren", 6: "incompleta"}
+    got = {r.k: (r.change, r.variation_pct) for r in acta.snapshot_diff(mk([(1, 1400), (2, 5), (3, 1)]), mk([(1, 122019), (2, 5), (4, 1)]), "k", "v").collect()}
+    assert got == {1: ("cambiada", 8615.642857), 2: ("igual", 0.0), 3: ("retirada", None), 4: ("nueva", None)}
+
+
+def test_summary_and_report(spark, tmp_path):
+    rows = [(str(i), c, "v", "e", "f", i) for i, c in enumerate(["VIVO"] * 3 + ["ERROR"] * 60 + ["ZZZ"] + ["FALLECIDO"])]
+    df = spark.createDataFrame(rows, "nuip string, clasificacion string, vigencia_raw string, error string, archivo_origen string, linea_origen int")
+    s = summaries.status_summary(df, F.col("clasificacion"), ids.CLASSES).orderBy("place").collect()
+    assert [r.status for r in s] == ["VIVO", "FALLECIDO", "ERROR", "ZZZ"] and sum(r.n for r in s) == 65
+    report = reports.id_report(df)
+    assert "(10 mas)" in report and "| **Total** | **65** | **100%** |" in report and report.count("\n## ") == 3
+    assert "| **Total** | **0** | **100%** |" in reports.id_report(df.limit(0)) and reports.percent(0, 0) == "0.00%" and reports.percent(1, 800) == "0.12%"
+    a, b = reports.write_report(report, str(tmp_path), "informe", datetime(2026, 1, 2, 3, 4))
+    assert open(a, encoding="utf-8-sig").read() == open(b, encoding="utf-8-sig").read() == report and a.endswith("informe_20260102_0304.md")
+    assert sinks.rebuild_slice(df, f"{tmp_path}/f") == 1
+    sinks.write_results(df, f"{tmp_path}/r")
+    sinks.write_results(df, f"{tmp_path}/r")
+    assert file_source.read_results(spark, f"{tmp_path}/r").count() == 130
+
+
+def test_first_and_latest(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, i int, v string")
+    assert sorted(map(tuple, ids.first_occurrences(rows, "k", ("i",)).collect())) == [("a", 1, "y"), ("b", 5, "z")]
+    assert sorted(map(tuple, state.latest(rows, ["k"], ["i"]).collect())) == [("a", 2, "x"), ("b", 5, "z")]
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+    def run(df, mode, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name)
+
+    got = run(streaming.tumbling_counts(stream()), "complete", "counts")
+    assert sorted(map(str, got.collect())) == sorted(map(str, streaming.tumbling_counts(events).collect()))
+    bad = stream().withColumn("failed", F.col("event_type") == "error").drop("props", "value")
+    trips = run(streaming.failure_trips(bad.where("event_id >= 0"), "user_id", ["ts", "event_id"], "failed"), "update", "trips")
+    assert trips.select("user_id").distinct().count() == events.select("user_id").distinct().count()
+    streaming.incremental(stream(), f"{tmp_path}/out", f"{tmp_path}/cp")
+    streaming.incremental(stream(), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == events.count()
