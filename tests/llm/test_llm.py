@@ -223,10 +223,6 @@ def test_mixing_comes_near_and_odd_cases(spark):
 # --- 5 quality, 8 toxicity ---
 
 
-def labels_of(column):
-    return dict(duckdb.sql(f"select doc_id, {column} from '{SF}/labels.parquet'").fetchall())
-
-
 def auc(scores, truth):
     good, bad = [s for s, t in zip(scores, truth) if t], [s for s, t in zip(scores, truth) if not t]
     return sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
@@ -234,13 +230,15 @@ def auc(scores, truth):
 
 @pytest.mark.parametrize(("query", "column", "folds", "fold"), [("op5_quality", "quality", 3, 1), ("op8_toxicity", "toxic", 5, 0)])
 def test_held_out(spark, query, column, folds, fold):
-    got = {r.doc_id: r for r in registry.QUERIES[query](spark, SF).collect()}
-    truth = labels_of(column)
-    assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    """On 10,000 documents: the 51 toxic labels of the smaller tables are too few for a held-out figure."""
+    sf = SF.replace("sf0.01", "sf0.1")
+    got = {r.doc_id: r for r in registry.QUERIES[query](spark, sf).collect()}
+    truth = dict(duckdb.sql(f"select doc_id, {column} from '{sf}/labels.parquet'").fetchall())
+    assert len(got) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % folds == fold) for k, r in got.items())
     held = [k for k in truth if got[k].held_out]
-    assert auc([got[k].score for k in held], [truth[k] for k in held]) > 0.9
-    assert np.mean([got[k].predicted == truth[k] for k in held]) > 0.85
+    assert auc([got[k].score for k in held], [truth[k] for k in held]) > 0.95
+    assert np.mean([got[k].predicted == truth[k] for k in held]) > 0.95
 
 
 def test_classifiers_in_odd_cases(spark):
