@@ -92,10 +92,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """(id_col, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live, most_owners), a row for each row.
+    """(id_col, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live, most_owners, most_repositories), a row for
+    each row.
 
     n_copied: the row's distinct candidate values that at least `copied_owners` owners have; n_live: those of fewer
-    owners whose entropy is not low; most_owners: of its most widely held value (0: it has none). Null and empty texts
+    owners whose entropy is not low; most_owners, most_repositories: of its most widely held value (0: it has none). Null and empty texts
     have no candidates. A null repository or owner counts as one of its own. Repeated rows each get their row. Values
     themselves never leave the tasks that found them, only hashes."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{repository_col}`").cast("string").alias("repository"), F.col(f"`{owner_col}`").cast("string").alias("owner"), scan(F.col(f"`{text_col}`")).alias("r"))
@@ -104,9 +105,9 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each = each.select("row", "repository", "owner", F.col("c.hashes").alias("hash"), F.col("c.entropies").alias("entropy"))
     held = each.select("row", "hash", "entropy").join(ownership(each), "hash")
     copied = F.col("n_owners") >= copied_owners
-    by_row = held.groupBy("row").agg(F.count_if(copied).alias("n_copied"), F.count_if(~copied & (F.col("entropy") >= LIVE_ENTROPY)).alias("n_live"), F.max("n_owners").alias("most_owners"))
+    by_row = held.groupBy("row").agg(F.count_if(copied).alias("n_copied"), F.count_if(~copied & (F.col("entropy") >= LIVE_ENTROPY)).alias("n_live"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"))
     out = rows.drop("hashes", "entropies", "repository", "owner").join(by_row, "row", "left").drop("row")
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_copied", "n_live", "most_owners")]
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_copied", "n_live", "most_owners", "most_repositories")]
     return out.select(F.col("id").alias(id_col), *[f"n_{k}" for k in BASE], "base_sha256", "spans", *zero)
 
 
