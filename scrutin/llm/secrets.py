@@ -25,7 +25,7 @@ KINDS = (*BASE, "private_key", "bearer", "url_password")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+PRIVATE = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
 BEARER = re.compile(r"[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})")
 URL_PASSWORD = re.compile(r"[a-z]://[^\s/@:?#]{1,64}:([^\s/@?#]{6,})@")
 
@@ -43,10 +43,11 @@ def find(text: str | None) -> list[Candidate]:
     found = [("assign", *m.span(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     found += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span(), m[0]) for m in HEX.finditer(text)]
+    begun = None  # the marker before, if it begins a key
     for m in PRIVATE.finditer(text):
-        stop = text.find("-----END", m.end())
-        if stop >= 0:
-            found.append(("private_key", m.start(), stop, text[m.end() : stop].strip()))
+        if m[1] == "END" and begun:
+            found.append(("private_key", begun.start(), m.end(), text[begun.end() : m.start()].strip()))
+        begun = m if m[1] == "BEGIN" else None
     found += [("bearer", *m.span(), m[1]) for m in BEARER.finditer(text)]
     found += [("url_password", *m.span(1), m[1]) for m in URL_PASSWORD.finditer(text)] if "://" in text else []
     return sorted(found, key=lambda c: (c[1], KINDS.index(c[0]), c[2]))
@@ -96,8 +97,8 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each row.
 
     n_copied: the row's distinct candidate values that at least `copied_owners` owners have; n_live: those of fewer
-    owners whose entropy is not low; most_owners, most_repositories: of its most widely held value (0: it has none). Null and empty texts
-    have no candidates. A null repository or owner counts as one of its own. Repeated rows each get their row. Values
+    owners whose entropy is not low; most_owners, most_repositories: of its most widely held value (0: it has none). Null
+    and empty texts have no candidates. A null repository or owner counts as one of its own. Repeated rows each get their row. Values
     themselves never leave the tasks that found them, only hashes."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{repository_col}`").cast("string").alias("repository"), F.col(f"`{owner_col}`").cast("string").alias("owner"), scan(F.col(f"`{text_col}`")).alias("r"))
     rows, _ = written(rows.select("id", "repository", "owner", "r.*").withColumn("row", F.monotonically_increasing_id()), "scanned")

@@ -402,6 +402,14 @@ def test_secret_spans():
         assert [c[:3] for c in secrets.find(t) if c[0] in secrets.BASE] == brute_secrets(t), repr(t)[:300]
 
 
+def test_added_secrets_and_long_runs():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n-----END RSA PRIVATE KEY-----"
+    assert [(k, v) for k, _, _, v in secrets.find(f"x {key} y")] == [("private_key", "MIIabc")]
+    assert [c[0] for c in secrets.find("Bearer abcdefgh12345678 and https://u:hunter22@h")] == ["bearer", "url_password"]
+    for t in ("-----BEGIN PRIVATE KEY-----" * 20_000 + key, "password" + " " * 300_000, "token" * 60_000, "abcdef0123" * 50_000, "x://a:b" * 50_000):
+        secrets.find(t)
+
+
 def test_ownership(spark):
     shown, live = "AKIA" + "EXAMPLE9" * 2, "AKIA" + "Q7ZP40LM1X8V"
     rows = [(i, f"key {shown} here", f"s{i % 4}") for i in range(8)] + [(8, f"use {live}", "s1"), (9, f"use {live}", "s1"), (10, None, None), (11, f"{live} {shown}", None)]
