@@ -1,7 +1,11 @@
 """Mixing sources to target weights.
 
 Tokens are summed per source, repetition rates follow from the targets, and each document is emitted floor(rate) times
-plus one copy drawn by a seeded hash of its id with probability equal to the fraction."""
+plus one copy drawn by a seeded hash of its id with probability equal to the fraction.
+
+A few long documents can hold much of a source, and independent draws would then miss its target by far. So documents are
+drawn in tiers, the longest first, and what the draws of a tier took beyond or below the fraction is made good by the
+fraction of the next. Over all seeds each document's probability is the source's fraction (but for the bounds 0 and 1)."""
 
 from __future__ import annotations
 
@@ -11,13 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import checked, table
+from .shared import checked, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
 SEED = "mix-1"
-#: Rates of up to so many sources (a few MB) go to every executor; those of more meet their documents in a shuffled join.
+#: A document is of the first tier for which its size times the tier's number reaches its source's target; the rest are
+#: of the last.
+TIERS = (20, 200, 2000)
+#: Rates of up to so many sources (some MB) go to every executor; those of more meet their documents in a shuffled join.
 BROADCAST_SOURCES = 50_000
 
 
@@ -26,13 +33,13 @@ def words_of(text: Column) -> Column:
 
 
 def source_rates(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """sized(source, size) -> (source, source_size, target, rate), one row per source.
+    """sized(source, size, ...) -> (source, source_size, target, rate), one row per source.
 
     Sources in code point order, null last, take the weights in turn. Together they share all words; a target stops at
     `most` times its source's size, and the excess is shared again by weight until none is above. In closed form: with
     sources in ascending order of most * size / weight, those before the first whose level holds stop, and the rest
-    share what is left by weight. Only this table, one row per source, is ordered in a single task; documents are summed
-    before, with partial sums, so a source with a third of all rows is no hot key."""
+    share what is left by weight. Only this table, one row per source, is ordered in a single task; documents
+    are summed before, with partial sums, so a source with a third of all rows is no hot key."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     per = per.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), nth % len(weights)))
@@ -55,19 +62,43 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def tier_of(size: Column, target: Column) -> Column:
+    tier = F.lit(len(TIERS))
+    for i in reversed(range(len(TIERS))):
+        tier = F.when(size * TIERS[i] >= target, i).otherwise(tier)
+    return tier
+
+
+def tier_fractions(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """rates plus fractions array<double>, one for each tier. sized(source, size, u): each tier is a sum over it."""
+    whole = F.floor("rate")
+    state = rates.select("*", F.array().cast("array<double>").alias("fractions"), (F.col("target") - whole * F.col("source_size")).alias("due"), F.col("source_size").alias("left"))
+    for tier in range(len(TIERS) + 1):
+        now = F.when(F.col("left") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("due") / F.col("left")))).otherwise(F.lit(0.0))
+        state = checked(state.withColumn("fractions", F.concat("fractions", F.array(now))), "tiers", BROADCAST_SOURCES)
+        own = sized.join(state.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))).where(tier_of(F.col("size"), F.col("target")) == tier)
+        took = own.groupBy("its").agg(F.sum("size").alias("words"), F.sum(F.when(F.col("u") < F.col("fractions")[tier], F.col("size")).otherwise(0)).alias("taken"))
+        state = state.join(took, F.col("source").eqNullSafe(F.col("its")), "left").drop("its")
+        state = state.withColumns({"due": F.col("due") - F.coalesce("taken", F.lit(0)), "left": F.col("left") - F.coalesce("words", F.lit(0))}).drop("words", "taken")
+    return state.drop("due", "left")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """A row of struct `row` (the document, all its columns) with size, source_size, target and copies.
 
     Null text: size 0, and like any empty text it is copied at its source's rate without adding words. Null source: a
     source of its own, after the others. Null id: drawn as the key "null". Repeated rows draw alike. Empty table: no
     rows. A source without words: target 0, copies 0. No document has more than `most` copies."""
+    size, u = words_of(F.col(f"`{text_col}`")), draw(F.col(f"`{id_col}`"), seed)
+    sized, _ = written(docs.select(F.col(f"`{source_col}`").alias("source"), size.alias("size"), u.alias("u")), "sized")
+    rates = tier_fractions(sized, source_rates(sized, weights, most))
+    rates = checked(rates.withColumnRenamed("source", "its"), "rates", BROADCAST_SOURCES)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     d = d.select("row", F.col(f"row.`{source_col}`").alias("source"), words_of(F.col(f"row.`{text_col}`")).alias("size"))
-    rates = source_rates(docs.select(F.col(f"`{source_col}`").alias("source"), words_of(F.col(f"`{text_col}`")).alias("size")), weights, most)
-    rates = checked(rates.withColumnRenamed("source", "its"), "rates", BROADCAST_SOURCES)
-    whole = F.floor("rate")
-    copies = whole + (draw(F.col(f"row.`{id_col}`"), seed) < F.col("rate") - whole).cast("long")
-    return d.join(rates, d["source"].eqNullSafe(rates["its"]), "left").select("row", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    fraction = F.get("fractions", tier_of(F.col("size"), F.col("target")))
+    copies = F.floor("rate") + (draw(F.col(f"row.`{id_col}`"), seed) < fraction).cast("long")
+    met = d.join(rates, F.col("source").eqNullSafe(F.col("its")), "left")
+    return met.select("row", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
@@ -82,7 +113,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
@@ -94,16 +127,44 @@ WITH sized AS (
   FROM per
 ), one AS (
   SELECT arg_min(lev, cap / weight) AS lev FROM levels WHERE lev * weight <= cap
-), rates AS (
+), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, one.lev * weight) AS target FROM levels, one
+), rates0 AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
+         target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END) * source_size AS due, source_size AS left_
+  FROM targets
+), fraction0 AS (
+  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f0 FROM rates0
+), rates1 AS (
+  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction0 r LEFT JOIN (
+    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f0 THEN size ELSE 0 END)::BIGINT AS taken
+    FROM sized s JOIN fraction0 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 20 >= target GROUP BY r.source
+  ) t ON r.source IS NOT DISTINCT FROM t.source
+), fraction1 AS (
+  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f1 FROM rates1
+), rates2 AS (
+  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction1 r LEFT JOIN (
+    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f1 THEN size ELSE 0 END)::BIGINT AS taken
+    FROM sized s JOIN fraction1 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 20 < target AND size * 200 >= target GROUP BY r.source
+  ) t ON r.source IS NOT DISTINCT FROM t.source
+), fraction2 AS (
+  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f2 FROM rates2
+), rates3 AS (
+  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction2 r LEFT JOIN (
+    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f2 THEN size ELSE 0 END)::BIGINT AS taken
+    FROM sized s JOIN fraction2 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 200 < target AND size * 2000 >= target GROUP BY r.source
+  ) t ON r.source IS NOT DISTINCT FROM t.source
+), fraction3 AS (
+  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f3 FROM rates3
+), rates4 AS (
+  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction3 r LEFT JOIN (
+    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f3 THEN size ELSE 0 END)::BIGINT AS taken
+    FROM sized s JOIN fraction3 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 2000 < target GROUP BY r.source
+  ) t ON r.source IS NOT DISTINCT FROM t.source
 ), copies AS (
-  SELECT s.doc_id, s.size, r.source_size, r.target,
-         CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 AS u
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT s.doc_id, s.size, r.source_size, r.target, least(3, floor(rate)::BIGINT + (u < CASE
+      WHEN size * 20 >= target THEN f0 WHEN size * 200 >= target THEN f1 WHEN size * 2000 >= target THEN f2 ELSE f3 END)::BIGINT) AS copies
+  FROM sized s JOIN rates4 r ON s.source IS NOT DISTINCT FROM r.source
 )
-SELECT doc_id, size, source_size, target,
-       size * least(3, floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS taken,
-       least(3, floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS copies
-FROM copies
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copies
 """
