@@ -7,6 +7,7 @@ window, so all windows but a shard's last are full."""
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import table, written
-from .tokens import segments
 
 WINDOW = 2048
 END_ID = 1
@@ -27,54 +27,76 @@ SHARD_TOKENS = 1 << 20
 #: A seed asks with its most telling terms. It is ranking only: every document is packed, whoever asks.
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
-#: Segments whose ids a worker keeps; begun anew beyond.
-MOST_SEGMENTS = 400_000
-
 _held: dict = {}
 
 
+def ranks_of(kind: dict) -> dict[bytes, int] | None:
+    """The byte pieces of a tokenizer file by rank, if it is plain byte-level BPE whose merges are in the order of their
+    ids: then ranks say all that the file does. Otherwise None."""
+    from tokenizers import pre_tokenizers
+
+    model, pre = kind["model"], kind.get("pre_tokenizer") or {}
+    if kind.get("normalizer") or pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or model.get("type") != "BPE" or model.get("dropout"):
+        return None
+    byte_level, byte_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), {}
+    for char in map(chr, range(256)):
+        byte_of |= {shown: byte for byte, shown in zip(char.encode(), byte_level.pre_tokenize_str(char)[0][0])}
+    special = {t["content"] for t in kind.get("added_tokens", [])}
+    pieces = {piece: i for piece, i in model["vocab"].items() if piece not in special}
+    missing = sorted({c for p in pieces for c in p} - set(byte_of))
+    absent = sorted(set(range(256)) - set(byte_of.values()))
+    byte_of |= dict(zip(missing, absent))  # bytes that no UTF-8 text holds, in order
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [pieces.get(m, -1) for m in merged]
+    if order != sorted(order) or len(merged) + 256 != len(pieces) or -1 in order:
+        return None
+    return {bytes(byte_of[c] for c in p): i for p, i in pieces.items()}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 16-bit bytes; each distinct segment is encoded once."""
+    """Ids of whole texts, by a tokenizer's file, as little-endian unsigned 16-bit bytes.
 
-    def __init__(self, tokenizer_json: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        from tokenizers import Tokenizer
+    A file that ranks say all about is run by the faster of the two libraries over those ranks and the file's ids;
+    tests/llm compares them text by text. Any other file is run as it is."""
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.tokenizer.get_vocab_size() > 65536:
+    def __init__(self, tokenizer_json: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        kind = json.loads(tokenizer_json)
+        ranks = ranks_of(kind)
+        if max(kind["model"]["vocab"].values()) > 65535:
             raise ValueError("ids must fit 16 bits")
-        self.seen: dict[str, bytes] = {}
+        if ranks:
+            import tiktoken
+
+            self.run = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(tokenizer_json)
+            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.run = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the text (null: none), then the end id."""
-        parts = segments(text) if text else []
-        new = [s for s in set(parts) if s not in self.seen]
-        if new:
-            if len(self.seen) + len(new) > MOST_SEGMENTS:
-                self.seen.clear()
-                new = list(set(parts))
-            for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.seen[s] = np.array(e.ids, "<u2").tobytes()
-        return b"".join([*map(self.seen.__getitem__, parts), END_ID.to_bytes(2, "little")])
-
-
-def worker_encoder(tokenizer_json: str) -> Encoder:
-    """The worker's encoder, kept with what it has encoded for later tasks."""
+        return np.array([*self.run(text or ""), END_ID], "<u2").tobytes()
+
+
+def worker_encoder(tokenizer_json: str, pattern: str) -> Encoder:
+    """The worker's encoder, kept for its later tasks."""
     key = len(tokenizer_json), zlib.crc32(tokenizer_json[:100_000].encode())
     if key not in _held:
         _held.clear()
-        _held[key] = Encoder(tokenizer_json)
+        _held[key] = Encoder(tokenizer_json, pattern)
     return _held[key]
 
 
-def ids_of(spark: SparkSession, text: Column, tokenizer_path: str) -> Column:
+def ids_of(spark: SparkSession, text: Column, tokenizer_path: str, pattern: str) -> Column:
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())  # of fixed size
 
     @F.pandas_udf(T.BinaryType())
     def ids(texts: pd.Series) -> pd.Series:
-        encoder = worker_encoder(sent.value)
+        encoder = worker_encoder(sent.value, pattern)
         return pd.Series([encoder.encode(t) for t in texts], dtype=object)
 
     return ids.asNondeterministic()(text)
@@ -163,13 +185,14 @@ def windows(docs: list[np.ndarray], index: Index, size: int = WINDOW) -> list[li
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
+    pattern: the tokenizer's pre-token pattern.
     Null and empty texts are the end id alone. Repeated rows and ids, null ids too, are documents of their own. Empty
     table: no pieces. Very long documents fill windows of their own. Other columns are not read."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc"), ids_of(spark, F.col(f"`{text_col}`"), tokenizer_path).alias("ids"))
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc"), ids_of(spark, F.col(f"`{text_col}`"), tokenizer_path, pattern).alias("ids"))
     ids, _ = written(ids.withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.octet_length("ids") / 2), "ids")
     n_docs, n_tokens = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     by_id = ids.select("ids").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -201,4 +224,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

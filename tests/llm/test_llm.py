@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -171,13 +172,19 @@ def test_topk(spark, monkeypatch):
 
 def test_index_proves_before_the_end():
     rng = np.random.default_rng(2)
-    v = rng.integers(-50, 50, (4000, 16))
+    unit = rng.standard_normal((4000, 64))
+    v = np.floor(256 * unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.int64)
     index = topk.ImpactIndex(v)
-    for q in list(v[:20]) + [np.zeros(16, int), -v[3], np.eye(16, dtype=int)[2] * 9]:
-        at, score = index.best(q, 5, np.zeros(0, int))
-        assert sorted(score)[-5:] == sorted(v @ q)[-5:]
-        assert (score == (v @ q)[at]).all()
-    assert np.median([len(index.best(q, 5, np.zeros(0, int))[0]) for q in v[:50]]) < 400
+    queries = np.concatenate([v[:200], np.zeros((1, 64), int), -v[3:4], np.eye(64, dtype=int)[2:3] * 9, v[:1] * 10**7])
+    own = [np.array([i]) if i < 200 else np.zeros(0, int) for i in range(len(queries))]
+    found = index.search(queries, 5, own)
+    for q, mine, (at, score) in zip(queries, own, found):
+        s = v @ q
+        assert (score == s[at]).all() and not np.isin(at, mine).any()
+        assert sorted(score)[-5:] == sorted(np.delete(s, mine))[-5:]
+    assert np.median([len(at) for at, _ in found[:200]]) < 64
+    alike = topk.ImpactIndex(np.ones((9, 3), int)).search(np.ones((1, 3), int), 5, [np.array([4])])
+    assert len(alike[0][0]) == 8
 
 
 # --- 4 mixing ---
@@ -436,7 +443,7 @@ def test_packing_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = packing.pack(docs, path, shard_tokens=300_000).collect()
+    got = packing.pack(docs, path, public_tokenizers.PATTERN, shard_tokens=300_000).collect()
     want = {k: [*t.encode(x or "", add_special_tokens=False).ids, 1] for k, x in texts()}
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -474,10 +481,10 @@ def test_packing_prefers_lexical_neighbours():
 
 def test_packing_in_odd_cases(spark):
     docs = odd_docs(spark)
-    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
     assert sum(r.length for r in got if r.start + r.length == r.doc_tokens) >= 0
     assert sum(1 for r in got if r.start == 0) == docs.count()
-    assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
 def test_special_tokens_are_ordinary_text():
@@ -486,8 +493,13 @@ def test_special_tokens_are_ordinary_text():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    e = packing.Encoder(open(path, encoding="utf-8").read())
-    for x in ["a <|endoftext|> b", "a\x1c b", " \xa0 x", *[x for x in ODD if x], *[x for _, x in texts()[::50]]]:
+    raw = open(path, encoding="utf-8").read()
+    ranks = packing.ranks_of(json.loads(raw))
+    assert len(ranks) == 50256 and {len(p) for p, i in ranks.items() if i < 256} == {1}
+    e = packing.Encoder(raw, public_tokenizers.PATTERN)
+    slow = packing.Encoder(raw.replace('"normalizer":null', '"normalizer":{"type":"NFC"}').replace('"normalizer": null', '"normalizer": {"type": "NFC"}'), public_tokenizers.PATTERN)
+    assert slow.run.__name__ == "<lambda>" and np.frombuffer(slow.encode("plain text"), "<u2").tolist() == np.frombuffer(e.encode("plain text"), "<u2").tolist()
+    for x in ["a <|endoftext|> b", "a\x1c b", " \xa0 x", *[x for x in ODD if x], *[x for _, x in texts()]]:
         assert np.frombuffer(e.encode(x), "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
 
 
