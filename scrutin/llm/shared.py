@@ -42,10 +42,6 @@ def checked(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 80) -> DataFrame:
     """Components of an undirected graph: edges(u long, v long) -> (node long, component long), component the smallest node.
 
