@@ -1,11 +1,11 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Vectors are dealt into shards. A shard's index holds for each dimension the vectors in order of their component, cut into
-segments by quantised value. For a query, a segment's impact is the query's weight times how far the segment lies from
-the dimension's worst value, so negative weights read the same postings from the other end. Segments are processed by
-descending impact over all dimensions together; each adds to the accumulators of its vectors. A vector's final score lies
-between its accumulator and that plus a bound on what it has not been given yet. Processing stops when these bounds prove
-that only a few vectors can still be among the k best, and those are scored exactly."""
+Vectors are dealt into shards. A component's distance from its dimension's worst value (the lowest for a positive weight
+of a query, the highest for a negative one) is an impact >= 0. Its binary digits quantise it: the posting segment of a
+dimension and digit b holds the vectors whose impact has that digit, and adds 2^b times the query's weight to each. Segments
+are processed by descending 2^b, those of a digit for all dimensions and a batch of queries in one product with their
+bitmaps. After each digit a vector's final score lies between its accumulator and that plus the weights' sum times
+2^b - 1. A query stops only when this proves that few vectors can still be among its k best, and those are scored exactly."""
 
 from __future__ import annotations
 
@@ -21,81 +21,51 @@ from .shared import table, written
 SCALE = 256
 EVERY = 50
 K = 5
-#: Vectors per shard of the index, queries per block, and levels that a dimension's values are quantised to.
-SHARD = 8192
-QUERY_BLOCK = 4096
-LEVELS = 32
-#: Steps of the impact bound between two looks at the proof, and how few possible members are scored exactly.
-STEPS = 12
+#: Vectors per shard of the index, queries per block, queries that are processed together, and how few possible members
+#: are scored exactly before the last digit.
+SHARD = 16_384
+QUERY_BLOCK = 1024
+BATCH = 256
 RESCORE = 64
 
 
 class ImpactIndex:
-    """Postings of one shard. values: int64, a row for each vector."""
+    """Posting segments of one shard as bitmaps. values: int64, a row for each vector."""
 
-    def __init__(self, values: np.ndarray, levels: int = LEVELS):
+    def __init__(self, values: np.ndarray):
         self.values = values
-        n, dim = values.shape
-        self.low, self.high = values.min(axis=0), values.max(axis=0)
-        self.width = np.maximum(1, -(-(self.high - self.low + 1) // levels))
-        self.level = (values - self.low) // self.width  # quantised values, from 0
-        self.order = np.argsort(self.level, axis=0, kind="stable").T.astype(np.int32).copy()
-        held = int(self.level.max()) + 1
-        self.ends = np.stack([np.searchsorted(self.level[self.order[d], d], np.arange(held + 1)) for d in range(dim)])
-        self.held = held
-
-    def best(self, query: np.ndarray, k: int, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that may be among the k best other than those in `mine`, with exact scores: all of the k best are."""
-        n, dim = self.values.shape
-        weight = np.abs(query)
-        # Each dimension gives a vector a gain: weight times the distance of its component from the worst value (and, from
-        # the upper end, width - 1 more for every vector, so that a level proves its distance). Segments add what their
-        # level proves; `slack` bounds the rest.
-        up = query >= 0
-        slack = float((weight * (self.width - 1) * np.where(up, 1, 2)).sum())
-        worst = np.where(up, 0, (self.high - self.low) // self.width)
-        top = weight * self.width * ((self.high - self.low) // self.width)  # a bound on the impact of the first segment
-        gained = np.zeros(n)
-        open_dims = np.full(n, int((weight > 0).sum()), np.int16)
-        done = np.where(up, self.held, 0)  # the levels at or above (below, for a negative weight) are processed
-        dims = np.nonzero(weight)[0]
-        alive = None
-        for step in range(1, STEPS + 1):
-            bound = float(top.max()) * (1 - step / STEPS) ** 1.5  # segments with an impact of at least this are due
-            for d in dims:
-                unit = float(weight[d] * self.width[d])
-                steps = int(np.ceil(bound / unit - 1e-9))
-                if up[d]:
-                    upto = min(max(steps, 0), self.held)
-                    a, b = self.ends[d, upto], self.ends[d, done[d]]
-                    first, last, done[d] = upto, done[d], min(done[d], upto)
-                else:
-                    upto = max(min(int(worst[d]) - steps + 1, self.held), 0)
-                    a, b = self.ends[d, done[d]], self.ends[d, upto]
-                    first, last, done[d] = done[d], upto, max(done[d], upto)
-                if b <= a:
-                    continue
-                per_level = np.diff(self.ends[d, first : last + 1])
-                impact = np.arange(first, last) if up[d] else worst[d] - np.arange(first, last)
-                at = self.order[d, a:b]
-                gained[at] += np.repeat(unit * impact, per_level)
-                open_dims[at] -= 1
-            # What a vector was not given, each time under `bound`, and the part under its levels:
-            most = gained + open_dims * bound + slack
-            lower = gained
-            if len(mine):
-                lower = gained.copy()
-                lower[mine] = -1.0
-            if n - len(mine) > k:
-                proof = np.partition(lower, n - k)[n - k]
-                alive = np.nonzero(most >= proof)[0]
-                if len(alive) <= max(RESCORE, 2 * k):
-                    break
-            else:
-                alive = np.arange(n)
+        impacts = np.concatenate([values - values.min(axis=0), values.max(axis=0) - values], axis=1)
+        self.largest = impacts.max(axis=0)
+        self.digits = int(self.largest.max()).bit_length()
+        self.segments = [((impacts >> b) & 1).astype(np.float32).T.copy() for b in range(self.digits)]
+
+    def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (row) the positions that may be among its k best, other than those in its `own`, and their exact
+        scores: all of the k best are among them."""
+        n = len(self.values)
+        weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
+        exact = np.float32 if int((weights @ self.largest).max(initial=0)) < 1 << 24 else np.float64  # whole numbers, no rounding
+        weights, waiting = weights.astype(exact), np.arange(len(queries))
+        gained = np.zeros((len(queries), n), exact)
+        for row, at in enumerate(own):
+            gained[row, at] = -np.inf
+        out: list = [None] * len(queries)
+        for b in reversed(range(self.digits)):
+            gained += (weights @ self.segments[b].astype(exact, copy=False)) * exact(1 << b)
+            rest = weights.sum(axis=1) * ((1 << b) - 1)
+            best = np.partition(gained, n - k, axis=1)[:, n - k] if n > k else np.full(len(waiting), -np.inf)
+            possible = gained >= np.maximum(best - rest, 0)[:, None]
+            proven = (possible.sum(axis=1) <= max(RESCORE, 2 * k)) | (b == 0)
+            for row in np.nonzero(proven)[0]:
+                at = np.nonzero(possible[row])[0]
+                out[waiting[row]] = at, self.values[at] @ queries[waiting[row]]
+            if proven.all():
                 break
-        alive = alive[~np.isin(alive, mine)] if len(mine) else alive
-        return alive, self.values[alive] @ query
+            waiting, weights, gained = waiting[~proven], weights[~proven], gained[~proven]
+        for row in np.nonzero([x is None for x in out])[0]:  # no digits: all vectors are alike
+            at = np.setdiff1d(np.arange(n), own[row])
+            out[row] = at, self.values[at] @ queries[row]
+        return out
 
 
 def _search(k: int):
@@ -105,12 +75,16 @@ def _search(k: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids, values = c["id"].to_numpy(np.int64), np.stack(c["vector"].to_list()).astype(np.int64)
         index, queries, scores, found = ImpactIndex(values), [], [], []
-        for qid, vector in zip(q["id"].to_numpy(np.int64), q["vector"]):
-            at, score = index.best(np.asarray(vector, np.int64), k, np.nonzero(ids == qid)[0])
-            some = np.lexsort((ids[at], -score))[:k]
-            queries.append(np.full(len(some), qid))
-            found.append(ids[at[some]])
-            scores.append(score[some])
+        where = {x: np.array([i]) for i, x in enumerate(ids.tolist())}
+        for begin in range(0, len(q), BATCH):
+            some = q.iloc[begin : begin + BATCH]
+            asked = np.stack(some["vector"].to_list()).astype(np.int64)
+            own = [where.get(x, np.zeros(0, np.int64)) for x in some["id"].tolist()]
+            for qid, (at, score) in zip(some["id"].tolist(), index.search(asked, k, own)):
+                top = np.lexsort((ids[at], -score))[:k]
+                queries.append(np.full(len(top), qid))
+                found.append(ids[at[top]])
+                scores.append(score[top])
         return pd.DataFrame({"query_id": np.concatenate(queries), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
     return run
