@@ -26,9 +26,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = simhash.near_duplicates(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").withColumn("print", simhash.fingerprints("text"))
-    alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("print")).distinct()
-    nameless = nameless.join(alone, "print", "left_semi").dropDuplicates(["print"]).drop("print")
+    nameless = docs.where("doc_id is null").select(whole(docs), simhash.fingerprints("text").alias("fp"))
+    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
+    nameless = nameless.join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select("row.*")
     return named.unionByName(nameless).select(*docs.columns)
 
 

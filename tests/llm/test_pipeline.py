@@ -43,7 +43,7 @@ def test_stages(spark):
 
 
 def test_stages_in_odd_cases(spark):
-    docs = odd_docs(spark)
+    docs = odd_docs(spark).withColumns({"fp": F.lit(1), "print": F.lit("p"), "clean": F.lit("c"), "copies": F.lit(2)})
     empty = docs.limit(0)
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
