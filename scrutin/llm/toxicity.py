@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,16 +62,21 @@ class Model:
         return -math.expm1(math.fsum(math.log1p(-min(s, 1 - 1e-12)) for _, _, s in scored)), [s for s in scored if s[2] >= OFFENDING]
 
 
-def telling_words(held: list[set[str]], labels: np.ndarray) -> list[str]:
+def bag_of(text: str | None) -> Iterator[set[str]]:
+    return (words_of(m[0]) for m in SENTENCE.finditer(text or ""))
+
+
+def telling_words(texts: list[str | None], labels: np.ndarray) -> list[str]:
     """Words that toxic documents hold oftener than chance explains: the log-likelihood ratio of the word against the
     label has to exceed what the best of all the words would reach by chance, less SLACK. A noisy-or has no use for words
     that speak against an offence, and thousands of rare words would only let it memorise."""
     often, bad = Counter(), Counter()
-    for words, label in zip(held, labels):
+    for text, label in zip(texts, labels):
+        words = set().union(*bag_of(text))
         often.update(words)
         if label == 1:
             bad.update(words)
-    n, positive = len(held), float(labels.sum())
+    n, positive = len(texts), float(labels.sum())
     out = []
     least = 2 * math.log(max(2, sum(c >= LEAST_DOCUMENTS for c in often.values()))) - SLACK
     for w, c in often.items():
@@ -86,20 +92,19 @@ def telling_words(held: list[set[str]], labels: np.ndarray) -> list[str]:
 def train(texts: list[str | None], labels: np.ndarray) -> Model:
     """Full-batch Adam on the cross-entropy of the noisy-or, with an L2 penalty on the words' weights. No labels, one
     class only or no telling words: no weights, every score is 0."""
-    bags = [[sorted(words_of(m[0])) for m in SENTENCE.finditer(t or "")] for t in texts]
-    known = {w: i for i, w in enumerate(telling_words([{w for s in bag for w in s} for bag in bags], labels))}
+    known = {w: i for i, w in enumerate(telling_words(texts, labels))}
     if not len(labels) or labels.min() == labels.max() or not known:
         return Model({}, 0.0)
     ids, sentence_at, doc_at = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [known[w] for w in s if w in known]
+    for d, text in enumerate(texts):  # read again rather than kept: only telling words stay in memory
+        for s in bag_of(text):
+            own = sorted(known[w] for w in s if w in known)
             if own:
                 ids += own
                 sentence_at += [len(doc_at)] * len(own)
                 doc_at.append(d)
     ids, sentence_at, doc_at = np.array(ids, np.int32), np.array(sentence_at, np.int32), np.array(doc_at, np.int32)
-    n, sentences = len(bags), len(doc_at)
+    n, sentences = len(texts), len(doc_at)
     share = np.clip(labels.mean(), 0.01, 0.99)
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     theta = np.zeros(len(known) + 1)
