@@ -117,13 +117,13 @@ def _verify(cosine: float):
             flat = members.values
             node, many, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "many", "side"))
             vector, lists = flat.field("vector"), flat.field("filters")
-            v_at, v_all = vector.offsets.to_numpy(), vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            v_at, v_all = vector.offsets.to_numpy(), vector.values.to_numpy(zero_copy_only=False)
             f_at, f_all = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for number, a, b in zip(batch.column("filter").to_pylist(), ends[:-1], ends[1:]):
                 at = a + np.argsort(side[a:b], kind="stable")
                 n, cross = len(at), bool(side[a:b].any())
                 left = int((side[at] == 0).sum()) if cross else n
-                units = units_of(np.stack([v_all[v_at[k] : v_at[k + 1]] for k in at]))
+                units = units_of(np.stack([v_all[v_at[k] : v_at[k + 1]] for k in at]).astype(np.float64))
                 near = (units[:left] @ (units[left:] if cross else units).T) >= cosine
                 if not cross:
                     np.fill_diagonal(near, False)
