@@ -21,14 +21,19 @@ from pyspark.sql import types as T
 from .shared import table
 
 #: The trie and the counts by segment are begun anew beyond these sizes; longer pre-tokens than LONG bytes are computed apart.
-MOST_NODES, MOST_SEGMENTS, LONG = 400_000, 200_000, 512
+MOST_NODES, MOST_SEGMENTS, LONG = 1_000_000, 400_000, 512
 
-#: Pre-tokens never reach over a white space that follows something else, so a text is cut there and each segment
-#: (white space, then the rest) is counted once. White space of Python's that other engines don't count is left alone.
-SEGMENT = re.compile(r"\s*\S+|\s+")
+#: Pre-tokens never reach over a white space that follows something else, nor from a letter to a stop or comma, so a text
+#: is cut there and each segment (white space and a word, marks at a word's end, or white space and anything else) is
+#: worked on once. White space of Python's that other engines don't count is left alone.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+SEGMENT = re.compile(rf"\s*[{LETTERS}]+(?=[\s.,;:!?]|$)|[.,;:!?]+(?=\s|$)|\s*\S+|\s+")
 UNUSUAL = re.compile("[\x1c-\x1f]")
 
 
+ONLY_END, NO_END = 2.0, 1.0
+
+
 def segments(text: str) -> list[str]:
     return [text] if UNUSUAL.search(text) else SEGMENT.findall(text)
 
@@ -45,7 +50,11 @@ class Trie:
     def __init__(self, pieces: list[bytes], pattern: str):
         norm = math.log(sum(1 / (r + 1) for r in range(len(pieces))))
         self.scores = {p: -math.log(r + 1) - norm for r, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        # Log scores are under 0. Ends of pieces that are no pieces have ONLY_END: where even that is absent, no longer piece ends.
+        self.ends = dict.fromkeys((p[i:] for p in pieces for i in range(1, len(p))), ONLY_END) | self.scores
+        self.unknown = -2 * math.log(len(pieces) + 1)
+        self.plain = re.compile(rf" ?[{LETTERS}]+")
+        self.one_pre_token = regex.compile(pattern).fullmatch(" aé") is not None and regex.compile(pattern).match("é.")[0] == "é"
         self.pre_token = regex.compile(pattern)
         self.clear()
 
@@ -57,13 +66,16 @@ class Trie:
     def _forward(self, word: bytes, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """The best score of word[:end] and its tokens (of equal scores the fewest), from those of shorter prefixes.
         A byte that is no piece costs what the rarest piece costs."""
-        top, few = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            score = self.scores.get(word[start:end])
-            if score is None:
-                if start + 1 < end:
+        top, few, get = -math.inf, 0, self.ends.get
+        for start in range(end - 1, -1, -1):
+            score = get(word[start:end], NO_END)
+            if score > 0:
+                if start == end - 1 and len(word[start:end]) == 1 and word[start:end] not in self.scores:
+                    score = self.unknown
+                elif score == ONLY_END:
                     continue
-                score = -2 * math.log(len(self.scores) + 1)
+                else:
+                    break
             score += best[start]
             if score > top or score == top and tokens[start] + 1 < few:
                 top, few = score, tokens[start] + 1
@@ -95,7 +107,8 @@ class Trie:
         """Pre-tokens, tokens and score of a segment."""
         found = self.seen.get(text)
         if found is None:
-            counts = [self.count(w.encode("utf-8", "replace")) for w in self.pre_token.findall(text)]
+            words = [text] if self.one_pre_token and self.plain.fullmatch(text) else self.pre_token.findall(text)
+            counts = [self.count(w.encode("utf-8", "replace")) for w in words]
             found = len(counts), sum(n for n, _ in counts), math.fsum(s for _, s in counts)
             if len(text) <= LONG:
                 if len(self.seen) >= MOST_SEGMENTS or len(self.best) >= MOST_NODES:
