@@ -1,9 +1,11 @@
 """Lexical retrieval packing.
 
-Documents are dealt into shards of a bounded number of tokens. Each shard has an inverted BM25 index over its documents'
-token ids, with document frequencies of the whole corpus. A window is opened by a seed document; the index returns the
-seed's unused neighbours, best first, and these fill the window greedily. What doesn't fit is cut and seeds the next
-window, so all windows but a shard's last are full."""
+Related documents are first brought together over the whole corpus: each document looks for its best neighbour among those
+that share one of its telling terms, and what these links connect is laid side by side in one lexical order. That order is
+cut into shards of a bounded number of tokens. Each shard has an inverted BM25 index over its documents' token ids, with
+document frequencies of the whole corpus. A window is opened by a seed document; the index returns the seed's unused
+neighbours, best first, and these fill the window greedily. What doesn't fit is cut and seeds the next window, so all
+windows but a shard's last are full."""
 
 from __future__ import annotations
 
@@ -14,18 +16,20 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table, written
+from .shared import connected_components, table, written
 
 WINDOW = 2048
 END_ID = 1
 #: About so many tokens per shard; a document is never split over shards.
 SHARD_TOKENS = 1 << 20
-#: A seed asks with its most telling terms. It is ranking only: every document is packed, whoever asks.
-QUERY_TERMS = 32
+#: A document is compared over the whole corpus by so many telling terms, and sorted under each of the first PASSES of
+#: them; BLOCK documents that a sort makes consecutive are compared with each other, so a common term costs linear time.
+TELLING, PASSES, BLOCK = 16, 8, 64
 K1, B = 1.2, 0.75
 _held: dict = {}
 
@@ -91,27 +95,118 @@ def worker_encoder(tokenizer_json: str, pattern: str) -> Encoder:
 
 
 def ids_of(spark: SparkSession, text: Column, tokenizer_path: str, pattern: str) -> Column:
+    """A struct: ids, compressed since they are shuffled twice, and n, their number."""
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())  # of fixed size
 
-    @F.pandas_udf(T.BinaryType())
-    def ids(texts: pd.Series) -> pd.Series:
-        encoder = worker_encoder(sent.value, pattern)
-        return pd.Series([encoder.encode(t) for t in texts], dtype=object)
+    @F.pandas_udf("ids binary, n long")
+    def ids(texts: pd.Series) -> pd.DataFrame:
+        encoder, codec = worker_encoder(sent.value, pattern), pa.Codec("zstd", compression_level=1)
+        raw = [encoder.encode(t) for t in texts]
+        return pd.DataFrame({"ids": [codec.compress(x, asbytes=True) for x in raw], "n": [len(x) // 2 for x in raw]})
 
     return ids.asNondeterministic()(text)
 
 
+def unpacked(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    codec = pa.Codec("zstd")
+    return [np.frombuffer(codec.decompress(x.as_py(), 2 * n.as_py(), asbytes=True), "<u2") for x, n in zip(rows.column("ids"), rows.column("n"))]
+
+
 def _frequencies(batches):
     """Documents that hold each id, of a task's documents."""
     total = np.zeros(65536, np.int64)
     for batch in batches:
-        for raw in batch.column(0):
-            total[np.unique(np.frombuffer(raw.as_py(), "<u2"))] += 1
+        for doc in unpacked(batch):
+            total[np.unique(doc)] += 1
     at = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
 
+def inverse(frequency: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
+
+
+def telling(doc: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[bytes, bytes]:
+    """A document's TELLING terms of the highest BM25 weight, best first, and the weights. idf: 0 for terms of one document."""
+    terms, times = np.unique(doc, return_counts=True)
+    weight = idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(doc) / mean_length))
+    best = np.argsort(-weight, kind="stable")[:TELLING]
+    best = best[weight[best] > 0]
+    return terms[best].astype(">u2").tobytes(), weight[best].astype("<f2").tobytes()
+
+
+def best_of_block(nodes: np.ndarray, terms: list[bytes], weights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each document of a block the one that scores highest for its telling terms, and the score (0: none does)."""
+    of = np.repeat(np.arange(len(nodes)), [len(t) // 2 for t in terms])
+    seen, at = np.unique(np.frombuffer(b"".join(terms), ">u2"), return_inverse=True)
+    weight = np.zeros((len(nodes), len(seen)), np.float32)
+    weight[of, at] = np.frombuffer(b"".join(weights), "<f2")
+    score = (weight > 0).astype(np.float32) @ weight.T
+    score[nodes[:, None] == nodes[None, :]] = 0
+    best = score.argmax(axis=1)
+    return nodes[best], score[np.arange(len(nodes)), best]
+
+
+def _best(batches):
+    for batch in batches:
+        nodes, terms, weights = batch.column("node").to_numpy(), batch.column("terms").to_pylist(), batch.column("weights").to_pylist()
+        found = [best_of_block(nodes[a : a + BLOCK], terms[a : a + BLOCK], weights[a : a + BLOCK]) for a in range(0, len(nodes), BLOCK)]
+        if found:
+            other, score = map(np.concatenate, zip(*found))
+            keep = score > 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(other[keep]), pa.array(score[keep])], names=["u", "v", "score"])
+
+
+def _running(batches):
+    """Each row's number of tokens before it in its task."""
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        at = before + np.cumsum(n) - n
+        before += int(n.sum())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array(np.full(len(n), part, np.int32)), pa.array(at)], names=["row", "n", "part", "at"])
+
+
+def lexical_order(ids: DataFrame, frequency, n_docs: int, mean_length: float) -> DataFrame:
+    """ids(row, ids, n) -> (row, place): the tokens before the document in an order where related documents are neighbours.
+
+    Copies are one node. Each node is sorted under each of its first PASSES terms, by its other best ones next, and
+    compared with its block there; its best neighbour over all passes is its link. Components of links follow each other
+    by their least telling terms, and within a component documents do. A term that many documents have, or a large group of
+    copies, is only a longer stretch of a sort: no group is gathered."""
+    spark = ids.sparkSession
+
+    def signs(batches):
+        idf = np.where(frequency.value > 1, inverse(frequency.value, n_docs), 0)
+        for batch in batches:
+            found = [telling(d, idf, mean_length) for d in unpacked(batch)]
+            columns = [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), batch.column("node"), *columns], names=["row", "n", "node", "terms", "weights"])
+
+    signed = ids.select("row", "n", "ids", F.xxhash64("ids").alias("node")).mapInArrow(signs, "row long, n long, node long, terms binary, weights binary")
+    signed, _ = written(signed, "signs")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("terms", "weights")).alias("s")).select("node", "s.*")
+    passes = nodes.select("node", "terms", "weights", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("k")).where(F.octet_length("terms") > 2 * F.col("k"))
+    passes = passes.withColumn("key", F.expr("concat(substring(terms, 2 * k + 1, 2), substring(terms, 1, 8))"))
+    blocks = passes.repartitionByRange("key", "node").sortWithinPartitions("key", "node").select("node", "terms", "weights")
+    links = blocks.mapInArrow(_best, "u long, v long, score float").groupBy("u").agg(F.max(F.struct("score", "v")).alias("best")).select("u", "best.v")
+    links, _ = written(links, "links")
+    component = connected_components(links)
+    named = nodes.join(component, "node", "left").select("node", "terms", F.coalesce("component", "node").alias("component"))
+    lead = named.groupBy("component").agg(F.min("terms").alias("lead"))
+    named, _ = written(named.join(lead, "component").select("node", "component", "lead"), "named")
+    by = ["lead", "component", "terms", "row"]
+    ordered = signed.join(named, "node").select("n", *by).repartitionByRange(*by).sortWithinPartitions(*by).select("row", "n")
+    ordered, _ = written(ordered.mapInArrow(_running, "row long, n long, part int, at long"), "order")
+    total, offsets = 0, []
+    for part, n in sorted(ordered.groupBy("part").agg(F.sum("n")).collect()):  # a row for each task
+        offsets.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(offsets, "part int, offset long")
+    return ordered.join(F.broadcast(offsets), "part").select("row", (F.col("offset") + F.col("at")).alias("place"))
+
+
 class Index:
     """BM25 over a shard's documents. frequency: by id, of n_docs documents in all."""
 
@@ -120,8 +215,7 @@ class Index:
         key = np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 16 | np.concatenate(docs)
         key, times = np.unique(key, return_counts=True)
         doc, term = key >> 16, key & 0xFFFF
-        idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
-        self.weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[doc] / mean_length))
+        self.weight = inverse(frequency, n_docs)[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[doc] / mean_length))
         self.begin, self.term = np.searchsorted(doc, np.arange(len(docs) + 1)), term
         order = np.argsort(term, kind="stable")
         self.postings, self.impact = doc[order], self.weight[order]
@@ -129,10 +223,8 @@ class Index:
         self.n = len(docs)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's most telling terms, by score, ties in the shard's order."""
-        a, b = self.begin[seed], self.begin[seed + 1]
-        terms = self.term[a:b][np.argsort(-self.weight[a:b], kind="stable")[:QUERY_TERMS]]
-        slices = [slice(self.ends[t], self.ends[t + 1]) for t in terms]
+        """Unused documents that share a term with the seed, by score, ties in the shard's order."""
+        slices = [slice(self.ends[t], self.ends[t + 1]) for t in self.term[self.begin[seed] : self.begin[seed + 1]]]
         score = np.bincount(np.concatenate([self.postings[s] for s in slices]), weights=np.concatenate([self.impact[s] for s in slices]), minlength=self.n)
         score[~unused] = 0
         found = np.nonzero(score)[0]
@@ -192,21 +284,20 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, *, id_col: str = "d
     Null and empty texts are the end id alone. Repeated rows and ids, null ids too, are documents of their own. Empty
     table: no pieces. Very long documents fill windows of their own. Other columns are not read."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc"), ids_of(spark, F.col(f"`{text_col}`"), tokenizer_path, pattern).alias("ids"))
-    ids, _ = written(ids.withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.octet_length("ids") / 2), "ids")
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc"), ids_of(spark, F.col(f"`{text_col}`"), tokenizer_path, pattern).alias("r")).select("doc", "r.*")
+    ids, _ = written(ids.withColumn("row", F.monotonically_increasing_id()), "ids")
     n_docs, n_tokens = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    by_id = ids.select("ids").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    by_id = ids.select("ids", "n").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     frequency = np.zeros(65536, np.int64)
     for row in by_id.collect():  # at most as many rows as the vocabulary has ids
         frequency[row["id"]] = row["n"]
     sent, mean = spark.sparkContext.broadcast(frequency), float(n_tokens) / max(1, n_docs)
-    shards = max(1, -(-int(n_tokens) // shard_tokens))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind)] + [T.StructField(k, T.LongType()) for k in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def pack_shard(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("row")
-        own = [np.frombuffer(x.as_py(), "<u2") for x in rows.column("ids")]
+        rows = rows.sort_by("place")
+        own = unpacked(rows)
         pieces = []
         for number, sequence in enumerate(windows(own, Index(own, sent.value, n_docs, mean), size)):
             offset = 0
@@ -217,7 +308,12 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, *, id_col: str = "d
         columns = list(zip(*pieces))
         return pa.Table.from_arrays([rows.column("doc").take(pa.array(columns[0]))] + [pa.array(c, pa.int64()) for c in columns[1:]], names=schema.names)
 
-    dealt = ids.select("doc", "ids", "row", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
+    if n_tokens > shard_tokens:
+        ids = ids.join(lexical_order(ids, sent, n_docs, mean), "row")
+        shard = F.expr(f"place div {shard_tokens}")
+    else:  # one shard has all
+        ids, shard = ids.withColumn("place", F.col("row")), F.lit(0).cast("long")
+    dealt = ids.select("doc", "ids", "n", "place", shard.alias("shard"))
     return dealt.groupBy("shard").applyInArrow(pack_shard, schema)
 
 

@@ -479,6 +479,31 @@ def test_packing_prefers_lexical_neighbours():
     assert np.mean(same) > 0.6
 
 
+def test_packing_brings_neighbours_together_over_many_shards(spark):
+    """Texts and near copies of them, far apart in the table: over 20 shards and over 80, a pair shares a shard."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("bcdfghklmnprstvz") + list("aeiou"), 6)) for _ in range(3000)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for n in (400, 1600):
+        first = [[words[w] for w in rng.integers(0, 3000, 60)] for _ in range(n // 2)]
+        second = [[words[rng.integers(3000)] if rng.random() < 0.1 else w for w in t] for t in first]
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(first + second)], "doc_id long, text string")
+        shard, tokens = {}, 0
+        for r in packing.pack(docs, path, public_tokenizers.PATTERN, shard_tokens=4000).where("start = 0").collect():
+            shard[r.doc_id], tokens = r.sequence_id >> 32, tokens + r.doc_tokens
+        assert len(shard) == n and len(set(shard.values())) >= n / 20
+        assert tokens / 4000 - 1 < len(set(shard.values())) <= tokens / 4000 + 1
+        assert np.mean([shard[i] == shard[i + n // 2] for i in range(n // 2)]) > 0.85
+
+
+def test_seed_asks_with_all_its_terms():
+    """Neighbours that share only terms past the seed's 32 most telling ones are found too."""
+    docs = [np.arange(100, 200, dtype=np.uint16), np.arange(190, 290, dtype=np.uint16)]
+    frequency = np.ones(65536, np.int64)
+    frequency[190:200] = 2
+    assert packing.Index(docs, frequency, 50, 100.0).neighbours(0, np.array([False, True])).tolist() == [1]
+
+
 def test_packing_in_odd_cases(spark):
     docs = odd_docs(spark)
     got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
