@@ -35,8 +35,13 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"[\x20().0-9-]*")
 AUTHORITY = re.compile(r"[^\s/@:?#]+(?::[^\s/@?#]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?")
-AFTER_CUE = re.compile(r"(?:\s{0,3}(?:number|no\.?|nr\.?|id|#))?\s{0,3}[:=#]?\s{0,3}([0-9](?:[\x20-]?[0-9]){5,33})(?![0-9A-Za-z])", re.ASCII)
+AFTER_CUE = re.compile(r"(?:\s{0,3}(?:number|no\.?|nr\.?|id|#))?\s{0,3}[:=#]?\s{0,3}([0-9](?:[\x20-]?[0-9]){5,33})(?![0-9A-Za-z])", re.ASCII | re.IGNORECASE)
+IBAN_START = re.compile(r"[A-Z](?=[A-Z][0-9]{2})")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: An IBAN starts at most so many characters after its cue.
+IBAN_WITHIN = 60
+#: Other characters keep their place: str.lower would make two of some.
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 Span = tuple[str, int, int]
 
@@ -53,8 +58,7 @@ def anchors() -> ahocorasick.Automaton:
             for gap in ("", " ", "-"):
                 a.add_word(f"{x}{gap}{y}", ("9", len(gap) + 2))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("cue", len(form)))
+        a.add_word(cue, ("cue", len(cue)))
     a.make_automaton()
     return a
 
@@ -68,6 +72,21 @@ def iban_valid(code: str) -> bool:
     return int("".join(str(int(x, 36)) for x in code[4:] + code[:4])) % 97 == 1
 
 
+def _ibans(text: str, at: int) -> list[tuple[int, int]]:
+    """All valid IBANs that start within IBAN_WITHIN characters from `at`, wherever they end, but those inside another."""
+    out = []
+    for begin in IBAN_START.finditer(text, at, at + IBAN_WITHIN + 3):
+        found = IBAN.match(text, begin.start())
+        code = found[0].replace(" ", "") if found else ""
+        left, stop = next((n for n in range(len(code), 14, -1) if iban_valid(code[:n])), 0), begin.start()
+        while left:
+            left -= text[stop] != " "
+            stop += 1
+        if stop > max(begin.start(), out[-1][1] if out else 0):
+            out.append((begin.start(), stop))
+    return out
+
+
 def _email(text: str, at: int, least: int) -> tuple[int, int] | None:
     """From an at-sign: left over the local part (not before `least`), right over the domain."""
     start = at
@@ -95,7 +114,7 @@ def find(text: str | None) -> list[Span]:
     spans: list[Span] = []
     email_to = dotted_to = number_to = phone_to = url_to = cue_to = 0
     iban_at = []
-    for end, (what, length) in anchors().iter(text):
+    for end, (what, length) in anchors().iter(text.translate(LOWER)):
         at = end - length + 1
         if what == "@":
             if at >= email_to and (found := _email(text, at, email_to)):
@@ -136,17 +155,9 @@ def find(text: str | None) -> list[Span]:
     if iban_at:
         taken = sorted((a, b) for _, a, b in spans)
         for at in iban_at:
-            if found := next((m for m in IBAN.finditer(text, at, at + 60)), None):
-                code = found[0].replace(" ", "")
-                whole = [n for n in range(len(code), 14, -1) if iban_valid(code[:n])]
-                if whole:
-                    stop, left = found.start(), whole[0]
-                    while left:
-                        left -= text[stop] != " "
-                        stop += 1
-                    spans.append(("iban", found.start(), stop))
-                    continue
-            if (found := AFTER_CUE.match(text, at)) and not any(a < found.end(1) and found.start(1) < b for a, b in taken):
+            ibans = _ibans(text, at)
+            spans += [("iban", *x) for x in ibans]
+            if (found := AFTER_CUE.match(text, at)) and not any(a < found.end(1) and found.start(1) < b for a, b in taken + ibans):
                 spans.append(("account", *found.span(1)))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(spans), key=lambda s: (s[1], order[s[0]], s[2]))

@@ -374,6 +374,32 @@ def test_pii_adds_spans_and_redacts():
     assert not brute_spans(clean, PII) and clean.endswith("mail [EMAIL]") and pii.redacted(None) is None and pii.redacted("plain") == "plain"
 
 
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ("Social Security 123-45-6789", "account", "123-45-6789"),
+        ("Tax ID: 123456789", "account", "123456789"),
+        ("Account Number: 12345678", "account", "12345678"),
+        ("Account No. 12345678", "account", "12345678"),
+        ("aCCount nUmber 12345678", "account", "12345678"),
+        ("SSN ID 123456789", "account", "123456789"),
+        ("IBAN " + "x" * 45 + " DE89 3704 0044 0532 0130 00.", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("iban not AB12 CDEF GHIJ KLMN OPQ, DE89370400440532013000", "iban", "DE89370400440532013000"),
+        ("IBAN REF AB12 DE89370400440532013000", "iban", "DE89370400440532013000"),
+        ("\u0130\u0130 Tax Id 123456789", "account", "123456789"),
+    ],
+)
+def test_pii_added_spans_in_all_spellings(text, kind, value):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text) if k in ("account", "iban")] == [(kind, value)]
+    assert value not in pii.redacted(text)
+
+
+def test_pii_several_numbers_after_one_cue():
+    text = "account 12345678, DE89370400440532013000 or GB82WEST12345698765432"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)] == [("account", "12345678"), ("iban", "DE89370400440532013000"), ("iban", "GB82WEST12345698765432")]
+    assert pii.find("iban " * 40_000) == []  # each search ends at its window
+
+
 def test_pii_query(spark):
     got = {r.doc_id: r for r in registry.QUERIES["op7_pii"](spark, SF).collect()}
     for k, t in texts():
