@@ -21,15 +21,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6. Of each component the document with the smallest id stays; of its repeated rows, one. Documents with
-    a null id are of no component's name and stay only if their component has no other: then one of them."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").select(whole(docs), simhash.fingerprints("text").alias("fp"))
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    nameless = nameless.join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select("row.*")
-    return named.unionByName(nameless).select(*docs.columns)
+    """Operator 6. One row of each component stays: that of the smallest id (null: last), then of the smallest fingerprint,
+    then the smallest hash of the row. Ids may be repeated or null; rows that share one are copies only if their texts are."""
+    rows = docs.select(whole(docs), simhash.fingerprints("text").alias("fp"))
+    rows, _ = written(rows.withColumn("at", F.monotonically_increasing_id()), "rows")
+    found = simhash.components(rows.select("fp").distinct())
+    ranked = rows.select("at", "fp", F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), "fp", F.xxhash64("row"), "at").alias("rank"))
+    least = ranked.groupBy("fp").agg(F.min("rank").alias("rank"))
+    kept = least.join(found, "fp").groupBy("component").agg(F.min("rank").alias("rank")).select("rank.at")
+    return rows.join(kept, "at", "left_semi").select("row.*").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

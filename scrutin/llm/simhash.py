@@ -150,6 +150,14 @@ def fingerprint_links(distinct: DataFrame, most: int = MOST_BITS, block: int = B
     return met.where(F.size("left") + F.size("right") > 1).select("left", "right").mapInArrow(_edges(most), "u long, v long")
 
 
+def components(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """distinct(fp long) -> (fp, component), a row for each; a component is known by a fingerprint in it."""
+    distinct, _ = written(distinct, "distinct")
+    edges, _ = written(fingerprint_links(distinct, most), "links")
+    nodes = connected_components(edges)
+    return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
     """docs -> (id_col, fp long, component_id), a row for each row of docs; component_id is the smallest id reachable.
 
@@ -159,9 +167,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     prints, _ = written(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprints(F.col(f"`{text_col}`")).alias("fp")), "prints")
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    edges, _ = written(fingerprint_links(classes.select("fp"), most), "links")
-    nodes = connected_components(edges)
-    labelled = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = classes.join(components(classes.select("fp"), most), "fp")
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named, _ = written(labelled.join(names, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")

@@ -53,5 +53,18 @@ def test_stages_in_odd_cases(spark):
     assert pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
 
 
+def test_near_copies_are_of_components_not_of_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in ("alpha", "beta", "gamma"))
+    other = next(f"{a} tail{i}" for i in range(10_000) if 0 < (brute_fingerprint(f"{a} tail{i}") ^ brute_fingerprint(a)).bit_count() <= 3)
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(r.text for r in pipeline.keep_one_of_near_copies(spark, docs, SF).collect())
+
+    assert kept([(1, a), (1, b), (1, b), (2, c), (3, a)]) == sorted([a, b, c])  # one id, two texts
+    assert len(kept([(None, a), (None, other), (None, a)])) == 1  # near copies without ids
+    assert kept([(None, a), (5, other), (None, b)]) == sorted([other, b])
+
+
 def test_run(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
