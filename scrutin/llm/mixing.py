@@ -1,11 +1,11 @@
 """Mixing sources to target weights.
 
 Tokens are summed per source, repetition rates follow from the targets, and each document is emitted floor(rate) times
-plus one copy drawn by a seeded hash of its id with probability equal to the fraction.
+plus one copy drawn by a seeded hash of its id with probability equal to its source's fraction.
 
-A few long documents can hold much of a source, and independent draws would then miss its target by far. So documents are
-drawn in tiers, the longest first, and what the draws of a tier took beyond or below the fraction is made good by the
-fraction of the next. Over all seeds each document's probability is the source's fraction (but for the bounds 0 and 1)."""
+A few long documents can hold much of a source, and one seed's draws could then miss its target by far. So each source
+has a seed of its own: of SEEDS seeds the one whose draws come nearest its target. Every document of a source is drawn
+at the same fraction by the same seed."""
 
 from __future__ import annotations
 
@@ -13,18 +13,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import checked, table, written
+from .shared import drop, join_hot, running, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
 SEED = "mix-1"
-#: A document is of the first tier for which its size times the tier's number reaches its source's target; the rest are
-#: of the last.
-TIERS = (20, 200, 2000)
-#: Rates of up to so many sources (some MB) go to every executor; those of more meet their documents in a shuffled join.
+#: Seeds that a source chooses from.
+SEEDS = 32
+#: Rates of up to so many sources (some MB) go to every executor; of more, only those of hot sources do.
 BROADCAST_SOURCES = 50_000
 
 
@@ -33,27 +31,39 @@ def words_of(text: Column) -> Column:
 
 
 def source_rates(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """sized(source, size, ...) -> (source, source_size, target, rate), one row per source.
+    """sized(source, size, ...) -> (source, n_docs, source_size, target, rate), one row per source.
 
     Sources in code point order, null last, take the weights in turn. Together they share all words; a target stops at
     `most` times its source's size, and the excess is shared again by weight until none is above. In closed form: with
     sources in ascending order of most * size / weight, those before the first whose level holds stop, and the rest
-    share what is left by weight. Only this table, one row per source, is ordered in a single task; documents
-    are summed before, with partial sums, so a source with a third of all rows is no hot key."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), nth % len(weights)))
+    share what is left by weight. Documents are summed by partial sums, so a source with a third of all rows is no hot
+    key, and both orders of sources are range partitions, so any number of sources will do."""
+    per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    per = running(per, [F.col("source").asc_nulls_last()], {"nth": F.lit(1).cast("long")})
+    per = per.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("nth") % len(weights)))
     per = per.withColumn("cap", F.col("source_size") * F.lit(most))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    on = by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    per = per.withColumn("level", left.cast("double") / F.sum("weight").over(on))
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)["level"])
-    target = F.when(F.col("level").isNull(), F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
+    by_level = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
+    per = running(per, by_level, {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    words, weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level = (F.lit(words) - F.col("cap_before")).cast("double") / (F.lit(weight) - F.col("weight_before"))
+    holds = per.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap"))
+    first = holds.agg(F.min(F.struct(F.col("cap") / F.col("weight"), "level"))["level"]).first()[0]
+    target = F.lit(0.0) if first is None else F.least(F.col("cap").cast("double"), F.lit(first) * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return per.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
+    return per.withColumn("target", target).select("source", "n_docs", "source_size", "target", rate.alias("rate"))
+
+
+def key_of(source: Column) -> Column:
+    """A source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def with_rates(rows: DataFrame, rates: DataFrame, n_docs: int) -> DataFrame:
+    """rows(key, ...) with the columns of rates(key, n_docs, ...): a hot source's rows are not brought together."""
+    rates, _ = written(rates, "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(rates.drop("n_docs")), "key")
+    return join_hot(rows, rates, "key", "n_docs", n_docs)
 
 
 def draw(key: Column, seed: str = SEED) -> Column:
@@ -62,25 +72,21 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def tier_of(size: Column, target: Column) -> Column:
-    tier = F.lit(len(TIERS))
-    for i in reversed(range(len(TIERS))):
-        tier = F.when(size * TIERS[i] >= target, i).otherwise(tier)
-    return tier
+def turned(u: Column, seed_no: Column) -> Column:
+    """The draw under another seed: u and the seed's number over SEEDS added on a circle of length 1, without rounding."""
+    at = u + seed_no / F.lit(float(SEEDS))
+    return at - F.floor(at)
 
 
-def tier_fractions(sized: DataFrame, rates: DataFrame) -> DataFrame:
-    """rates plus fractions array<double>, one for each tier. sized(source, size, u): each tier is a sum over it."""
-    whole = F.floor("rate")
-    state = rates.select("*", F.array().cast("array<double>").alias("fractions"), (F.col("target") - whole * F.col("source_size")).alias("due"), F.col("source_size").alias("left"))
-    for tier in range(len(TIERS) + 1):
-        now = F.when(F.col("left") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("due") / F.col("left")))).otherwise(F.lit(0.0))
-        state = checked(state.withColumn("fractions", F.concat("fractions", F.array(now))), "tiers", BROADCAST_SOURCES)
-        own = sized.join(state.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))).where(tier_of(F.col("size"), F.col("target")) == tier)
-        took = own.groupBy("its").agg(F.sum("size").alias("words"), F.sum(F.when(F.col("u") < F.col("fractions")[tier], F.col("size")).otherwise(0)).alias("taken"))
-        state = state.join(took, F.col("source").eqNullSafe(F.col("its")), "left").drop("its")
-        state = state.withColumns({"due": F.col("due") - F.coalesce("taken", F.lit(0)), "left": F.col("left") - F.coalesce("words", F.lit(0))}).drop("words", "taken")
-    return state.drop("due", "left")
+def with_seeds(sized: DataFrame, rates: DataFrame, n_docs: int) -> DataFrame:
+    """rates plus seed_no: of all seeds the one whose draws come nearest what the fraction asks for (ties: the first).
+    sized(key, size, u) is summed once for all seeds, with partial sums."""
+    met = with_rates(sized, rates.select("key", "n_docs", "fraction"), n_docs)
+    tried = met.select("key", "size", "u", "fraction", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed_no"))
+    taken = F.sum(F.when(turned(F.col("u"), F.col("seed_no")) < F.col("fraction"), F.col("size")).otherwise(F.lit(0)))
+    off = F.abs(F.col("taken") - (F.col("target") - F.floor("rate") * F.col("source_size")))
+    tried = tried.groupBy("key", "seed_no").agg(taken.alias("taken")).join(rates, "key").select("key", F.struct(off.alias("off"), "seed_no").alias("s"))
+    return rates.join(tried.groupBy("key").agg(F.min("s")["seed_no"].alias("seed_no")), "key")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
@@ -90,15 +96,19 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     source of its own, after the others. Null id: drawn as the key "null". Repeated rows draw alike. Empty table: no
     rows. A source without words: target 0, copies 0. No document has more than `most` copies."""
     size, u = words_of(F.col(f"`{text_col}`")), draw(F.col(f"`{id_col}`"), seed)
-    sized, _ = written(docs.select(F.col(f"`{source_col}`").alias("source"), size.alias("size"), u.alias("u")), "sized")
-    rates = tier_fractions(sized, source_rates(sized, weights, most))
-    rates = checked(rates.withColumnRenamed("source", "its"), "rates", BROADCAST_SOURCES)
+    source = F.col(f"`{source_col}`")
+    sized, path = written(docs.select(source.alias("source"), key_of(source).alias("key"), size.alias("size"), u.alias("u")), "sized")
+    rates = source_rates(sized, weights, most).withColumns({"key": key_of(F.col("source")), "fraction": F.col("rate") - F.floor("rate")}).drop("source")
+    rates, _ = written(rates, "rates")
+    n_docs = rates.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    seeded = with_seeds(sized, rates, n_docs)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    d = d.select("row", F.col(f"row.`{source_col}`").alias("source"), words_of(F.col(f"row.`{text_col}`")).alias("size"))
-    fraction = F.get("fractions", tier_of(F.col("size"), F.col("target")))
-    copies = F.floor("rate") + (draw(F.col(f"row.`{id_col}`"), seed) < fraction).cast("long")
-    met = d.join(rates, F.col("source").eqNullSafe(F.col("its")), "left")
-    return met.select("row", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    d = d.select("row", key_of(F.col(f"row.`{source_col}`")).alias("key"), words_of(F.col(f"row.`{text_col}`")).alias("size"))
+    met = with_rates(d, seeded, n_docs)
+    drop(docs.sparkSession, path)
+    once_more = turned(draw(F.col(f"row.`{id_col}`"), seed), F.col("seed_no")) < F.col("fraction")
+    copies = F.least(F.floor("rate") + once_more.cast("long"), F.lit(most)).cast("long")
+    return met.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
@@ -129,42 +139,16 @@ WITH sized AS (
   SELECT arg_min(lev, cap / weight) AS lev FROM levels WHERE lev * weight <= cap
 ), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, one.lev * weight) AS target FROM levels, one
-), rates0 AS (
-  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-         target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END) * source_size AS due, source_size AS left_
-  FROM targets
-), fraction0 AS (
-  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f0 FROM rates0
-), rates1 AS (
-  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction0 r LEFT JOIN (
-    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f0 THEN size ELSE 0 END)::BIGINT AS taken
-    FROM sized s JOIN fraction0 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 20 >= target GROUP BY r.source
-  ) t ON r.source IS NOT DISTINCT FROM t.source
-), fraction1 AS (
-  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f1 FROM rates1
-), rates2 AS (
-  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction1 r LEFT JOIN (
-    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f1 THEN size ELSE 0 END)::BIGINT AS taken
-    FROM sized s JOIN fraction1 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 20 < target AND size * 200 >= target GROUP BY r.source
-  ) t ON r.source IS NOT DISTINCT FROM t.source
-), fraction2 AS (
-  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f2 FROM rates2
-), rates3 AS (
-  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction2 r LEFT JOIN (
-    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f2 THEN size ELSE 0 END)::BIGINT AS taken
-    FROM sized s JOIN fraction2 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 200 < target AND size * 2000 >= target GROUP BY r.source
-  ) t ON r.source IS NOT DISTINCT FROM t.source
-), fraction3 AS (
-  SELECT *, CASE WHEN left_ > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, due / left_)) ELSE 0.0::DOUBLE END AS f3 FROM rates3
-), rates4 AS (
-  SELECT r.* REPLACE (due - coalesce(t.taken, 0) AS due, left_ - coalesce(t.words, 0) AS left_) FROM fraction3 r LEFT JOIN (
-    SELECT r.source, sum(size)::BIGINT AS words, sum(CASE WHEN u < f3 THEN size ELSE 0 END)::BIGINT AS taken
-    FROM sized s JOIN fraction3 r ON s.source IS NOT DISTINCT FROM r.source WHERE size * 2000 < target GROUP BY r.source
-  ) t ON r.source IS NOT DISTINCT FROM t.source
+), rates AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets
+), seeds AS (
+  SELECT source, arg_min(seed_no, (off, seed_no)) AS seed_no FROM (
+    SELECT r.source, k AS seed_no, abs(coalesce(sum(size) FILTER ((u + k / 32.0::DOUBLE) - floor(u + k / 32.0::DOUBLE) < rate - floor(rate)), 0)::BIGINT - any_value(target - floor(rate) * source_size)) AS off
+    FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source CROSS JOIN range(32) AS seed(k) GROUP BY r.source, k
+  ) GROUP BY source
 ), copies AS (
-  SELECT s.doc_id, s.size, r.source_size, r.target, least(3, floor(rate)::BIGINT + (u < CASE
-      WHEN size * 20 >= target THEN f0 WHEN size * 200 >= target THEN f1 WHEN size * 2000 >= target THEN f2 ELSE f3 END)::BIGINT) AS copies
-  FROM sized s JOIN rates4 r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT s.doc_id, s.size, r.source_size, r.target, least(3, floor(rate)::BIGINT + ((u + seed_no / 32.0::DOUBLE) - floor(u + seed_no / 32.0::DOUBLE) < rate - floor(rate))::BIGINT) AS copies
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source JOIN seeds ON s.source IS NOT DISTINCT FROM seeds.source
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copies
 """
