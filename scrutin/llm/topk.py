@@ -1,91 +1,97 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Vectors are dealt into shards. A component's distance from its dimension's worst value (the lowest for a positive weight
-of a query, the highest for a negative one) is an impact >= 0. Its binary digits quantise it: the posting segment of a
-dimension and digit b holds the vectors whose impact has that digit, and adds 2^b times the query's weight to each. Segments
-are processed by descending 2^b, those of a digit for all dimensions and a batch of queries in one product with their
-bitmaps. After each digit a vector's final score lies between its accumulator and that plus the weights' sum times
-2^b - 1. A query stops only when this proves that few vectors can still be among its k best, and those are scored exactly."""
+Vectors are dealt into shards. In each dimension a component is quantised to one of LEVELS, and the ids of a level are a
+posting segment. For a query a component's impact is its distance from the dimension's worst value (the lowest for a
+positive weight, the highest for a negative one), so a segment adds at least its quantised impact times the weight to the
+score of its ids. Segments of all dimensions are processed by descending quantised impact times weight. At any point a
+vector's score lies between its accumulator and that plus what the segments that are left and the quantising can add; a
+query stops only when this proves that few vectors can still be among its k best, and those are scored exactly."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .caps import usable
 from .shared import table, written
 
 SCALE = 256
 EVERY = 50
 K = 5
-#: Vectors per shard of the index, queries per block, queries that are processed together, and how few possible members
-#: are scored exactly before the last digit.
-SHARD = 16_384
-QUERY_BLOCK = 1024
-BATCH = 256
-RESCORE = 64
+#: Levels of a dimension; vectors per shard of the index; queries per block at most and at least (between them, blocks
+#: are as many as it takes to keep the cluster busy).
+LEVELS = 32
+SHARD = 32_768
+QUERY_BLOCK, LEAST_BLOCK = 16_384, 128
+#: After these shares of a query's postings the proof is tried; so few possible members end the query before the last one.
+TRIES = (0.8, 0.9, 0.95, 1.0)
+RESCORE = 512
 
 
 class ImpactIndex:
-    """Posting segments of one shard as bitmaps. values: int64, a row for each vector."""
+    """Posting segments of one shard. values: int64, a row for each vector."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
-        impacts = np.concatenate([values - values.min(axis=0), values.max(axis=0) - values], axis=1)
-        self.largest = impacts.max(axis=0)
-        self.digits = int(self.largest.max()).bit_length()
-        self.segments = [((impacts >> b) & 1).astype(np.float32).T.copy() for b in range(self.digits)]
-
-    def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (row) the positions that may be among its k best, other than those in its `own`, and their exact
-        scores: all of the k best are among them."""
+        n, dims = values.shape
+        self.values, self.low, self.high = values, values.min(axis=0), values.max(axis=0)
+        self.step = (self.high - self.low) // LEVELS + 1
+        level = (values - self.low) // self.step
+        key = (level + np.arange(dims) * LEVELS).T.ravel()
+        order = np.argsort(key, kind="stable")
+        self.postings = order % n  # ids by dimension and level
+        self.ends = np.searchsorted(key[order], np.arange(dims * LEVELS + 1))
+
+    def impacts(self, query: np.ndarray) -> tuple[np.ndarray, int]:
+        """What each segment (dimension, level) adds at least, and how much more all dimensions can add by quantising."""
+        weight, at = np.abs(query), np.arange(LEVELS)
+        up = at * self.step[:, None]
+        down = np.maximum(0, (self.high - self.low)[:, None] + 1 - (at + 1) * self.step[:, None])
+        return weight[:, None] * np.where(query[:, None] > 0, up, down), int(weight @ (self.step - 1))
+
+    def search(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions that may be among the query's k best, other than those in `own`, and their exact scores: all of
+        the k best are among them."""
         n = len(self.values)
-        weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
-        exact = np.float32 if int((weights @ self.largest).max(initial=0)) < 1 << 24 else np.float64  # whole numbers, no rounding
-        weights, waiting = weights.astype(exact), np.arange(len(queries))
-        gained = np.zeros((len(queries), n), exact)
-        for row, at in enumerate(own):
-            gained[row, at] = -np.inf
-        out: list = [None] * len(queries)
-        for b in reversed(range(self.digits)):
-            gained += (weights @ self.segments[b].astype(exact, copy=False)) * exact(1 << b)
-            rest = weights.sum(axis=1) * ((1 << b) - 1)
-            best = np.partition(gained, n - k, axis=1)[:, n - k] if n > k else np.full(len(waiting), -np.inf)
-            possible = gained >= np.maximum(best - rest, 0)[:, None]
-            proven = (possible.sum(axis=1) <= max(RESCORE, 2 * k)) | (b == 0)
-            for row in np.nonzero(proven)[0]:
-                at = np.nonzero(possible[row])[0]
-                out[waiting[row]] = at, self.values[at] @ queries[waiting[row]]
-            if proven.all():
+        impact, slack = self.impacts(query)
+        used = np.nonzero((impact.ravel() > 0) & (np.diff(self.ends) > 0))[0]
+        used = used[np.argsort(-impact.ravel()[used], kind="stable")]
+        lengths = self.ends[used + 1] - self.ends[used]
+        done = np.searchsorted(np.cumsum(lengths), np.array(TRIES) * lengths.sum(), side="right") if len(used) else np.zeros(len(TRIES), int)
+        done[-1], gained, left = len(used), np.zeros(n), np.zeros(impact.size, impact.dtype)
+        left[used] = impact.ravel()[used]
+        for begin, end in zip([0, *done[:-1].tolist()], done.tolist()):
+            some = used[begin:end]
+            if len(some):
+                ids = np.concatenate([self.postings[self.ends[s] : self.ends[s + 1]] for s in some.tolist()])
+                gained += np.bincount(ids, np.repeat(left[some].astype(float), lengths[begin:end]), n)
+                left[some] = 0
+            rest = slack + int(left.reshape(impact.shape).max(axis=1).sum())
+            open_ = gained.copy()
+            open_[own] = -np.inf
+            best = np.partition(open_, n - k)[n - k] if n > k else -np.inf
+            possible = np.nonzero((open_ > -np.inf) & (open_ + rest >= best))[0]
+            if len(possible) <= max(RESCORE, 2 * k) or end == len(used):
                 break
-            waiting, weights, gained = waiting[~proven], weights[~proven], gained[~proven]
-        for row in np.nonzero([x is None for x in out])[0]:  # no digits: all vectors are alike
-            at = np.setdiff1d(np.arange(n), own[row])
-            out[row] = at, self.values[at] @ queries[row]
-        return out
+        return possible, self.values[possible] @ query
 
 
 def _search(k: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        c, q = rows[~rows["asks"]], rows[rows["asks"]]
-        if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids, values = c["id"].to_numpy(np.int64), np.stack(c["vector"].to_list()).astype(np.int64)
-        index, queries, scores, found = ImpactIndex(values), [], [], []
-        where = {x: np.array([i]) for i, x in enumerate(ids.tolist())}
-        for begin in range(0, len(q), BATCH):
-            some = q.iloc[begin : begin + BATCH]
-            asked = np.stack(some["vector"].to_list()).astype(np.int64)
-            own = [where.get(x, np.zeros(0, np.int64)) for x in some["id"].tolist()]
-            for qid, (at, score) in zip(some["id"].tolist(), index.search(asked, k, own)):
+    def vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return rows.column("id").to_numpy(), rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+    def run(candidates: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+        if len(candidates) and len(asked):
+            (ids, values), (queries, weights) = vectors(candidates), vectors(asked)
+            index, where = ImpactIndex(values), {x: i for i, x in enumerate(ids.tolist())}
+            for qid, query in zip(queries.tolist(), weights):
+                own = where.get(qid)
+                at, score = index.search(query, k, np.array([] if own is None else [own], np.int64))
                 top = np.lexsort((ids[at], -score))[:k]
-                queries.append(np.full(len(top), qid))
-                found.append(ids[at[top]])
-                scores.append(score[top])
-        return pd.DataFrame({"query_id": np.concatenate(queries), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+                found.append((np.full(len(top), qid), ids[at[top]], score[top]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -94,34 +100,45 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """candidates(id long, vector array<long>), queries(id, vector) -> (query_id, rank, vec_id, score), exact.
 
     A query's own id is no candidate; ties go to the smaller id; fewer than k candidates are all returned. Vectors meet
-    only those of their length. Null ids and vectors with nulls take no part; repeated candidate rows are one candidate,
-    repeated query rows one query. Products and sums must fit a double without loss (components up to 2^20).
-    Shards and query blocks are bounded; each pair of them is a task's work and returns k rows for each query."""
-    c = candidates.where("id is not null and vector is not null").dropDuplicates(["id"]).withColumn("asks", F.lit(False))
-    q = queries.where("id is not null and vector is not null").dropDuplicates(["id"]).withColumn("asks", F.lit(True))
-    shards = max(1, -(-c.count() // SHARD))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    c = c.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-    both = c.select("id", "vector", "asks", "shard", "block").unionByName(q.select("id", "vector", "asks", "shard", "block"))
-    both = both.withColumn("length", F.size("vector"))
-    found = both.groupBy("length", "shard", "block").applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    only those of their length. Null ids, null and empty vectors and those with nulls take no part; repeated candidate
+    rows are one candidate, repeated query rows one query. Sums of products must fit a double without loss (components
+    up to 2^20). Each shard of candidates meets each block of queries in a task of bounded size that builds the shard's
+    index and returns k rows for each query; blocks grow with the queries, so that candidates are sent to few of them."""
+    whole = F.col("id").isNotNull() & F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(F.forall("vector", lambda x: x.isNotNull()), F.lit(False))
+    c, q = (df.where(whole).dropDuplicates(["id"]).select("id", "vector", F.size("vector").alias("length")) for df in (candidates, queries))
+    n_queries, shards = q.count(), max(1, -(-c.count() // SHARD))
+    busy = -(-2 * c.sparkSession.sparkContext.defaultParallelism // shards)
+    blocks = max(1, -(-n_queries // QUERY_BLOCK), min(-(-n_queries // LEAST_BLOCK), busy))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    c = c.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "block": every(blocks)})
+    q = q.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "shard": every(shards)})
+    together = ["length", "shard", "block"]
+    found = c.groupBy(*together).cogroup(q.groupBy(*together)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row whose vec_id is divisible by EVERY against all others, by components floor(SCALE * x).
+
+    Vectors null, empty or with null or non-finite components and rows with a null id take no part, neither as queries nor
+    as candidates; zero vectors do, with score 0. Of rows that repeat an id one takes part. Other columns are not read."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    finite = usable(F.col("vector")) | F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(F.forall("vector", lambda x: x == 0), F.lit(False))
+    return top_k(*integers(e))
+
+
+def integers(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates and queries of (id, vector): finite vectors as integers."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     ints = F.transform("vector", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     e, _ = written(e.where(finite).select("id", ints.alias("vector")), "ints")
-    return top_k(e, e.where(F.col("id") % EVERY == 0))
+    return e, e.where(F.col("id") % EVERY == 0)
 
 
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)

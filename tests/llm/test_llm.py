@@ -157,7 +157,8 @@ def test_topk(spark, monkeypatch):
     v = rng.integers(-60, 60, (900, 24))
     v[100:140] = v[100]  # ties
     monkeypatch.setattr(topk, "SHARD", 128)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 7)
+    monkeypatch.setattr(topk, "RESCORE", 20)
     df = spark.createDataFrame([(i, [int(x) for x in e]) for i, e in enumerate(v)] + [(5000, [1] * 3), (None, [1] * 24), (5001, None)], "id long, vector array<long>")
     got = collections.defaultdict(list)
     for r in topk.top_k(df, df.where("id % 50 = 0")).orderBy("query_id", "rank").collect():
@@ -175,16 +176,36 @@ def test_index_proves_before_the_end():
     unit = rng.standard_normal((4000, 64))
     v = np.floor(256 * unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.int64)
     index = topk.ImpactIndex(v)
+    assert sorted(index.postings[: len(v)].tolist()) == list(range(len(v)))  # each id once in each dimension
     queries = np.concatenate([v[:200], np.zeros((1, 64), int), -v[3:4], np.eye(64, dtype=int)[2:3] * 9, v[:1] * 10**7])
-    own = [np.array([i]) if i < 200 else np.zeros(0, int) for i in range(len(queries))]
-    found = index.search(queries, 5, own)
-    for q, mine, (at, score) in zip(queries, own, found):
-        s = v @ q
-        assert (score == s[at]).all() and not np.isin(at, mine).any()
-        assert sorted(score)[-5:] == sorted(np.delete(s, mine))[-5:]
-    assert np.median([len(at) for at, _ in found[:200]]) < 64
-    alike = topk.ImpactIndex(np.ones((9, 3), int)).search(np.ones((1, 3), int), 5, [np.array([4])])
-    assert len(alike[0][0]) == 8
+    sizes = []
+    for q, query in enumerate(queries):
+        own = np.array([q] if q < 200 else [], int)
+        at, score = index.search(query, 5, own)
+        s = v @ query
+        assert (score == s[at]).all() and not np.isin(at, own).any()
+        assert sorted(score)[-5:] == sorted(np.delete(s, own))[-5:]
+        sizes.append(len(at))
+    assert np.median(sizes[:200]) <= topk.RESCORE
+    alike = topk.ImpactIndex(np.ones((9, 3), int)).search(np.ones(3, int), 5, np.array([4]))
+    assert len(alike[0]) == 8
+
+
+def test_topk_query_in_odd_cases(spark):
+    rng = np.random.default_rng(6)
+    v = {i: [float(x) for x in rng.standard_normal(8)] for i in range(40)} | {100: [0.0] * 8, 150: [1.0] * 3, 200: [1.0] * 3}
+    bad = [(50, None), (51, []), (250, [None] * 8), (52, [float("nan")] * 8), (53, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)]
+    rows = [(k, e, 1, "x") for k, e in [*v.items(), *bad, (0, v[0]), (7, v[7])]]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, score int, shard string")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(*topk.integers(df.select("id", "vector"))).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = {k: [math.floor(256 * x) for x in e] for k, e in v.items()}
+    for q in (0, 100, 150, 200):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], e)), k) for k, e in whole.items() if k != q and len(e) == len(whole[q]))
+        assert got[q] == [(k, -s) for s, k in scores[:5]]
+    assert set(got) == {0, 100, 150, 200}
+    assert topk.top_k(*topk.integers(df.select("id", "vector").limit(0))).count() == 0
 
 
 # --- 4 mixing ---
