@@ -58,27 +58,35 @@ def ranks_of(kind: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids of whole texts, by a tokenizer's file, as little-endian unsigned 16-bit bytes.
+    """Ids of whole texts, those of Tokenizer.encode(text, add_special_tokens=False) of a tokenizer's file, as little-endian
+    unsigned 16-bit bytes.
 
-    A file that ranks say all about is run by the faster of the two libraries over those ranks and the file's ids;
-    tests/llm compares them text by text. Any other file is run as it is."""
+    A file that ranks say all about is run by the faster of the two libraries over those ranks and the file's ids, but for
+    texts that hold the string of an added token: those, and any other file's texts, are run by that very call. tests/llm
+    compares both text by text."""
 
     def __init__(self, tokenizer_json: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         kind = json.loads(tokenizer_json)
-        ranks = ranks_of(kind)
-        if max(kind["model"]["vocab"].values()) > 65535:
+        ranks, added = ranks_of(kind), kind.get("added_tokens", [])
+        if max([*kind["model"]["vocab"].values(), *(t["id"] for t in added)]) > 65535:
             raise ValueError("ids must fit 16 bits")
-        if ranks:
+        self.file, self.added, self.plain = tokenizer_json, [t["content"] for t in added], None
+        if ranks and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
             import tiktoken
 
-            self.run = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
+            self.fast = None
+
+    def run(self, text: str) -> list[int]:
+        if self.fast and not any(x in text for x in self.added):
+            return self.fast(text)
+        if not self.plain:
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_str(tokenizer_json)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            self.run = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.plain = Tokenizer.from_str(self.file)
+        return self.plain.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the text (null: none), then the end id."""

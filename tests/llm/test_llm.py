@@ -554,25 +554,29 @@ def test_seed_asks_with_all_its_terms():
 def test_packing_in_odd_cases(spark):
     docs = odd_docs(spark)
     got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
-    assert sum(r.length for r in got if r.start + r.length == r.doc_tokens) >= 0
-    assert sum(1 for r in got if r.start == 0) == docs.count()
+    assert sum(1 for r in got if r.start == 0) == sum(1 for r in got if r.start + r.length == r.doc_tokens) == docs.count()
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
     assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
-def test_special_tokens_are_ordinary_text():
+def test_ids_are_those_of_the_plain_call():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     raw = open(path, encoding="utf-8").read()
     ranks = packing.ranks_of(json.loads(raw))
     assert len(ranks) == 50256 and {len(p) for p, i in ranks.items() if i < 256} == {1}
     e = packing.Encoder(raw, public_tokenizers.PATTERN)
     slow = packing.Encoder(raw.replace('"normalizer":null', '"normalizer":{"type":"NFC"}').replace('"normalizer": null', '"normalizer": {"type": "NFC"}'), public_tokenizers.PATTERN)
-    assert slow.run.__name__ == "<lambda>" and np.frombuffer(slow.encode("plain text"), "<u2").tolist() == np.frombuffer(e.encode("plain text"), "<u2").tolist()
-    for x in ["a <|endoftext|> b", "a\x1c b", " \xa0 x", *[x for x in ODD if x], *[x for _, x in texts()]]:
+    assert e.fast and not slow.fast
+    rng = random.Random(13)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", "<", " ", "\n", "word", " 12", "é", "\x1c", "\xa0", "<|startoftext|>"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    for x in ["a <|endoftext|> b", "<|endoftext|>", "a\x1c b", " \xa0 x", *made, *[x for x in ODD if x], *[x for _, x in texts()]]:
         assert np.frombuffer(e.encode(x), "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+    assert np.frombuffer(e.encode("x <|endoftext|> y"), "<u2").tolist() == [87, 220, 50256, 331, 1]
+    assert np.frombuffer(slow.encode("plain <|endoftext|>"), "<u2").tolist() == [*t.encode("plain <|endoftext|>", add_special_tokens=False).ids, 1]
 
 
 # --- SQL ---
