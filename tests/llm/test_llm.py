@@ -464,13 +464,41 @@ def test_added_secrets_and_long_runs():
         secrets.find(t)
 
 
+def brute_classes(rows, repositories, owners):
+    """Class of each span and the counts of a row's values, from all rows' plain sets."""
+    repos, own = collections.defaultdict(set), collections.defaultdict(set)
+    for k, t, source in rows:
+        for _, _, _, value in secrets.find(t):
+            repos[value].add(k)
+            own[value].add(source)
+
+    def one(value):
+        if len(repos[value]) >= repositories or len(own[value]) >= owners:
+            return "copied"
+        n = len(value)
+        bits = -sum(c / n * math.log2(c / n) for c in collections.Counter(value).values()) if n else 0
+        return "weak" if bits < 2.5 else "shared" if len(own[value]) > 1 else "live"
+
+    for k, t, _ in rows:
+        found = secrets.find(t)
+        kinds = collections.Counter(one(v) for v in {c[3] for c in found})
+        most = [max((len(x[c[3]]) for c in found), default=0) for x in (own, repos)]
+        yield k, ",".join(one(c[3]) for c in found), [kinds[c] for c in secrets.CLASSES], most
+
+
 def test_ownership(spark):
-    shown, live = "AKIA" + "EXAMPLE9" * 2, "AKIA" + "Q7ZP40LM1X8V"
-    rows = [(i, f"key {shown} here", f"s{i % 4}") for i in range(8)] + [(8, f"use {live}", "s1"), (9, f"use {live}", "s1"), (10, None, None), (11, f"{live} {shown}", None)]
-    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), copied_owners=3).collect()}
-    assert (got[0].n_copied, got[0].n_live, got[0].most_owners) == (1, 0, 5)
-    assert (got[8].n_copied, got[8].n_live, got[8].most_owners) == (0, 1, 2)
-    assert (got[11].n_copied, got[11].n_live) == (1, 1) and (got[10].n_access, got[10].n_live, got[10].spans) == (0, 0, "")
+    shown, live, both, low, pasted = "AKIA" + "EXAMPLE9" * 2, "AKIA" + "Q7ZP40LM1X8V", "AKIA" + "R5TY81KD9C2W", "AKIA" + "A" * 16, "AKIA" + "J3N6B0VX4Q1E"
+    rows = [(i, f"key {shown} here", f"s{i % 4}") for i in range(8)] + [(8, f"use {live}, {live} {low}", "s1"), (9, f"use {live}", "s1"), (10, None, None), (11, f"{both} {shown}", None), (12, both, "s2")]
+    rows += [(20 + i, f"see {pasted}", "s0") for i in range(12)]  # one owner, many repositories
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for at_least in ((10, 3), (3, 2), (100, 100)):
+        got = {r.doc_id: r for r in secrets.secrets(df, copied_repositories=at_least[0], copied_owners=at_least[1]).collect()}
+        assert len(got) == len(rows)
+        for k, classes, counts, most in brute_classes(rows, *at_least):
+            r = got[k]
+            assert (r.classes, [r[f"n_{c}"] for c in secrets.CLASSES], [r.most_owners, r.most_repositories]) == (classes, counts, most), k
+        if at_least == (10, 3):
+            assert [got[k].classes for k in (0, 8, 11, 12, 20, 10)] == ["copied", "live,live,weak", "shared,copied", "shared", "copied", ""]
     odd = odd_docs(spark)
     assert secrets.secrets(odd).count() == odd.count() and secrets.secrets(odd.limit(0)).count() == 0
 
@@ -479,6 +507,10 @@ def test_secrets_query(spark):
     got = {r.doc_id: r for r in registry.QUERIES["op9_secrets"](spark, SF).collect()}
     for k, t in texts():
         assert got[k].base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in brute_secrets(t)).encode()).hexdigest()
+        assert got[k].spans == ",".join(f"{a}:{b}:{c}" for a, b, c, _ in secrets.find(t))
+    rows = duckdb.sql(f"select doc_id, text, source from '{SF}/documents.parquet'").fetchall()
+    for k, classes, counts, most in brute_classes(rows, secrets.COPIED_REPOSITORIES, secrets.COPIED_OWNERS):
+        assert (got[k].classes, [got[k][f"n_{c}"] for c in secrets.CLASSES], [got[k].most_owners, got[k].most_repositories]) == (classes, counts, most)
 
 
 # --- 10 packing ---
