@@ -2,15 +2,14 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits, and the bit count of each segment is a coordinate. Two
 fingerprints that differ in d bits are at most d apart in Manhattan distance over these coordinates, so that distance is
-a lower bound. The range join "Manhattan distance at most 3" runs on a grid: the coordinates fall into five groups, and a
-pair within distance 3 agrees wholly on at least two of them, so each fingerprint goes to the ten grid cells that two of
-its groups name, and every pair sought shares a cell. Within a cell the Manhattan distance prunes and the exact count of
-differing bits decides."""
+a lower bound. The range join "Manhattan distance at most 3" runs on a grid over each half of the coordinates, whose cells
+are the counts of its 16 segments: of a pair within distance 3, one half is within distance 1, so it meets where each
+fingerprint looks into its own cell and the cells one step up in each half. What meets is pruned by the distance over all
+coordinates, and the exact count of differing bits decides."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checked, connected_components, table, written
+from .shared import connected_components, drop, join_hot, table, written
 
 SEED = 42
 SHINGLE = 3
 MOST_BITS = 3
-#: Two-bit segments per group of coordinates; with MOST_BITS differences, two of the five groups are untouched.
-GROUPS = (7, 7, 6, 6, 6)
+#: Two-bit segments in each half: with a distance of at most MOST_BITS, at most one of it falls on one of the two halves.
+HALF = 16
 #: Fingerprints per block of a large cell; a task compares two blocks at a time.
 BLOCK = 1024
 
@@ -68,13 +67,14 @@ def _counts(fp) -> F.Column:
 
 
 def _cells(fp) -> F.Column:
-    """The ten grid cells: for each pair of groups, its number and the counts of both."""
-    masks, at = [], 0
-    for g in GROUPS:
-        masks.append(((1 << 2 * g) - 1) << at)
-        at += 2 * g
-    signed = [(m ^ (1 << 63)) - (1 << 63) for m in (a | b for a, b in combinations(masks, 2))]
-    return F.array(*[F.struct(F.lit(i).alias("pair"), _counts(fp).bitwiseAND(F.lit(m)).alias("counts")) for i, m in enumerate(signed)])
+    """For each half the own cell, then the cells that are one step up in one coordinate (null where it is at its top)."""
+    out = []
+    for half in (0, 1):
+        counts = F.shiftrightunsigned(_counts(fp), 2 * HALF * half).bitwiseAND(F.lit((1 << 2 * HALF) - 1))
+        own = counts + F.lit(half << 2 * HALF)
+        up = [F.when(F.shiftrightunsigned(counts, 2 * k).bitwiseAND(F.lit(3)) < 2, own + F.lit(1 << 2 * k)) for k in range(HALF)]
+        out += [own, *up]
+    return F.array(*out)
 
 
 def _embedded(fps: np.ndarray) -> np.ndarray:
@@ -108,23 +108,31 @@ def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edges(most: int):
+    """Rows of two blocks of a cell (the second empty: one block with itself) -> edges that connect what is linked. Those
+    that only look into the cell don't meet each other."""
+
+    def met(own: np.ndarray, looking: np.ndarray, other: np.ndarray, others_looking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nodes, n = np.concatenate([own, looking, other, others_looking]), len(own) + len(looking)
+        linked = np.zeros((len(nodes), len(nodes)), bool)
+        if n == len(nodes):
+            linked[: len(own)] = _linked(own, nodes, most)
+        else:
+            linked[: len(own), n:] = _linked(own, nodes[n:], most)
+            linked[len(own) : n, n : n + len(other)] = _linked(looking, other, most)
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+        i, j = spanning(linked)
+        return nodes[i].view(np.int64), nodes[j].view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                a, b = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (left, right))
-                if len(b):
-                    both, n = np.concatenate([a, b]), len(a)
-                    linked = np.zeros((len(both), len(both)), bool)
-                    linked[:n, n:] = _linked(a, b, most)
-                    linked[n:, :n] = linked[:n, n:].T
-                else:
-                    both, linked = a, _linked(a, a, most)
-                    np.fill_diagonal(linked, False)
-                i, j = spanning(linked)
-                us.append(both[i].view(np.int64))
-                vs.append(both[j].view(np.int64))
-            for u, v in [(np.concatenate(us), np.concatenate(vs))] if us else []:
+            columns = []
+            for name in ("own", "looking", "other", "others_looking"):
+                lists = batch.column(name)
+                columns.append((lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+            found = [met(*[flat[ends[k] : ends[k + 1]] for ends, flat in columns]) for k in range(len(batch))]
+            if found:
+                u, v = map(np.concatenate, zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
@@ -133,28 +141,33 @@ def _edges(most: int):
 def fingerprint_links(distinct: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """distinct(fp long) -> edges (u, v) of fingerprints that connect all pairs within `most` bits and no others.
 
-    A cell of over `block` fingerprints is dealt into blocks by hash, and each two of them meet in a row of their own:
-    a hot cell becomes many bounded tasks. Each row gives a spanning forest, not its pairs."""
+    Cells that no fingerprint has as its own are left out first. A cell of over `block` fingerprints is dealt into blocks
+    by hash, and each two of them meet in a row of their own: a hot cell becomes many bounded tasks. Each row gives a
+    spanning forest, not its pairs."""
     if most > MOST_BITS:
         raise ValueError(f"the grid's cells are complete for at most {MOST_BITS} bits")
-    cells = distinct.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    large = checked(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "cells")
-    dealt = cells.join(large, "cell", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
+    cells = distinct.select("fp", F.posexplode(_cells(F.col("fp"))).alias("at", "cell")).where("cell is not null")
+    cells = cells.select("fp", "cell", (F.col("at") % (HALF + 1) == 0).alias("in_it"))
+    useful = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_it").alias("members")).where("members > 0 and n > 1")
+    useful, _ = written(useful.select("cell", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "useful")
+    total = useful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = join_hot(cells, useful, "cell", "n", total)
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("fp", "cell", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("fp", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    met = dealt.groupBy("cell", "i", "j").agg(
-        F.collect_list(F.when(F.col("mine") == F.col("i"), F.col("fp"))).alias("left"),
-        F.collect_list(F.when(F.col("mine") != F.col("i"), F.col("fp"))).alias("right"),
-    )
-    return met.where(F.size("left") + F.size("right") > 1).select("left", "right").mapInArrow(_edges(most), "u long, v long")
+    dealt = dealt.select("fp", "cell", "in_it", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("fp", "cell", "in_it", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine")
+    first = F.col("mine") == F.col("i")
+    sides = {"own": first & F.col("in_it"), "looking": first & ~F.col("in_it"), "other": ~first & F.col("in_it"), "others_looking": ~first & ~F.col("in_it")}
+    together = dealt.groupBy("cell", "i", "j").agg(*[F.collect_list(F.when(is_, F.col("fp"))).alias(k) for k, is_ in sides.items()])
+    together = together.where(F.size("own") + F.size("other") > 0).where(sum((F.size(k) for k in sides), F.lit(0)) > 1)
+    return together.select(*sides).mapInArrow(_edges(most), "u long, v long")
 
 
 def components(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """distinct(fp long) -> (fp, component), a row for each; a component is known by a fingerprint in it."""
     distinct, _ = written(distinct, "distinct")
-    edges, _ = written(fingerprint_links(distinct, most), "links")
+    edges, path = written(fingerprint_links(distinct, most), "links")
     nodes = connected_components(edges)
+    drop(distinct.sparkSession, path)
     return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
