@@ -1,16 +1,16 @@
 """Token counts under a unigram model, by dynamic programming that words share in a trie.
 
 A pre-token's best segmentation into pieces has the highest sum of log scores. Its forward scores depend on prefixes only,
-so distinct pre-tokens go into a trie, each node's forward score and token count are computed once for all words that
-share the prefix, and a word's terminal node holds its count. The trie lives in the worker that reads the texts: no
-shuffle, and its size is bounded, however many distinct words a corpus has."""
+so the distinct pre-tokens that a worker has not met go into a trie, depth first: each node's forward score and token
+count are computed once for all words that share the prefix, and a word's terminal node gives its count. The trie lives in
+the worker that reads the texts: no shuffle, and its size is bounded, however many distinct words a corpus has."""
 
 from __future__ import annotations
 
 import base64
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from .shared import table
 
-#: The trie and the counts by segment are begun anew beyond these sizes; longer pre-tokens than LONG bytes are computed apart.
-MOST_NODES, MOST_SEGMENTS, LONG = 1_000_000, 400_000, 512
+#: Characters of texts that are worked on together; segments whose counts a worker keeps (twice as many at most: the older
+#: half goes when the newer is full); longer segments than LONG characters are computed again each time.
+TOGETHER, MOST_SEGMENTS, LONG = 2_000_000, 300_000, 512
 
 #: Pre-tokens never reach over a white space that follows something else, nor from a letter to a stop or comma, so a text
 #: is cut there and each segment (white space and a word, marks at a word's end, or white space and anything else) is
@@ -53,76 +54,69 @@ class Trie:
         # Log scores are under 0. Ends of pieces that are no pieces have ONLY_END: where even that is absent, no longer piece ends.
         self.ends = dict.fromkeys((p[i:] for p in pieces for i in range(1, len(p))), ONLY_END) | self.scores
         self.unknown = -2 * math.log(len(pieces) + 1)
-        self.plain = re.compile(rf" ?[{LETTERS}]+")
-        self.one_pre_token = regex.compile(pattern).fullmatch(" aé") is not None and regex.compile(pattern).match("é.")[0] == "é"
         self.pre_token = regex.compile(pattern)
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: dict[int, int] = {}
-        self.best, self.tokens = [0.0], [0]
         self.seen: dict[str, tuple[int, int, float]] = {}
-
-    def _forward(self, word: bytes, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """The best score of word[:end] and its tokens (of equal scores the fewest), from those of shorter prefixes.
-        A byte that is no piece costs what the rarest piece costs."""
-        top, few, get = -math.inf, 0, self.ends.get
-        for start in range(end - 1, -1, -1):
-            score = get(word[start:end], NO_END)
-            if score > 0:
-                if start == end - 1 and len(word[start:end]) == 1 and word[start:end] not in self.scores:
-                    score = self.unknown
-                elif score == ONLY_END:
-                    continue
-                else:
-                    break
-            score += best[start]
-            if score > top or score == top and tokens[start] + 1 < few:
-                top, few = score, tokens[start] + 1
-        return top, few
-
-    def count(self, word: bytes) -> tuple[int, float]:
-        """Tokens and score of a pre-token; new nodes are computed, the rest is read."""
-        if len(word) > LONG:
-            best, tokens = [0.0], [0]
-            for end in range(1, len(word) + 1):
-                score, few = self._forward(word, end, best, tokens)
-                best.append(score)
+        self.older = self.seen
+
+    def counts(self, words: list[bytes]) -> Iterator[tuple[int, float]]:
+        """Tokens and score of each of the sorted distinct words: in that order the trie's nodes are met depth first, and
+        `best` and `tokens` hold those on the path to the current one.
+
+        Of equal scores the fewest tokens count. A byte that is no piece costs what the rarest piece costs."""
+        best, tokens, get, before = [0.0], [0], self.ends.get, b""
+        for word in words:
+            shared, least = 0, min(len(before), len(word))
+            while shared < least and before[shared] == word[shared]:
+                shared += 1
+            del best[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                top, few = -math.inf, 0
+                for start in range(end - 1, -1, -1):
+                    score = get(word[start:end], NO_END)
+                    if score > 0:
+                        if start == end - 1:
+                            score = self.unknown
+                        elif score == ONLY_END:
+                            continue
+                        else:
+                            break
+                    score += best[start]
+                    if score > top or score == top and tokens[start] + 1 < few:
+                        top, few = score, tokens[start] + 1
+                best.append(top)
                 tokens.append(few)
-            return tokens[-1], best[-1]
-        node, best, tokens = 0, [0.0], [0]
-        for end, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            node = self.children.get(key, -1)
-            if node < 0:
-                score, few = self._forward(word, end, best, tokens)
-                node = self.children[key] = len(self.best)
-                self.best.append(score)
-                self.tokens.append(few)
-            best.append(self.best[node])
-            tokens.append(self.tokens[node])
-        return self.tokens[node], self.best[node]
-
-    def segment(self, text: str) -> tuple[int, int, float]:
-        """Pre-tokens, tokens and score of a segment."""
-        found = self.seen.get(text)
-        if found is None:
-            words = [text] if self.one_pre_token and self.plain.fullmatch(text) else self.pre_token.findall(text)
-            counts = [self.count(w.encode("utf-8", "replace")) for w in words]
-            found = len(counts), sum(n for n, _ in counts), math.fsum(s for _, s in counts)
-            if len(text) <= LONG:
-                if len(self.seen) >= MOST_SEGMENTS or len(self.best) >= MOST_NODES:
-                    self.clear()
-                self.seen[text] = found
-        return found
-
-    def text(self, text: str | None) -> tuple[int, int, int, float]:
-        """Bytes, pre-tokens, tokens and score of a whole text; the score does not depend on the order of summing."""
-        if not text:
-            return 0, 0, 0, 0.0
-        often = Counter(segments(text))
-        counts = [(n, *self.segment(s)) for s, n in often.items()]
-        return len(text.encode("utf-8", "replace")), sum(n * c[0] for n, *c in counts), sum(n * c[1] for n, *c in counts), math.fsum(n * c[2] for n, *c in counts)
+            before = word
+            yield tokens[-1], best[-1]
+
+    def learn(self, new: set[str]) -> dict[str, tuple[int, int, float]]:
+        """Pre-tokens, tokens and score of each segment that no text had before."""
+        parts = {s: [w.encode("utf-8", "replace") for w in self.pre_token.findall(s)] for s in new}
+        words = sorted({w for own in parts.values() for w in own})
+        of = dict(zip(words, self.counts(words)))
+        return {s: (len(own), sum(of[w][0] for w in own), math.fsum(of[w][1] for w in own)) for s, own in parts.items()}
+
+    def together(self, texts: list[str]) -> Iterator[tuple[int, int, int, float]]:
+        cut = [segments(t) for t in texts]
+        needed = set().union(*cut)
+        if len(self.seen) > MOST_SEGMENTS:
+            self.older, self.seen = self.seen, {}
+        own = {s: x for s in needed if (x := self.seen.get(s) or self.older.get(s))}
+        own |= self.learn(needed - own.keys())
+        self.seen |= {s: x for s, x in own.items() if len(s) <= LONG}
+        for text, of in zip(texts, cut):
+            pre_tokens, tokens, scores = zip(*map(own.__getitem__, of)) if of else ((), (), ())
+            yield len(text.encode("utf-8", "replace")), sum(pre_tokens), sum(tokens), math.fsum(scores)
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, float]]:
+        """Bytes, pre-tokens, tokens and score of each whole text; the score does not depend on the order of summing."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size > TOGETHER:
+                yield from self.together(some)
+                some, size = [], 0
+        yield from self.together(some)
 
 
 _held: dict[int, Trie] = {}
@@ -148,7 +142,7 @@ def counts_of(spark: SparkSession, text: Column, pieces: list[bytes], pattern: s
     @F.pandas_udf(COUNTS)
     def count(texts: pd.Series) -> pd.DataFrame:
         trie = worker_trie(sent.value)
-        return pd.DataFrame([trie.text(t) for t in texts], columns=COUNTS.names)
+        return pd.DataFrame(list(trie.texts(texts)), columns=COUNTS.names)
 
     return count.asNondeterministic()(text)
 

@@ -88,13 +88,20 @@ def test_tokens(spark, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = regex.compile(public_tokenizers.PATTERN)
     trie = tokens.Trie(tokens.vocabulary(path), public_tokenizers.PATTERN)
-    some = [t for _, t in texts()[::60]] + [x for x in ODD if x is None or len(x) < 1000] + ["a\x1c b", "a\t \n b  ", "  lead", "it's 12,5"]
+    some = [t for _, t in texts() if len(t) < 8000 or len(t) > 60_000] + [x for x in ODD if x is None or len(x) < 1000] + ["a\x1c b", "a\t \n b  ", "  lead", "it's 12,5"]
+    want, known = [], {}
     for t in some:
-        words, n, score = brute_tokens(t, trie, pattern)
-        got = trie.text(t)
-        assert (got[1], got[2]) == (words, n) and math.isclose(got[3], score, rel_tol=1e-9, abs_tol=1e-9)
-    monkeypatch.setattr(tokens, "MOST_NODES", 50)  # begun anew again and again: the same counts
-    assert [trie.text(t) for t in some] == [tokens.Trie(tokens.vocabulary(path), public_tokenizers.PATTERN).text(t) for t in some]
+        for w in pattern.findall(t or ""):
+            if w not in known:
+                known[w] = brute_tokens(w, trie, pattern)[1:]
+        own = pattern.findall(t or "")
+        want.append((len((t or "").encode()), len(own), sum(known[w][0] for w in own), math.fsum(known[w][1] for w in own)))
+    for together, most in ((tokens.TOGETHER, tokens.MOST_SEGMENTS), (3000, 50)):  # begun anew again and again: the same counts
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        monkeypatch.setattr(tokens, "MOST_SEGMENTS", most)
+        got = list(tokens.Trie(tokens.vocabulary(path), public_tokenizers.PATTERN).texts(some))
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(math.isclose(g[3], w[3], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want))
     got = tokens.token_counts(odd_docs(spark), path, public_tokenizers.PATTERN).collect()
     assert len(got) == len(ODD) + 4 and got[0][1:] == (0, 0, 0, 0.0) and got[1].n_tokens == 0
 
