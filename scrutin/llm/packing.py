@@ -31,6 +31,8 @@ SHARD_TOKENS = 1 << 20
 #: them; BLOCK documents that a sort makes consecutive are compared with each other, so a common term costs linear time.
 TELLING, PASSES, BLOCK = 16, 8, 64
 K1, B = 1.2, 0.75
+#: Posting lists with at least one in so many of a shard's documents are long.
+DENSE = 16
 _held: dict = {}
 
 
@@ -139,7 +141,11 @@ def telling(doc: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[bytes
     """A document's TELLING terms of the highest BM25 weight, best first, and the weights. idf: 0 for terms of one document."""
     terms, times = np.unique(doc, return_counts=True)
     weight = idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(doc) / mean_length))
-    best = np.argsort(-weight, kind="stable")[:TELLING]
+    if len(weight) > TELLING:  # of those that reach the last place, the first by weight, then by term
+        best = np.nonzero(weight >= np.partition(weight, len(weight) - TELLING)[len(weight) - TELLING])[0]
+        best = best[np.argsort(-weight[best], kind="stable")][:TELLING]
+    else:
+        best = np.argsort(-weight, kind="stable")
     best = best[weight[best] > 0]
     return terms[best].astype(">u2").tobytes(), weight[best].astype("<f2").tobytes()
 
@@ -229,11 +235,25 @@ class Index:
         self.postings, self.impact = doc[order], self.weight[order]
         self.ends = np.searchsorted(term[order], np.arange(65537))
         self.n = len(docs)
+        # Long posting lists are also laid out as rows with a place for each document, which are summed faster than gathered.
+        held = np.diff(self.ends)
+        long_ = np.nonzero(held * DENSE >= max(self.n, 1))[0]
+        self.row = np.full(65536, -1)
+        self.row[long_] = np.arange(len(long_))
+        rows = self.row[term[order]]
+        self.dense = np.zeros((len(long_), self.n))
+        self.dense[rows[rows >= 0], self.postings[rows >= 0]] = self.impact[rows >= 0]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, by score, ties in the shard's order."""
-        slices = [slice(self.ends[t], self.ends[t + 1]) for t in self.term[self.begin[seed] : self.begin[seed + 1]]]
-        score = np.bincount(np.concatenate([self.postings[s] for s in slices]), weights=np.concatenate([self.impact[s] for s in slices]), minlength=self.n)
+        terms = self.term[self.begin[seed] : self.begin[seed + 1]]
+        row = self.row[terms]
+        asks = np.zeros(len(self.dense))
+        asks[row[row >= 0]] = 1
+        score, rare = asks @ self.dense, terms[row < 0]
+        if len(rare):
+            slices = [slice(a, b) for a, b in zip(self.ends[rare].tolist(), self.ends[rare + 1].tolist())]
+            score += np.bincount(np.concatenate([self.postings[s] for s in slices]), weights=np.concatenate([self.impact[s] for s in slices]), minlength=self.n)
         score[~unused] = 0
         found = np.nonzero(score)[0]
         return found[np.argsort(-score[found], kind="stable")]

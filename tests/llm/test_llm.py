@@ -582,6 +582,63 @@ def test_packing_brings_neighbours_together_over_many_shards(spark):
         assert np.mean([shard[i] == shard[i + n // 2] for i in range(n // 2)]) > 0.85
 
 
+def brute_neighbours(docs, seed, unused, frequency, n_docs, mean):
+    scores = []
+    for d in sorted(unused):
+        score = 0.0
+        for t in sorted(set(docs[seed].tolist()) & set(docs[d].tolist())):
+            times = docs[d].tolist().count(t)
+            idf = math.log(1 + (n_docs - frequency[t] + 0.5) / (frequency[t] + 0.5))
+            score += idf * times * (1.2 + 1) / (times + 1.2 * (1 - 0.75 + 0.75 * len(docs[d]) / mean))
+        if score > 0:
+            scores.append((-round(score, 9), d))
+    return [d for _, d in sorted(scores)]
+
+
+def brute_windows(docs, frequency, n_docs, mean, size):
+    """The first unused document opens an empty window; its neighbours fill it, then what is next in order; a document that
+    is cut seeds the next window. Full windows only, then what is left."""
+    unused, out, current, room, seed = set(range(len(docs))), [], [], size, None
+    waiting = []
+    while unused:
+        if seed is None:
+            d = seed = min(unused)
+            waiting = None
+        else:
+            if waiting is None:
+                waiting = brute_neighbours(docs, seed, unused, frequency, n_docs, mean)
+            d = waiting.pop(0) if waiting else min(unused)
+        unused.discard(d)
+        at = 0
+        while at < len(docs[d]):
+            take = min(room, len(docs[d]) - at)
+            current.append((d, at, take))
+            at, room = at + take, room - take
+            if not room:
+                out.append(current)
+                current, room = [], size
+                seed, waiting = (d if at < len(docs[d]) else None), None
+    return out, current
+
+
+def test_packing_scores_and_greedy_fill_against_brute_force():
+    rng = np.random.default_rng(17)
+    docs = [(rng.zipf(1.6, int(n)) % 500 + 10 * (i % 5)).astype(np.uint16) for i, n in enumerate(rng.integers(5, 400, 60))]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=65536) * 3  # of a larger corpus
+    args = frequency, 200, 150.0
+    index = packing.Index(docs, *args)
+    for seed in range(0, 60, 7):
+        unused = rng.random(60) < 0.6
+        unused[seed] = False
+        assert index.neighbours(seed, unused).tolist() == brute_neighbours(docs, seed, np.nonzero(unused)[0].tolist(), *args)
+    full, left = brute_windows(docs, *args, 256)
+    got = packing.windows(docs, index, 256)
+    assert got[: len(full)] == full and all(sum(p[2] for p in s) == 256 for s in full)
+    rest = got[len(full) :]
+    assert [sum(p[2] for p in s).bit_count() for s in rest] == [1] * len(rest)
+    assert sum(p[2] for s in rest for p in s) == sum(p[2] for p in left)
+
+
 def test_seed_asks_with_all_its_terms():
     """Neighbours that share only terms past the seed's 32 most telling ones are found too."""
     docs = [np.arange(100, 200, dtype=np.uint16), np.arange(190, 290, dtype=np.uint16)]
