@@ -1,71 +1,82 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter direction is the concatenation of two codewords, one for each half of a randomly rotated space; with k codewords
-a half there are k * k directions in each of a few rotations. Each vector is list-decoded to all directions whose inner product with it
-exceeds a bound: codewords of a half are sorted by score, so its list is read off without scoring all k * k. Vectors
-meet in the filters that they share, and each pair that meets is verified in double precision."""
+a half there are k * k directions in each of a few rotations, and k follows the number of vectors, so that unlike vectors
+seldom share a filter. Each vector is list-decoded to all directions whose inner product with it exceeds a bound, from the
+scores of the codewords alone. Vectors meet in the filters that they share, and each pair that meets is verified in double
+precision. What is shuffled for every filter is ids; vectors go only where they meet others, once for all filters that
+hold the same vectors."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import checked, connected_components, table, written
+from .shared import connected_components, drop, join_hot, table, written
 from .simhash import spanning
 
 COSINE = 0.9
-#: Independent rotations, each with its own codes of so many codewords for each half; the bound in standard deviations of
-#: a random unit vector's component; and the filters that a vector has at least in each rotation (its bound is lowered to
-#: that many). Over 8,000 random pairs at cosine 0.9 in 64 dimensions none was missed; one rotation with four times the
-#: filters missed three.
+#: Independent rotations, each with its own codes. CODEWORDS for each half at least, and the square root of PER_VECTOR times
+#: the vectors. A vector has LEAST filters in each rotation, some more with more codewords; the filters that exceed what
+#: that share of random directions does are all its own.
 ROTATIONS = 4
 CODEWORDS = 600
-BOUND = 4.2
+PER_VECTOR = 120
 LEAST = 12
 SEED = 20240229
 #: Vectors per block of a large filter; a task compares two blocks at a time.
 BLOCK = 512
 
 
-@lru_cache(maxsize=32)
-def directions(dim: int, rotation: int, codewords: int = CODEWORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def codewords_for(n_vectors: int) -> int:
+    return max(CODEWORDS, math.isqrt(PER_VECTOR * n_vectors) + 1)
+
+
+def least_for(codewords: int) -> int:
+    """Filters of a vector in a rotation: with more directions two like vectors share a given one more seldom."""
+    return round(LEAST * (codewords / CODEWORDS) ** 0.25)
+
+
+@lru_cache(maxsize=8)
+def directions(dim: int, rotation: int, codewords: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A rotation and both of its codes for vectors of a length: from the seed alone, so every task has the same."""
     rng = np.random.default_rng([seed, dim, rotation])
-    turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
     codes = []
     for width in (dim - dim // 2, dim // 2):
-        c = rng.standard_normal((codewords, width))
-        codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) / np.sqrt(2))
+        c = rng.standard_normal((codewords, width)).astype(np.float32)
+        codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) / np.float32(math.sqrt(2)))
     return turn, codes[0], codes[1]
 
 
-def decode(units: np.ndarray, codewords: int = CODEWORDS, bound: float = BOUND, least: int = LEAST) -> list[np.ndarray]:
-    """For each unit vector (row) the ascending numbers of all filters that exceed its bound: in each rotation `bound`, or
-    what its `least` best filters reach, if that is lower."""
+def decode(units: np.ndarray, codewords: int = CODEWORDS) -> list[np.ndarray]:
+    """For each unit vector (row) the ascending numbers of all filters that exceed its bound: in each rotation what a share
+    of least / codewords^2 of random directions exceeds, or what its `least` best filters reach, if that is lower."""
     n, dim = units.shape
-    half, found = dim - dim // 2, []
+    half, found, least = dim - dim // 2, [], min(least_for(codewords), codewords)
+    bound = NormalDist().inv_cdf(1 - least / codewords**2) / math.sqrt(dim)
     for rotation in range(ROTATIONS):
         turn, first, second = directions(dim, rotation, codewords)
-        turned, base = units @ turn, rotation * codewords * codewords
+        turned, base = units.astype(np.float32) @ turn, rotation * codewords * codewords
         a, b = turned[:, :half] @ first.T, turned[:, half:] @ second.T
-        order_a, order_b = np.argsort(-a, axis=1, kind="stable"), np.argsort(-b, axis=1, kind="stable")
-        a, b = np.take_along_axis(a, order_a, 1), np.take_along_axis(b, order_b, 1)
-        top = (a[:, :least, None] + b[:, None, :least]).reshape(n, -1)  # the `least` best sums are among these
-        reached = np.minimum(bound / np.sqrt(dim), np.partition(top, -least, axis=1)[:, -least]) - 1e-12
+        top_a, top_b = (np.partition(x, codewords - least, axis=1)[:, codewords - least :] for x in (a, b))
+        sums = (top_a[:, :, None] + top_b[:, None, :]).reshape(n, -1)  # the `least` best sums are among these
+        reached = np.minimum(bound, np.partition(sums, -least, axis=1)[:, -least]) - 1e-6
+        least_a, least_b = reached - top_b.max(axis=1), reached - top_a.max(axis=1)
         own = []
         for i in range(n):
-            useful = int(np.searchsorted(-a[i], b[i, 0] - reached[i], side="right"))  # the rest exceed with no codeword of b
-            lengths = np.searchsorted(-b[i], a[i, :useful] - reached[i], side="right")
-            x = np.repeat(order_a[i, :useful], lengths)
-            y = np.concatenate([order_b[i, :k] for k in lengths])
-            own.append(np.sort(x * codewords + y + base).astype(np.int32))
+            x, y = np.nonzero(a[i] >= least_a[i])[0], np.nonzero(b[i] >= least_b[i])[0]  # others exceed with no codeword of the other half
+            at_x, at_y = np.nonzero(a[i, x][:, None] + b[i, y] >= reached[i])
+            own.append(np.sort(x[at_x] * codewords + y[at_y] + base))
         found.append(own)
     return [np.concatenate(x) for x in zip(*found)]
 
@@ -76,21 +87,22 @@ def units_of(values: np.ndarray) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _filters(vectors: pd.Series) -> pd.Series:
-    out = np.empty(len(vectors), object)
-    by_length: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        by_length.setdefault(len(v), []).append(i)
-    for at in by_length.values():
-        for k in range(0, len(at), 1024):
-            some = at[k : k + 1024]
-            for i, f in zip(some, decode(units_of(np.array([vectors.iloc[i] for i in some], np.float64)))):
-                out[i] = f
-    return pd.Series(out)
-
+def filters_of(vector: Column, codewords: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def filters(vectors: pd.Series) -> pd.Series:
+        out = np.empty(len(vectors), object)
+        by_length: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            by_length.setdefault(len(v), []).append(i)
+        many = max(8, 600_000 // codewords)
+        for at in by_length.values():
+            for k in range(0, len(at), many):
+                some = at[k : k + many]
+                for i, f in zip(some, decode(units_of(np.array([vectors.iloc[i] for i in some], np.float64)), codewords)):
+                    out[i] = f
+        return pd.Series(out)
 
-filters_of = _filters.asNondeterministic()  # its cost, not its value: it is never run twice for a row
+    return filters.asNondeterministic()(vector)  # its cost, not its value: it is never run twice for a row
 
 
 def _share_earlier(lists: list[np.ndarray], below: int) -> np.ndarray:
@@ -161,33 +173,44 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Pairs with cosine of at least `cosine`, in double precision, are links. Null, empty and zero vectors, those
     with null or non-finite components and those with a null id link with nothing: n_links 0, a component of their own.
     Vectors of different lengths don't link. Exact copies (repeated rows too) are one class that is joined once and
-    counted by its size. A filter of over `block` classes is dealt into blocks, each two of which meet in a row of their
-    own; a pair that shares several filters is counted in the first. No pair is emitted: rows carry counts and forests."""
+    counted by its size. Filters that hold the same vectors count as one of them. A filter of over `block` classes is
+    dealt into blocks, and each two blocks meet in a row of their own; a pair that shares several filters is counted in the
+    first. No pair is emitted: rows carry counts and forests."""
+    spark = vectors.sparkSession
     v = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
     good = usable(F.col("vector")) & F.col("id").isNotNull()
     plain = F.transform("vector", lambda x: x + F.lit(0))  # -0.0 becomes 0.0
     vector = F.when(good, plain)
     rows, _ = written(v.select("id", vector.alias("vector"), F.sha2(F.to_json(F.struct(vector.cast("array<double>").alias("x"))), 256).alias("key")), "vectors")
     classes = rows.where("vector is not null").groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("many"), F.any_value("vector").alias("vector"))
-    coded, _ = written(classes.select("key", "node", "many", "vector", filters_of(F.col("vector")).alias("filters")), "coded")
+    classes, at_classes = written(classes, "classes")
+    coded, at_coded = written(classes.select("node", "many", "vector", filters_of(F.col("vector"), codewords_for(classes.count())).alias("filters")), "coded")
     # Classes of a length meet only among themselves.
-    place = F.struct(F.size("vector").alias("length"), F.col("filter"))
-    met = coded.select("vector", F.explode("filters").alias("filter"), "node").select(place.alias("place"), "node")
-    large = checked(met.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "places")
-    dealt = coded.select("node", "many", "vector", "filters", F.explode("filters").alias("filter")).withColumn("place", place)
-    dealt = dealt.join(large, "place", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    met = coded.select("node", F.size("vector").alias("length"), F.explode("filters").alias("filter")).select("node", F.struct("length", "filter").alias("place"))
+    places = met.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places, at_places = written(places.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "places")
+    held = join_hot(met, places, "place", "n", places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    small = held.where("blocks = 1").groupBy("place").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # at most `block`
+    small = small.groupBy("nodes").agg(F.min("place").alias("place")).select(F.explode("nodes").alias("node"), "place", F.lit(1).alias("blocks"))
+    held, at_held = written(small.unionByName(held.where("blocks > 1").select("node", "place", "blocks")), "held")
+    carried = held.groupBy("node").agg(F.array_sort(F.collect_list("place.filter")).alias("filters")).join(coded.drop("filters"), "node")
+    dealt = held.join(carried, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "with")).withColumn("j", F.greatest("mine", "with"))
     member = F.struct("node", "many", (F.col("mine") != F.col("i")).cast("int").alias("side"), "vector", "filters")
     together = dealt.groupBy("place", "i", "j").agg(F.collect_list(member).alias("members"))
     found = together.where(F.size("members") > 1).select(F.col("place.filter").alias("filter"), "members").mapInArrow(_verify(cosine), "node long, links long, to long")
-    found, _ = written(found, "found")
+    found, at_found = written(found, "found")
+    drop(spark, at_coded, at_places, at_held)
     components = connected_components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by_class = coded.select("key", "node", "many").join(links, "node", "left").join(components, "node", "left")
-    by_class = by_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = rows.where("vector is not null").select("id", "key").join(by_class, "key")
+    by_class = classes.select("key", "node", "many").join(links, "node", "left").join(components, "node", "left")
+    by_class = by_class.select("key", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    by_class, _ = written(by_class, "by_class")
+    drop(spark, at_classes, at_found)
+    total = by_class.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    out = rows.where("vector is not null").select("id", "key")
+    out = join_hot(out, by_class, "key", "many", total)
     out = out.select("id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -125,6 +125,10 @@ def brute_links(vectors, cosine=0.9):
     return near
 
 
+def components_of(near):
+    return np.array(components(len(near), zip(*np.nonzero(near))))
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 64))
@@ -143,6 +147,12 @@ def test_embeddings(spark, monkeypatch):
         for k, _ in bad[:5] + bad[6:]:
             assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
         assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
+    repeated = df.where("vec_id in (0, 3, 480, 483)").unionByName(df.where("vec_id in (0, 480)"))
+    x = np.array([r.embedding for r in repeated.collect()], float)
+    ids = [r.vec_id for r in repeated.collect()]
+    near = brute_links(x)
+    want = sorted((k, int(n.sum()), min(i for i, y in zip(ids, components_of(near)[j] == components_of(near)) if y)) for j, (k, n) in enumerate(zip(ids, near)))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in caps.near_duplicates(repeated).collect()) == want
     assert caps.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -152,8 +162,25 @@ def test_embeddings_recall_of_filters():
     y = rng.standard_normal((600, 64))
     y = caps.units_of(y - (y * x).sum(1)[:, None] * x)
     y = 0.9 * x + math.sqrt(1 - 0.81) * y
-    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x), caps.decode(y))]
-    assert np.mean(met) >= 0.99
+    for codewords in (600, 2000):
+        met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x, codewords), caps.decode(y, codewords))]
+        assert np.mean(met) >= 0.995
+    assert caps.codewords_for(10) == 600 and caps.codewords_for(10**6) > 10_000 and caps.least_for(600) == 12
+
+
+def test_decode_gives_all_filters_that_exceed():
+    rng = np.random.default_rng(8)
+    x = caps.units_of(rng.standard_normal((20, 16)))
+    for own, v in zip(caps.decode(x, 40), x):
+        scores = []
+        for rotation in range(caps.ROTATIONS):
+            turn, first, second = caps.directions(16, rotation, 40)
+            t = v.astype(np.float32) @ turn
+            scores.append((first @ t[:8])[:, None] + second @ t[8:])
+        flat = np.array(scores).reshape(caps.ROTATIONS, -1)
+        for rotation, s in enumerate(flat):
+            mine = own[(own >= rotation * 1600) & (own < (rotation + 1) * 1600)] - rotation * 1600
+            assert len(mine) >= caps.least_for(40) and s[mine].min() >= np.delete(s, mine).max()
 
 
 # --- 3 top-k ---
