@@ -157,11 +157,20 @@ def sample_of_labels(labels: DataFrame, label: str, *, folds: int, fold: int, mo
     return one if share >= 1 else one.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def sample_of_texts(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, fold: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label, text) of the sample's labelled documents: of rows that repeat an id the one whose text has the least hash."""
+    sample = F.broadcast(sample_of_labels(labels, label, folds=folds, fold=fold, most=most))  # at most about `most` rows
+    chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(sample, "id")
+    return chosen.groupBy("id").agg(F.any_value("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 3, fold: int = 1, most: int = MOST_TRAINING, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """Grows the forest from the labelled documents outside the fold. Only the sample's statistics come to the driver."""
+    """Grows the forest from the labelled documents outside the fold. Only the sample's statistics, a row for each id, come
+    to the driver."""
     sample = F.broadcast(sample_of_labels(labels, label, folds=folds, fold=fold, most=most))  # at most about `most` rows
     chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(sample, "id")
-    rows = chosen.select("id", "label", _statistics("text").alias("x")).orderBy("id", F.hash("x")).select("label", "x").toPandas()
+    chosen = chosen.select("id", "label", F.xxhash64("text").alias("hash"), _statistics("text").alias("x"))
+    rows = chosen.groupBy("id").agg(F.any_value("label").alias("label"), F.min_by("x", F.struct("hash", "x")).alias("x")).orderBy("id").select("label", "x").toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(STATISTICS)))
     return grow(x, rows["label"].to_numpy(np.float64))
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality import held_out, sample_of_labels
-from .shared import table
+from .quality import held_out, sample_of_texts
+from .shared import drop, table, written
 
 #: The fit reads at most about this many labelled documents, chosen by a hash of their id.
 MOST_TRAINING = 6_000
@@ -31,13 +30,12 @@ OFFENDING = 0.5
 
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)")
 WORD = re.compile(r"\w+")
-
-
+#: Words longer than this also count by their beginning of so many letters, which inflected forms share.
 STEM = 4
 
 
 def words_of(sentence: str) -> set[str]:
-    """A sentence's distinct words, and the beginnings of longer ones, which inflected forms share."""
+    """A sentence's distinct words, and the beginnings of longer ones."""
     words = set(WORD.findall(sentence.lower()))
     return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
 
@@ -66,72 +64,88 @@ def bag_of(text: str | None) -> Iterator[set[str]]:
     return (words_of(m[0]) for m in SENTENCE.finditer(text or ""))
 
 
-def telling_words(texts: list[str | None], labels: np.ndarray) -> list[str]:
-    """Words that toxic documents hold oftener than chance explains: the log-likelihood ratio of the word against the
-    label has to exceed what the best of all the words would reach by chance, less SLACK. A noisy-or has no use for words
-    that speak against an offence, and thousands of rare words would only let it memorise."""
-    often, bad = Counter(), Counter()
-    for text, label in zip(texts, labels):
-        words = set().union(*bag_of(text))
-        often.update(words)
-        if label == 1:
-            bad.update(words)
-    n, positive = len(texts), float(labels.sum())
-    out = []
-    least = 2 * math.log(max(2, sum(c >= LEAST_DOCUMENTS for c in often.values()))) - SLACK
-    for w, c in often.items():
-        k = bad[w]
-        if c < LEAST_DOCUMENTS or k * n <= c * positive:
-            continue
-        cells = ((k, c * positive / n), (c - k, c * (n - positive) / n), (positive - k, (n - c) * positive / n), (n - positive - c + k, (n - c) * (n - positive) / n))
-        if 2 * sum(a * math.log(a / b) for a, b in cells if a > 0) >= least:
-            out.append(w)
-    return sorted(out)
-
-
-def train(texts: list[str | None], labels: np.ndarray) -> Model:
-    """Full-batch Adam on the cross-entropy of the noisy-or, with an L2 penalty on the words' weights. No labels, one
-    class only or no telling words: no weights, every score is 0."""
-    known = {w: i for i, w in enumerate(telling_words(texts, labels))}
-    if not len(labels) or labels.min() == labels.max() or not known:
-        return Model({}, 0.0)
-    ids, sentence_at, doc_at = [], [], []
-    for d, text in enumerate(texts):  # read again rather than kept: only telling words stay in memory
-        for s in bag_of(text):
-            own = sorted(known[w] for w in s if w in known)
-            if own:
-                ids += own
-                sentence_at += [len(doc_at)] * len(own)
-                doc_at.append(d)
-    ids, sentence_at, doc_at = np.array(ids, np.int32), np.array(sentence_at, np.int32), np.array(doc_at, np.int32)
-    n, sentences = len(texts), len(doc_at)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(texts: pd.Series) -> pd.Series:
+    return pd.Series([sorted(set().union(*bag_of(t))) for t in texts], dtype=object)
+
+
+def telling_words(sample: DataFrame) -> list[str]:
+    """sample(id, label, text), a row for each id -> words that toxic documents hold oftener than chance explains, sorted.
+
+    The log-likelihood ratio of the word against the label has to exceed what the best of all the words would reach by
+    chance, less SLACK. A noisy-or has no use for words that speak against an offence, and thousands of rare words would
+    only let it memorise. Words are counted in Spark; only telling ones come to the driver."""
+    n, positive = (float(x) for x in sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first())
+    counted = sample.select("label", F.explode(_words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.sum("label").alias("k"))
+    counted, path = written(counted.where(F.col("c") >= LEAST_DOCUMENTS), "words")
+    least = 2 * math.log(max(2, counted.count())) - SLACK
+    c, k = F.col("c").cast("double"), F.col("k")
+    cells = ((k, c * positive / n), (c - k, c * (n - positive) / n), (positive - k, (n - c) * positive / n), (n - positive - c + k, (n - c) * (n - positive) / n)) if n else ()
+    ratio = sum((F.when(a > 0, a * F.log(a / b)).otherwise(0.0) for a, b in cells), F.lit(0.0)) * 2
+    out = sorted(r["word"] for r in counted.where((k * n > c * positive) & (ratio >= least)).select("word").collect())
+    drop(sample.sparkSession, path)
+    return out
+
+
+def bags(sample: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels by id; for each telling word of each sentence its number and the sentence's; the document of each sentence.
+
+    Sentences are read in the tasks; what reaches the driver is numbers of telling words."""
+    sent = sample.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def told(texts: pd.Series) -> pd.Series:
+        get = sent.value.get
+        return pd.Series([[own for s in bag_of(t) if (own := sorted(i for w in s if (i := get(w)) is not None))] for t in texts], dtype=object)
+
+    rows = sample.select("id", "label", told("text").alias("told")).orderBy("id").select("label", "told").collect()
+    ids = [i for r in rows for own in r["told"] for i in own]
+    lengths = [len(own) for r in rows for own in r["told"]]
+    doc_at = np.repeat(np.arange(len(rows)), [len(r["told"]) for r in rows])
+    return np.array([r["label"] for r in rows], np.float64), np.array(ids, np.int32), np.repeat(np.arange(len(lengths)), lengths), doc_at
+
+
+def loss_and_gradient(theta: np.ndarray, labels: np.ndarray, ids: np.ndarray, sentence_at: np.ndarray, doc_at: np.ndarray) -> tuple[float, np.ndarray]:
+    """The balanced cross-entropy of the documents' noisy-or with an L2 penalty on the words' weights (theta's last is the
+    bias), and its gradient."""
+    n, sentences, weights = len(labels), len(doc_at), theta[:-1]
     share = np.clip(labels.mean(), 0.01, 0.99)
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
-    theta = np.zeros(len(known) + 1)
+    z = theta[-1] + np.bincount(sentence_at, weights=theta[ids], minlength=sentences)
+    s = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
+    clean = np.bincount(doc_at, weights=np.log1p(-s), minlength=n)  # log of the chance that no sentence offends
+    p = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
+    loss = -(balance * np.where(labels == 1, np.log(p), np.where(p < 1 - 1e-9, clean, np.log1p(-p)))).sum() / n + PENALTY * (weights**2).sum() / 2 / n
+    # d loss / d clean: toxic (1 - p) / p, others -1; d clean / d z = -s.
+    up = balance * np.where(labels == 1, (1 - p) / p, -1.0) / n
+    dz = -up[doc_at] * s
+    grad = np.append(np.bincount(ids, weights=dz[sentence_at], minlength=len(weights)), dz.sum())
+    grad[:-1] += PENALTY * weights / n
+    return float(loss), grad
+
+
+def train(words: list[str], labels: np.ndarray, ids: np.ndarray, sentence_at: np.ndarray, doc_at: np.ndarray) -> Model:
+    """Full-batch Adam. No labels, one class only or no telling words: no weights, every score is 0."""
+    if not len(labels) or labels.min() == labels.max() or not words:
+        return Model({}, 0.0)
+    theta = np.zeros(len(words) + 1)
     theta[-1] = -1.0
     m, v, rate = np.zeros_like(theta), np.zeros_like(theta), 0.15
     for step in range(1, STEPS + 1):
-        z = theta[-1] + np.bincount(sentence_at, weights=theta[ids], minlength=sentences)
-        s = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
-        clean = np.bincount(doc_at, weights=np.log1p(-s), minlength=n)  # log of the chance that no sentence offends
-        p = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
-        # d loss / d clean: toxic (1 - p) / p, others -1; d clean / d z = -s.
-        up = balance * np.where(labels == 1, (1 - p) / p, -1.0) / n
-        dz = -up[doc_at] * s
-        grad = np.append(np.bincount(ids, weights=dz[sentence_at], minlength=len(known)), dz.sum())
-        grad[:-1] += PENALTY * theta[:-1] / n
+        _, grad = loss_and_gradient(theta, labels, ids, sentence_at, doc_at)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         rate *= 0.99
-    return Model({w: float(theta[i]) for w, i in known.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
+    return Model({w: float(x) for w, x in zip(words, theta[:-1]) if abs(x) > 1e-3}, float(theta[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, fold: int = 0, most: int = MOST_TRAINING, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on the sample of labelled documents outside the fold; only these texts come to the driver."""
-    sample = F.broadcast(sample_of_labels(labels, label, folds=folds, fold=fold, most=most))  # at most about `most` rows
-    chosen = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(sample, "id")
-    rows = chosen.orderBy("id", F.hash("text")).select("label", "text").collect()
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.float64))
+    """Fits on the sample of labelled documents outside the fold, one text for each id; texts stay in the tasks."""
+    sample, path = written(sample_of_texts(docs, labels, label, folds=folds, fold=fold, most=most, id_col=id_col, text_col=text_col), "sample")
+    words = telling_words(sample)
+    model = train(words, *bags(sample, {w: i for i, w in enumerate(words)}))
+    drop(docs.sparkSession, path)
+    return model
 
 
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("offending", T.StringType())])

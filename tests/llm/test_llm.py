@@ -331,17 +331,118 @@ def test_forest_matches_plain_traversal():
     assert ((forest.score(x) > 0.5) == (x[:, 2] + x[:, 5] > 0)).mean() > 0.95
 
 
-def test_offending_sentences_are_located():
+def brute_statistics(text):
+    """The statistics by name, a character and a word at a time."""
+    raw = (text or "").encode()
+    words = raw.split()
+    if not words:
+        return dict.fromkeys(quality.STATISTICS, 0.0)
+    n, w = len(raw), len(words)
+    share = lambda chars: sum(x in chars for x in raw) / n
+    ranges = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "newline": b"\n", "other_bytes": bytes(range(128, 256)), "comma_stop": b",.;:", "pipe": b"|", "bang": b"!?", "hash_star_dollar": b"#*$%&@~^=+_<>{}[]\\"}
+    out = {k: share(v) for k, v in ranges.items()}
+    out["rest_punct"] = share(set(range(256)) - {x for v in ranges.values() for x in v})
+    marks = b"!#*$%&|@~"
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    by_byte = collections.Counter(raw)
+    return out | {
+        "log_bytes": math.log1p(n), "log_words": math.log1p(w), "word_length": sum(map(len, words)) / w, "distinct_words": len(set(words)) / w,
+        "distinct_pairs": len({(words[i], words[i + 1]) for i in range(w - 1)}) / max(1, w - 1), "top_word": max(words.count(x) for x in set(words)) / w,
+        "short_words": sum(len(x) <= 2 for x in words) / w, "long_words": sum(len(x) >= 12 for x in words) / w, "capital_words": sum(x.isupper() for x in words) / w,
+        "marked_words": sum(x[0] in marks or x[-1] in marks for x in words) / w, "log_lines": math.log1p(len(lines)), "distinct_lines": len(set(lines)) / len(lines),
+        "line_words": w / len(lines), "stopped_lines": sum(x.rstrip()[-1] in b".!?" for x in lines) / len(lines),
+        "repeated_line_bytes": (sum(map(len, lines)) - sum(map(len, set(lines)))) / n, "top_byte": max(by_byte.values()) / n,
+        "byte_entropy": -sum(c / n * math.log2(c / n) for c in by_byte.values()), "stops_per_word": sum(x in b".!?" for x in raw) / w,
+    }
+
+
+def test_statistics_against_brute_force():
+    for t in [t for _, t in texts()[::25] if len(t) < 20_000] + [*ODD[:6], "A b!\nA b!\n\n#x|y~", "\n\n", "ÀÉ 12 .?"]:
+        want = brute_statistics(t)
+        assert np.allclose(quality.statistics(t), [want[k] for k in quality.STATISTICS], rtol=1e-9, atol=1e-12), repr(t)[:200]
+
+
+def test_splits_against_exhaustive_search(monkeypatch):
+    """The first tree's first split is the best of all columns and all thresholds that a histogram can tell apart."""
+    monkeypatch.setattr(quality, "TREES", 1)
+    rng = np.random.default_rng(14)
+    x = np.round(rng.standard_normal((240, len(quality.STATISTICS))), 1)
+    y = (x[:, 3] + 0.5 * x[:, 7] + 0.6 * rng.standard_normal(240) > 0.2).astype(float)
+    forest = quality.grow(x, y)
+    mean = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = y - mean, np.full(len(y), mean * (1 - mean))
+    gain_of = lambda at: g[at].sum() ** 2 / (h[at].sum() + quality.PENALTY)
+    gains = {}
+    for c in range(x.shape[1]):
+        for t in np.unique(np.quantile(x[:, c], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            left = x[:, c] <= t
+            if quality.LEAF <= left.sum() <= len(y) - quality.LEAF:
+                gains[c, t] = gain_of(left) + gain_of(~left) - gain_of(np.ones(len(y), bool))
+    best = max(gains.values())
+    assert math.isclose(gains[int(forest.column[0][0]), forest.threshold[0][0]], best, rel_tol=1e-9)
+    left = x[:, int(forest.column[0][0])] <= forest.threshold[0][0]
+    for node, side in ((1, left), (2, ~left)):
+        assert math.isclose(forest.value[0][node], quality.RATE * g[side].sum() / (h[side].sum() + quality.PENALTY), rel_tol=1e-9)
+
+
+def brute_telling(texts, labels):
+    held = [set().union(*toxicity.bag_of(t)) for t in texts]
+    often, bad = collections.Counter(w for x in held for w in x), collections.Counter(w for x, y in zip(held, labels) for w in x if y == 1)
+    n, positive = len(texts), sum(labels)
+    least = 2 * math.log(max(2, sum(c >= toxicity.LEAST_DOCUMENTS for c in often.values()))) - toxicity.SLACK
+    out = []
+    for w, c in often.items():
+        table = [[bad[w], positive - bad[w]], [c - bad[w], n - positive - c + bad[w]]]
+        ratio = 2 * sum(v * math.log(v * n / (sum(r) * (table[0][j] + table[1][j]))) for r in table for j, v in enumerate(r) if v)
+        if c >= toxicity.LEAST_DOCUMENTS and bad[w] * n > c * positive and ratio >= least:
+            out.append(w)
+    return sorted(out)
+
+
+def made_bags():
     rng = random.Random(8)
     plain = ["sun", "rain", "birds", "people", "walk", "sing", "fall", "out", "down", "on", "the", "a"]
     made = lambda: " ".join(rng.choices(plain, k=6)) + "."
     clean = [" ".join(made() for _ in range(8)) for _ in range(160)]
-    bad = [" ".join([made(), "what " + rng.choice(("moron", "idiot")) + " " + made(), *(made() for _ in range(6))]) for _ in range(60)]
-    bad = [b.replace("what ", rng.choice(plain) + " ") for b in bad]
-    model = toxicity.train(clean + bad, np.array([0.0] * 160 + [1.0] * 60))
+    bad = [" ".join([made(), rng.choice(plain) + " " + rng.choice(("moron", "idiot")) + " " + made(), *(made() for _ in range(6))]) for _ in range(60)]
+    return clean + bad + [None, ""], [0.0] * 160 + [1.0] * 60 + [0.0, 1.0]
+
+
+def test_telling_words_and_offending_sentences(spark):
+    texts_, labels = made_bags()
+    sample = spark.createDataFrame([(i, y, t) for i, (t, y) in enumerate(zip(texts_, labels))], "id long, label double, text string")
+    words = toxicity.telling_words(sample)
+    assert words == brute_telling(texts_, labels) and {"moron", "idiot"} <= set(words)
+    y, ids, sentence_at, doc_at = toxicity.bags(sample, {w: i for i, w in enumerate(words)})
+    want = [(d, [words.index(w) for w in sorted(s & set(words))]) for d, t in enumerate(texts_) for s in toxicity.bag_of(t) if s & set(words)]
+    got = [(int(doc_at[k]), ids[sentence_at == k].tolist()) for k in range(len(doc_at))]
+    assert y.tolist() == labels and got == want
+    model = toxicity.train(words, y, ids, sentence_at, doc_at)
     p, found = model.score("rain falls down. what a moron sings! birds sing here.")
     assert p > 0.5 and [(a, b) for a, b, _ in found] == [(16, 36)]
     assert model.score("birds sing here. rain falls down.")[0] < 0.5 and model.score(None) == (0.0, [])
+    assert toxicity.telling_words(sample.limit(0)) == [] and toxicity.train([], *toxicity.bags(sample.limit(0), {})).weight == {}
+
+
+def test_gradient_of_the_noisy_or():
+    rng = np.random.default_rng(15)
+    labels, doc_at = rng.integers(0, 2, 12).astype(float), np.sort(rng.integers(0, 12, 30))
+    sentence_at = np.sort(np.concatenate([np.arange(30), rng.integers(0, 30, 20)]))
+    ids, theta = rng.integers(0, 5, 50), rng.standard_normal(6)
+    loss, grad = toxicity.loss_and_gradient(theta, labels, ids, sentence_at, doc_at)
+    want = toxicity.PENALTY * sum(theta[:-1] ** 2) / 2 / 12
+    share = labels.mean()
+    for d in range(12):
+        clean = 1.0
+        for s in np.nonzero(doc_at == d)[0]:
+            clean *= 1 - 1 / (1 + math.exp(-(theta[-1] + sum(theta[i] for i in ids[sentence_at == s]))))
+        weight = math.sqrt(0.5 / share if labels[d] else 0.5 / (1 - share))
+        want -= weight * math.log(max(1e-9, 1 - clean) if labels[d] else min(clean, 1 - 1e-9)) / 12
+    assert math.isclose(loss, want, rel_tol=1e-6)
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        slope = (toxicity.loss_and_gradient(theta + step, labels, ids, sentence_at, doc_at)[0] - toxicity.loss_and_gradient(theta - step, labels, ids, sentence_at, doc_at)[0]) / 2e-6
+        assert math.isclose(grad[i], slope, rel_tol=1e-4, abs_tol=1e-7)
 
 
 # --- 6 simhash ---
