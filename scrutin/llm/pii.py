@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -35,7 +37,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"[\x20().0-9-]*")
 AUTHORITY = re.compile(r"[^\s/@:?#]+(?::[^\s/@?#]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?")
-AFTER_CUE = re.compile(r"(?:\s{0,3}(?:number|no\.?|nr\.?|id|#))?\s{0,3}[:=#]?\s{0,3}([0-9](?:[\x20-]?[0-9]){5,33})(?![0-9A-Za-z])", re.ASCII | re.IGNORECASE)
+AFTER_CUE = re.compile(r"(?:\s{0,3}(?:number|no\.?|nr\.?|id|#))?\s{0,3}[:=#]?\s{0,3}([0-9](?:[\x20-]?[0-9]){5,})(?![0-9A-Za-z])", re.ASCII | re.IGNORECASE)
 IBAN_START = re.compile(r"[A-Z](?=[A-Z][0-9]{2})")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 #: An IBAN starts at most so many characters after its cue.
@@ -154,11 +156,15 @@ def find(text: str | None) -> list[Span]:
             iban_at.append(end + 1)
     if iban_at:
         taken = sorted((a, b) for _, a, b in spans)
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         for at in iban_at:
             ibans = _ibans(text, at)
             spans += [("iban", *x) for x in ibans]
-            if (found := AFTER_CUE.match(text, at)) and not any(a < found.end(1) and found.start(1) < b for a, b in taken + ibans):
-                spans.append(("account", *found.span(1)))
+            if found := AFTER_CUE.match(text, at):
+                begin, end = found.span(1)
+                before = bisect_left(starts, end)  # so many spans begin before the number ends
+                if not (before and reach[before - 1] > begin) and not any(a < end and begin < b for a, b in ibans):
+                    spans.append(("account", begin, end))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(spans), key=lambda s: (s[1], order[s[0]], s[2]))
 
