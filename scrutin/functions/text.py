@@ -51,6 +51,22 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+def path_parts(path: Column) -> Column:
+    """For ordering: paths are compared part by part, so a folder's files come before those of longer names beside it."""
+    return F.split(path, "/")
+
+
+def url_parts(url: Column) -> Column:
+    """struct(host, port, path): host in lower case or empty; without a port the one that https has."""
+    port = F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-z]+://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1), F.lit("")).cast("int"), F.lit(443))
+    return F.struct(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))).alias("host"), port.alias("port"), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).alias("path"))
+
+
+def newer_version(tag: Column, current: Column) -> Column:
+    """Whether a release's tag, without leading v's, comes after a version, both compared as text; an empty one doesn't."""
+    return F.coalesce((F.ltrim(tag, F.lit("v")) != "") & (F.ltrim(tag, F.lit("v")) > current), F.lit(False))
+
+
 def csv_line(cells: Column) -> Column:
     """An array of strings as a CSV row, quoted only where needed; null cells are empty, line breaks become spaces and
     cells are stripped. A row of one empty cell is written as two quotes."""

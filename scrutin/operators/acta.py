@@ -56,6 +56,11 @@ def geo_rate(rows: DataFrame, *levels: str, flagged: Column) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("flagged") / F.col("n"), 6))
 
 
+def undesignated(signatories: DataFrame, designated: DataFrame, keys: list[str]) -> DataFrame:
+    """Signatories of sheets that no resolution designates as jurors there."""
+    return signatories.join(designated.select(*keys).distinct(), keys, "left_anti")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """Full outer by key: nueva, retirada, cambiada or igual, with the variation in percent where it is a number."""
     r = before.select(key, F.col(value).alias("a")).join(after.select(key, F.col(value).alias("b")), key, "full")

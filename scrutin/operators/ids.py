@@ -10,6 +10,7 @@ from ..functions.text import id_error, non_empty, normalized_id, strip
 
 # Status texts of the service and their classes.
 CLASS_OF = {"Vigente (Vivo)": "VIVO", "Cancelada por Muerte": "FALLECIDO", "Cedula no Existe": "NO_EXISTE", "Sin datos para consultar": "SIN_DATOS"}
+MOST_BODY = 200  # characters of an error's body
 CLASSES = ("VIVO", "FALLECIDO", "NO_EXISTE", "SIN_DATOS", "INVALIDO", "ERROR", "DESCONOCIDO")
 
 
@@ -71,6 +72,11 @@ def classify_responses(rows: DataFrame) -> DataFrame:
     return r.drop(*[c for c in r.columns if c.startswith("_")])
 
 
+def http_error(status: Column, body: Column, most: int = MOST_BODY) -> Column:
+    """The text of an HTTP error: its number and the first characters of its body, if there is one."""
+    return F.concat(F.lit("HTTP_"), status.cast("string"), F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(": "), F.substring(body, 1, most))).otherwise(""))
+
+
 def as_text(rows: DataFrame) -> DataFrame:
     """Every column as text, null as empty: the form of the CSV sink."""
     return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])

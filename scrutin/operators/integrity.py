@@ -108,6 +108,12 @@ def size_gate(sized: DataFrame) -> DataFrame:
     return sized.where(F.col("status") != OTHER_SIZE)
 
 
+def gate_counts(sized: DataFrame) -> DataFrame:
+    """One row: files seen by the first pass, passed on to the second, and discarded by their size alone."""
+    other = F.col("status") == OTHER_SIZE
+    return sized.agg(F.count(F.lit(1)).alias("seen"), F.count_if(~other).alias("passed"), F.count_if(other).alias("discarded"))
+
+
 def server_status(url: Column, local: Column, remote: Column, error: Column, index_status: Column) -> Column:
     return (
         F.when(url.isNull(), NO_URL)

@@ -21,9 +21,12 @@ DEPARTMENTS = {
 }
 
 
-def pending(rows: DataFrame, progress: DataFrame, key: str, done: tuple[str, ...] = ("ok", "invalid", "dif")) -> DataFrame:
-    """Rows whose key has no done bucket; errors are tried again."""
-    return rows.join(progress.where(F.col("bucket").isin(*done)).select(key).distinct(), key, "left_anti")
+def pending(rows: DataFrame, progress: DataFrame, key: str, done: tuple[str, ...] = ("ok", "invalid", "dif"), modes: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose key has no done bucket; errors are tried again. With modes, progress counts for its own mode only, and
+    what comes back is a row for each mode in which the key is pending."""
+    on = ["mode", key] if modes else [key]
+    rows = rows.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes]))) if modes else rows
+    return rows.join(progress.where(F.col("bucket").isin(*done)).select(*on).distinct(), on, "left_anti")
 
 
 def valid_progress(progress: DataFrame, fingerprint: str) -> DataFrame:
@@ -37,9 +40,14 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r")).select(*key, "r.*").select(*rows.columns)
 
 
-def progress_sets(rows: DataFrame, bucket: str, member: str) -> DataFrame:
-    """Sorted distinct members of each bucket: the checkpoint's form."""
-    return rows.select(bucket, member).distinct().groupBy(bucket).agg(F.array_sort(F.collect_list(member)).alias("members"))
+def progress_rows(rows: DataFrame, bucket: str, member: str) -> DataFrame:
+    """Progress as distinct (bucket, member) rows, however many members a bucket has. The sink sorts them."""
+    return rows.select(bucket, member).distinct()
+
+
+def moved_between(rows: DataFrame, bucket: str, member: str, order: list[str]) -> DataFrame:
+    """(bucket, member) after all events: a member is in the bucket of its last one only."""
+    return progress_rows(latest(rows.select(bucket, member, *order), [member], order), bucket, member)
 
 
 def every_nth(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
@@ -49,12 +57,12 @@ def every_nth(rows: DataFrame, key: list[str], order: list[str], n: int) -> Data
 
 
 def failure_runs(rows: DataFrame, key: str, order: list[str], failed: Column, trip: int = TRIP) -> DataFrame:
-    """Runs of failures per key: (key, run_start, run_length, trips). The counter begins anew after each trip, so a run
-    trips once for each `trip` failures."""
+    """Runs of failures per key: (key, run_start, run_length, trips); run_start is the last of `order` in the run's first
+    row. The counter begins anew after each trip, so a run trips once for each `trip` failures."""
     w = Window.partitionBy(key).orderBy(*order)
     r = rows.withColumn("failed", F.coalesce(failed, F.lit(False)))
     r = r.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = r.where("failed").groupBy(key, "island").agg(F.min(order[-1]).alias("run_start"), F.count(F.lit(1)).alias("run_length"))
+    runs = r.where("failed").groupBy(key, "island").agg(F.min_by(order[-1], F.struct(*order)).alias("run_start"), F.count(F.lit(1)).alias("run_length"))
     return runs.withColumn("trips", F.floor(F.col("run_length") / trip).cast("long")).drop("island")
 
 
@@ -71,14 +79,31 @@ def decode(rows: DataFrame, code: str, names: dict[str, str] | None = None, into
     return rows.withColumn(into, F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(code)))
 
 
+def decode_counts(rows: DataFrame, code: str, names: dict[str, str] | None = None) -> DataFrame:
+    """One row: how many rows have a code with a name, and how many have none and are skipped."""
+    name = F.col("_name")
+    return decode(rows.select(code), code, names, "_name").agg(F.count(name).alias("matched"), F.count_if(name.isNull()).alias("unmatched"))
+
+
 def plan_moves(files: DataFrame, present: DataFrame) -> DataFrame:
     """files(path, base, dept_name, mpio, zona, puesto, filename) -> outcome and organized path. Nothing is moved.
 
-    sin_patron: no place or an unknown department; en_sitio: already there; conflicto: the path is taken; movida."""
+    sin_patron: no place or an unknown department; en_sitio: already there; conflicto: the path is taken, by a file that
+    is present or by one of this plan; movida. Files are taken in the order of their paths' parts, so of several for one
+    place the first is moved. A file's place follows from its name, so what is at a place stays there."""
     dest = F.when(F.col("dept_name").isNotNull() & F.col("puesto").isNotNull(), F.concat_ws("/", "base", "dept_name", "mpio", "zona", "puesto", "filename"))
+    parts = F.split("path", "/")
     r = files.withColumn("organized", dest).join(present.select(F.col("path").alias("organized"), F.lit(True).alias("taken")).distinct(), "organized", "left")
-    outcome = F.when(F.col("organized").isNull(), "sin_patron").when(F.col("organized") == F.col("path"), "en_sitio").when(F.col("taken"), "conflicto").otherwise("movida")
-    return r.withColumn("outcome", outcome).drop("taken")
+    first = r.where("organized is not null and organized <> path and taken is null").groupBy("organized").agg(F.min(F.struct(parts, "path"))["path"].alias("first"))
+    r = r.join(first, "organized", "left")
+    outcome = F.when(F.col("organized").isNull(), "sin_patron").when(F.col("organized") == F.col("path"), "en_sitio")
+    return r.withColumn("outcome", outcome.when(F.col("taken") | (F.col("path") != F.col("first")), "conflicto").otherwise("movida")).drop("taken", "first")
+
+
+def move_counts(plan: DataFrame) -> DataFrame:
+    """One row: files moved, without a pattern, in conflict, and already in place."""
+    names = {"moved": "movida", "no_pattern": "sin_patron", "conflict": "conflicto", "in_place": "en_sitio"}
+    return plan.agg(*[F.count_if(F.col("outcome") == v).alias(k) for k, v in names.items()])
 
 
 def revert_plan(manifest: DataFrame, present: DataFrame) -> DataFrame:

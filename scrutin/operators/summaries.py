@@ -16,6 +16,17 @@ def status_summary(rows: DataFrame, status: Column, order: tuple[str, ...] = (),
     return counts.select("status", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6).alias("pct"), place.alias("place"))
 
 
+def bucket_counts(rows: DataFrame, status: Column, named: tuple[str, ...], rest: str = "ERROR") -> DataFrame:
+    """(bucket, n): each named status, and all others, null too, in one remainder bucket."""
+    bucket = F.when(F.coalesce(status.isin(*named), F.lit(False)), status).otherwise(rest)
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_rows(rows: DataFrame, status: str, *classes: str) -> DataFrame:
+    """The rows of some classes."""
+    return rows.where(F.col(status).isin(*classes))
+
+
 def rollup_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """Counts by key prefixes and in all; level 0 is the finest."""
     return rows.rollup(*keys).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))

@@ -45,6 +45,7 @@ def first_text(*candidates: Column) -> Column:
     return F.coalesce(*[non_empty(c) for c in candidates], F.lit(""))
 
 
+# The patterns by which fields are read.
 def form_field(html: Column, name: str) -> Column:
     return F.regexp_extract(html, f'name="{re.escape(name)}"[^>]*value="([^"]*)"', 1)
 

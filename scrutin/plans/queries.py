@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import csv_line, file_name, first_token, normalized_id, stem
+from .. import streaming
+from ..functions.text import csv_line, file_name, newer_version, path_parts, stem, url_parts
 from ..operators import acta, ids, integrity, state, summaries, tables, tls
+from ..sources import config, files
 from ..sources import ids as id_source
 from ..sources import index as index_source
+from . import sinks
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -98,13 +102,41 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "filename", stem(F.col("filename")).alias("stem"), F.octet_length("html").cast("long").alias("length"), sha(F.col("html")).alias("sha256"))
 
 
-@query("""SELECT lpad((c_nationkey)::VARCHAR, 2, '0') AS code, count(*) AS n, max(CASE lpad((c_nationkey)::VARCHAR, 2, '0') WHEN '01' THEN 'ANTIOQUIA' WHEN '03' THEN 'ATLANTICO'
-WHEN '05' THEN 'BOLIVAR' WHEN '07' THEN 'BOYACA' WHEN '09' THEN 'CALDAS' WHEN '11' THEN 'CAUCA' WHEN '12' THEN 'CESAR' WHEN '13' THEN 'CORDOBA' WHEN '15' THEN 'CUNDINAMARCA'
-WHEN '16' THEN 'BOGOTA D.C.' WHEN '17' THEN 'CHOCO' WHEN '19' THEN 'HUILA' WHEN '21' THEN 'MAGDALENA' WHEN '23' THEN 'NARINO' WHEN '24' THEN 'RISARALDA' END) AS dept_name
-FROM customer GROUP BY 1""")
+_DEPARTMENTS = ", ".join(f"('{code}', '{name}')" for code, name in state.DEPARTMENTS.items())
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0").alias("code"))
+
+
+@query("""SELECT 'p' || page_id || '.PDF' AS filename, CASE WHEN page_id % 10 = 0 THEN 0 ELSE strlen(html) END AS length, CASE WHEN page_id % 10 = 0 THEN sha256('') ELSE sha256(html) END AS sha256 FROM pages""")
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files, which are then scanned as a folder of binary files, empty ones included."""
+    k = F.col("page_id")
+    name = F.format_string("%d/p%d.PDF", k % 3, k)
+    folder = files.scratch_folder(spark)
+    sinks.write_named(read(spark, sf_dir, "pages").select(name.alias("name"), F.when(k % 10 == 0, "").otherwise(F.col("html")).alias("text")), folder)
+    return files.hashed_folder(spark, folder).select("filename", "length", "sha256")
+
+
+@query(f"""WITH d(code, dept_name) AS (VALUES {_DEPARTMENTS}), c AS (SELECT lpad((c_custkey % 100)::VARCHAR, 2, '0') AS code, count(*) AS n FROM customer GROUP BY 1)
+SELECT c.code, n, dept_name FROM c LEFT JOIN d ON c.code = d.code""")
 def dim_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").groupBy(F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return state.decode(c, "code")
+    return state.decode(_coded(spark, sf_dir).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code")
+
+
+@query(f"""WITH d(code, dept_name) AS (VALUES {_DEPARTMENTS}) SELECT count(dept_name) AS matched, count(*) - count(dept_name) AS unmatched
+FROM customer LEFT JOIN d ON lpad((c_custkey % 100)::VARCHAR, 2, '0') = d.code""")
+def dim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.decode_counts(_coded(spark, sf_dir), "code")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, (row_number() OVER (PARTITION BY regexp_extract(url, '^(.*)/[^/]*$', 1) ORDER BY string_split(url || '/' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/x' ELSE '-x/y' END, '/'), page_id))::INTEGER AS place FROM pages""")
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    path = F.concat("url", F.lit("/"), (k % 3).cast("string"), F.when(k % 2 == 0, "/x").otherwise("-x/y"))
+    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(.*)/[^/]*$", 1).alias("folder"), path.alias("path"))
+    return p.select("page_id", "folder", F.row_number().over(Window.partitionBy("folder").orderBy(path_parts(F.col("path")), "page_id")).alias("place"))
 
 
 _PLACED = """
@@ -165,6 +197,16 @@ def two_pass_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passed.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "status", sha(F.col("text")).alias("sha256"))
 
 
+@query(f"WITH {_SIZED} SELECT count(*) AS seen, count(*) FILTER (status <> 'DIFERENTE_TAMANIO') AS passed, count(*) FILTER (status = 'DIFERENTE_TAMANIO') AS discarded FROM sized")
+def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.gate_counts(_sized(spark, sf_dir))
+
+
+@query(f"WITH {_SIZED} SELECT CASE WHEN status IN ('IGUAL_TAMANIO', 'DIFERENTE_TAMANIO', 'TAMANIO_NO_DISPONIBLE') THEN status ELSE 'ERROR' END AS bucket, count(*) AS n FROM sized GROUP BY 1")
+def status_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.bucket_counts(_sized(spark, sf_dir), F.col("status"), (integrity.SAME_SIZE, integrity.OTHER_SIZE, integrity.NO_SIZE))
+
+
 @query(f"""WITH {_CLASSIFIED}, s AS (SELECT v.doc_id, v.status AS indice_status, d.kind, d.sha, d.text FROM verdicts v JOIN d USING (doc_id))
 SELECT doc_id, indice_status, CASE WHEN doc_id % 17 = 0 THEN 'URL_NO_CONSTRUIBLE' WHEN doc_id % 19 = 0 THEN 'ERROR_DESCARGA' WHEN doc_id % 3 <> 0 THEN 'IGUAL_SERVIDOR'
 WHEN indice_status = 'VERIFICADA' THEN 'MANIPULADA_EN_SERVIDOR' ELSE 'DIFERENTE_SERVIDOR' END AS status FROM s""")
@@ -178,10 +220,41 @@ def server_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.reconcile_server(local, remote).select("doc_id", "indice_status", "status")
 
 
-@query("SELECT page_id, starts_with(html, '<!DO') AS looks_whole FROM pages WHERE starts_with(html, '<!DO')")
+@query("SELECT page_id, strlen(html) + 9 AS length FROM pages WHERE page_id % 3 = 0")
 def magic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.substring(F.col("html").cast("binary"), 1, 4) == F.unhex(F.lit("3C21444F"))
-    return read(spark, sf_dir, "pages").where(at).select("page_id", at.alias("looks_whole"))
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), "html")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("%pdf"), "html")).otherwise(F.col("html"))
+    p = read(spark, sf_dir, "pages").select("page_id", body.cast("binary").alias("content"))
+    return p.where(files.is_pdf(F.col("content"))).select("page_id", F.octet_length("content").cast("long").alias("length"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:]*)', 1)) AS host, CASE WHEN page_id % 2 = 0 THEN 8443 ELSE 443 END AS port,
+regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM pages""")
+def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^([a-z]+://[^/:]*)", "$1:8443")).otherwise(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", url_parts(url).alias("u")).select("page_id", "u.*")
+
+
+@query("""SELECT p_partkey, ltrim(CASE p_partkey % 4 WHEN 0 THEN 'v' WHEN 1 THEN 'vv' WHEN 2 THEN '' ELSE 'v1.' END || CASE WHEN p_partkey % 4 <> 2 THEN p_size::VARCHAR ELSE '' END, 'v') > '1.3' AS newer FROM part""")
+def version_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    tag = F.when(k == 0, F.concat(F.lit("v"), size)).when(k == 1, F.concat(F.lit("vv"), size)).when(k == 2, "").otherwise(F.concat(F.lit("v1."), size))
+    return read(spark, sf_dir, "part").select("p_partkey", newer_version(tag, F.lit("1.3")).alias("newer"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 5 AS k, round(o_totalprice / 1000) - 100 AS delay, o_custkey % 7 AS workers FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (0, 1) THEN greatest(0.0::DOUBLE, delay) ELSE 1.0::DOUBLE END AS delay, CASE WHEN k = 0 THEN greatest(1, least(4, workers))::INTEGER ELSE 1 END AS workers FROM r""")
+def settings_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, delay, workers = F.col("o_orderkey") % 5, F.round(F.col("o_totalprice") / 1000) - 100, F.col("o_custkey") % 7
+    text = F.when(k == 0, F.format_string('{"delay": %.1f, "workers": %d}', delay, workers)).when(k == 1, F.format_string('{"delay": %.1f}', delay)).when(k == 2, "{}").when(k == 3, F.format_string('{"workers": %d', workers)).otherwise('{"workers": "many", "delay": 3.5}')
+    r = config.captured(read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text")
+    bounded = config.within(F.col("delay"), F.col("workers"))
+    return r.select("o_orderkey", bounded[0].alias("delay"), bounded[1].alias("workers"))
+
+
+@query("SELECT page_id, 'HTTP_' || (400 + page_id % 100) || CASE WHEN page_id % 7 = 0 THEN '' ELSE ': ' || left(html, 200) END AS error FROM pages")
+def http_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    return read(spark, sf_dir, "pages").select("page_id", ids.http_error(400 + k % 100, F.when(k % 7 != 0, F.col("html"))).alias("error"))
 
 
 # --- identifiers ---------------------------------------------------------------------------------------------------
@@ -267,7 +340,7 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RESPONSES} SELECT event_id, clasificacion, error FROM classified WHERE clasificacion = 'FALLECIDO' OR clasificacion = 'ERROR'")
 def class_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified_responses(spark, sf_dir).where(F.col("clasificacion").isin("FALLECIDO", "ERROR")).select("event_id", "clasificacion", "error")
+    return summaries.class_rows(_classified_responses(spark, sf_dir), "clasificacion", "FALLECIDO", "ERROR").select("event_id", "clasificacion", "error")
 
 
 @query(f"""WITH {_RESPONSES}, x AS (SELECT event_id, clasificacion, row_number() OVER (PARTITION BY clasificacion ORDER BY event_id) AS place, count(*) OVER (PARTITION BY clasificacion) AS total FROM classified)
@@ -295,11 +368,12 @@ def combined_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- state ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag IN ('A', 'N'))")
+@query("""SELECT o_orderkey, mode FROM orders, (VALUES ('online'), ('size'), ('both')) m(mode) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey
+AND l_returnflag IN ('A', 'N') AND mode = CASE l_linenumber % 3 WHEN 0 THEN 'online' WHEN 1 THEN 'size' ELSE 'both' END)""")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.col("l_returnflag")
-    progress = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(flag == "A", "ok").when(flag == "N", "invalid").otherwise("err").alias("bucket"))
-    return state.pending(read(spark, sf_dir, "orders").select("o_orderkey"), progress, "o_orderkey")
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber") % 3
+    progress = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(flag == "A", "ok").when(flag == "N", "invalid").otherwise("err").alias("bucket"), F.when(n == 0, "online").when(n == 1, "size").otherwise("both").alias("mode"))
+    return state.pending(read(spark, sf_dir, "orders").select("o_orderkey"), progress, "o_orderkey", modes=("online", "size", "both"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -312,9 +386,15 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@query("SELECT event_type AS bucket, list_sort(list(DISTINCT user_id)) AS members FROM events GROUP BY event_type")
+@query("SELECT DISTINCT event_type AS bucket, user_id AS member FROM events")
 def checkpoint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.progress_sets(read(spark, sf_dir, "events").withColumnRenamed("event_type", "bucket"), "bucket", "user_id")
+    return state.progress_rows(read(spark, sf_dir, "events").select(F.col("event_type").alias("bucket"), F.col("user_id").alias("member")), "bucket", "member")
+
+
+@query("SELECT arg_max(event_type, (ts, event_id)) AS bucket, user_id AS member FROM events GROUP BY user_id")
+def progress_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("bucket"), F.col("user_id").alias("member"), "ts", "event_id")
+    return state.moved_between(e, "bucket", "member", ["ts", "event_id"])
 
 
 @query("SELECT user_id, event_id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events) WHERE place % 10 = 0")
@@ -322,10 +402,10 @@ def checkpoint_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.every_nth(read(spark, sf_dir, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 10).drop("ts")
 
 
-@query("""WITH r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)
-SELECT user_id, min(event_id) AS run_start, count(*) AS run_length, count(*) // 3 AS trips FROM r WHERE event_type = 'error' GROUP BY user_id, island""")
+@query("""WITH r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)
+SELECT user_id, arg_min(event_id, (value, event_id)) AS run_start, count(*) AS run_length, count(*) // 3 AS trips FROM r WHERE event_type = 'error' GROUP BY user_id, island""")
 def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.failure_runs(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+    return state.failure_runs(read(spark, sf_dir, "events"), "user_id", ["value", "event_id"], F.col("event_type") == "error")
 
 
 @query("""SELECT user_id, event_id, event_type, before, place::INTEGER AS place FROM (SELECT *, row_number() OVER w AS place, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE before <> event_type""")
@@ -335,25 +415,38 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MOVES = """
-f AS (SELECT c_custkey, 'f' || c_custkey || '.pdf' AS filename, CASE WHEN c_nationkey < 20 THEN n_name END AS dept_name, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS puesto FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT c_custkey, 'f' || (c_custkey - c_custkey % 3) || '.pdf' AS filename, CASE WHEN n.n_nationkey < 20 THEN n.n_name END AS dept_name, CASE WHEN c_custkey // 3 % 9 <> 0 THEN 'p' || (c_custkey // 3 % 4) END AS puesto
+  FROM customer JOIN nation n ON c_custkey // 3 % 25 = n.n_nationkey),
 m AS (SELECT *, '/b/' || dept_name || '/m/z/' || puesto || '/' || filename AS organized FROM f),
-plan AS (SELECT c_custkey, filename, organized, CASE WHEN c_custkey % 8 = 0 AND organized IS NOT NULL THEN organized ELSE '/b/' || filename END AS path,
-  CASE WHEN organized IS NULL THEN 'sin_patron' WHEN c_custkey % 8 = 0 THEN 'en_sitio' WHEN c_custkey % 6 = 0 THEN 'conflicto' ELSE 'movida' END AS outcome FROM m)"""
+located AS (SELECT *, CASE WHEN c_custkey % 8 = 0 AND organized IS NOT NULL THEN organized WHEN c_custkey % 2 = 0 THEN '/b/in-' || (7 - c_custkey % 3) || '/' || filename ELSE '/b/in/' || (7 - c_custkey % 3) || '/' || filename END AS path FROM m),
+present AS (SELECT path FROM located UNION SELECT organized FROM located WHERE c_custkey % 36 = 0),
+queue AS (SELECT c_custkey, row_number() OVER (PARTITION BY organized ORDER BY string_split(path, '/')) AS turn FROM located
+  WHERE organized IS NOT NULL AND organized <> path AND organized NOT IN (SELECT path FROM present WHERE path IS NOT NULL)),
+plan AS (SELECT located.c_custkey, filename, organized, path,
+  CASE WHEN organized IS NULL THEN 'sin_patron' WHEN organized = path THEN 'en_sitio' WHEN turn = 1 THEN 'movida' ELSE 'conflicto' END AS outcome FROM located LEFT JOIN queue USING (c_custkey))"""
 
 
 def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    f = c.select("c_custkey", F.format_string("f%d.pdf", k).alias("filename"), F.lit("/b").alias("base"), F.when(F.col("c_nationkey") < 20, F.col("n_name")).alias("dept_name"), F.lit("m").alias("mpio"), F.lit("z").alias("zona"), F.when(k % 9 != 0, F.col("c_mktsegment")).alias("puesto"))
+    g = F.floor(k / 3)
+    c = read(spark, sf_dir, "customer").select("c_custkey").join(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), g % 25 == F.col("n_nationkey"))
+    f = c.select("c_custkey", F.format_string("f%d.pdf", g * 3).alias("filename"), F.lit("/b").alias("base"), F.when(F.col("n_nationkey") < 20, F.col("n_name")).alias("dept_name"), F.lit("m").alias("mpio"), F.lit("z").alias("zona"), F.when(g % 9 != 0, F.format_string("p%d", g % 4)).alias("puesto"))
     dest = F.when(F.col("dept_name").isNotNull() & F.col("puesto").isNotNull(), F.concat_ws("/", "base", "dept_name", "mpio", "zona", "puesto", "filename"))
-    f = f.withColumn("path", F.when((k % 8 == 0) & dest.isNotNull(), dest).otherwise(F.concat_ws("/", "base", "filename")))
-    present = f.select("path").unionByName(f.where((k % 6 == 0) & dest.isNotNull()).select(dest.alias("path")))
-    return state.plan_moves(f, present).select("c_custkey", "filename", "organized", "path", "outcome")
+    path = F.when((k % 8 == 0) & dest.isNotNull(), dest).when(k % 2 == 0, F.format_string("/b/in-%d/%s", 7 - k % 3, "filename")).otherwise(F.format_string("/b/in/%d/%s", 7 - k % 3, "filename"))
+    f = f.withColumn("path", path)
+    present = f.select("path").unionByName(f.where((k % 36 == 0) & dest.isNotNull()).select(dest.alias("path")))
+    return state.plan_moves(f, present)
 
 
 @query(f"WITH {_MOVES} SELECT * FROM plan")
 def organize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _moves(spark, sf_dir)
+    return _moves(spark, sf_dir).select("c_custkey", "filename", "organized", "path", "outcome")
+
+
+@query(f"""WITH {_MOVES} SELECT count(*) FILTER (outcome = 'movida') AS moved, count(*) FILTER (outcome = 'sin_patron') AS no_pattern, count(*) FILTER (outcome = 'conflicto') AS conflict,
+count(*) FILTER (outcome = 'en_sitio') AS in_place FROM plan""")
+def move_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.move_counts(_moves(spark, sf_dir))
 
 
 @query(f"WITH {_MOVES} SELECT filename, organized AS source, path AS target, CASE WHEN c_custkey % 5 = 0 THEN 'error' ELSE 'revertida' END AS outcome FROM plan WHERE outcome = 'movida'")
@@ -366,20 +459,40 @@ def manifest_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text, tables, certificates ------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, list_bool_or(list_transform(['kaspersky','eset','avast','avg','mcafee','norton','bitdefender','fortinet','fortigate','zscaler','netskope','cisco umbrella','sonicwall','forcepoint','websense','sophos','trendmicro','trend micro','gdata','malwarebytes','ssl inspection','deep packet','content filter','proxy','web filter','surfshark','nordvpn'], lambda w: contains(lower(text), w))) AS hit,
-CASE WHEN list_bool_or(list_transform(['kaspersky','eset','avast','avg','mcafee','norton','bitdefender','fortinet','fortigate','zscaler','netskope','cisco umbrella','sonicwall','forcepoint','websense','sophos','trendmicro','trend micro','gdata','malwarebytes','ssl inspection','deep packet','content filter','proxy','web filter','surfshark','nordvpn'], lambda w: contains(lower(text), w))) THEN 'INTERCEPTACION_LOCAL'
-WHEN doc_id % 4 = 0 THEN 'CADENA_AUTOFIRMADA_DESCONOCIDA' WHEN doc_id % 4 = 1 THEN 'CADENA_INCOMPLETA_SERVIDOR' WHEN doc_id % 4 = 2 THEN 'OK' ELSE 'DESCONOCIDO' END AS likely_cause FROM documents""")
+_HELD = " OR ".join(f"contains(lower(text), '{w}')" for w in tls.KEYWORDS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce({_HELD}, false) AS hit FROM documents)
+SELECT doc_id, hit, CASE WHEN hit THEN 'INTERCEPTACION_LOCAL' WHEN doc_id % 4 = 0 THEN 'CADENA_AUTOFIRMADA_DESCONOCIDA' WHEN doc_id % 4 = 1 THEN 'CADENA_INCOMPLETA_SERVIDOR' WHEN doc_id % 4 = 2 THEN 'OK' ELSE 'DESCONOCIDO' END AS likely_cause FROM d""")
 def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
     o = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("issuer_cn"), F.when(k == 0, F.col("text")).otherwise("host").alias("subject_cn"), F.when(k == 1, "Unable to get local issuer certificate").otherwise("").alias("verify_error"), (k == 2).alias("connected"))
-    return tls.diagnose(o).select("doc_id", tls.contains_any(F.col("issuer_cn")).alias("hit"), "likely_cause")
+    return tls.diagnose(o).select("doc_id", F.col("intercepted").alias("hit"), "likely_cause")
+
+
+_ENDPOINTS = ", ".join(f"('{key}', '{label}', '{url}')" for key, label, url in tls.ENDPOINTS)
+
+
+@query(f"WITH e(key, label, url) AS (VALUES {_ENDPOINTS}) SELECT e.key, e.label, e.url, count(event_id) AS n FROM e LEFT JOIN events ON e.key = (user_id % 8)::VARCHAR GROUP BY ALL")
+def endpoint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return tls.endpoints(spark).join(seen, "key", "left").select("key", "label", "url", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (30 + o_custkey % 300)::INTEGER AS b, DATE '1997-06-01' AS t FROM orders)
+SELECT o_orderkey, 'desde ' || strftime(a, '%Y-%m-%d') || ' hasta ' || strftime(b, '%Y-%m-%d') AS dates, datediff('day', t, b)::INTEGER AS days_left, t BETWEEN a AND b AS valid_then FROM c""")
+def certificate_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    began = F.to_date("o_orderdate")
+    c = read(spark, sf_dir, "orders").select("o_orderkey", began.alias("not_before"), F.date_add(began, (30 + F.col("o_custkey") % 300).cast("int")).alias("not_after"), F.lit("1997-06-01").cast("date").alias("checked"))
+    return tls.validity(c, "checked").select("o_orderkey", "dates", "days_left", "valid_then")
 
 
 @query(r"""SELECT page_id, regexp_extract(html, 'name="description"[^>]*value="([^"]*)"', 1) AS field, trim(regexp_extract(html, 'id="main"[^>]*>([^<]+)<', 1)) AS by_id,
-regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages""")
+regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(html, '(?i)>\s*AND\s*<[^>]*>\s*([^<]+)', 1)) AS labelled FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '<td>And</td> value ' || page_id || ' <i>' ELSE '' END AS html FROM pages)""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
-    return read(spark, sf_dir, "pages").select("page_id", tables.form_field(h, "description").alias("field"), tables.text_by_id(h, "main").alias("by_id"), F.regexp_extract(h, '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, 'href="([^"]*)"', 1).alias("href"))
+    tail = F.when(F.col("page_id") % 3 == 0, F.format_string("<td>And</td> value %d <i>", "page_id")).otherwise("")
+    return read(spark, sf_dir, "pages").select("page_id", F.concat("html", tail).alias("html")).select("page_id", tables.form_field(h, "description").alias("field"), tables.text_by_id(h, "main").alias("by_id"), F.regexp_extract(h, '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, 'href="([^"]*)"', 1).alias("href"), tables.value_by_label(h, "AND").alias("labelled"))
 
 
 @query("SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN '' END, ''), nullif(CASE WHEN page_id % 2 = 0 THEN url END, ''), '') AS text FROM pages")
@@ -423,14 +536,21 @@ def conversion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rules over sheets ---------------------------------------------------------------------------------------------
 
 
-@query("""WITH s AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS parts FROM lineitem GROUP BY 1), d AS (SELECT o_orderkey, round(o_totalprice - coalesce(parts, 0), 2) AS diff FROM orders LEFT JOIN s ON o_orderkey = l_orderkey)
-SELECT o_orderkey, diff, CASE WHEN abs(diff) > 50000 THEN 'lectura' WHEN diff <> 0 THEN 'genuina' ELSE 'sin alerta' END AS signal FROM d""")
+@query("""WITH s AS (SELECT l_orderkey AS k, sum(l_quantity) AS parts, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT k, n, parts, parts + CASE k % 6 WHEN 1 THEN 4 WHEN 2 THEN 31 WHEN 3 THEN -31 ELSE 0 END AS total, CASE k % 5 WHEN 1 THEN 0 WHEN 2 THEN parts + 2 WHEN 3 THEN parts - 40 ELSE parts END AS urna,
+  CASE k % 4 WHEN 1 THEN parts - 1 WHEN 2 THEN parts - 50 ELSE parts + 90 END AS habilitados, CASE WHEN k % 11 = 0 THEN -1 ELSE 0 END AS least FROM s)
+SELECT k AS o_orderkey, total - parts AS diff, CASE WHEN least < 0 THEN 'genuina' WHEN urna = 0 THEN 'lectura'
+  WHEN greatest(abs(total - parts), abs(urna - parts), urna - habilitados) > 30 THEN 'lectura' WHEN total <> parts OR urna <> parts OR urna > habilitados THEN 'genuina' ELSE 'sin alerta' END AS signal FROM t""")
 def arith_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("parts"))
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(parts, "o_orderkey", "left")
-    d = F.round(F.col("o_totalprice") - F.coalesce("parts", F.lit(0.0)), 2)
-    sheets = o.select("o_orderkey", d.alias("total"), F.lit(0.0).alias("parts"))
-    return acta.arithmetic(sheets, most=50000).select("o_orderkey", "diff", "signal")
+    s = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("parts"))
+    k, p = F.col("o_orderkey"), F.col("parts")
+    sheets = s.withColumns({
+        "total": p + F.when(k % 6 == 1, 4).when(k % 6 == 2, 31).when(k % 6 == 3, -31).otherwise(0),
+        "urna": F.when(k % 5 == 1, F.lit(0)).when(k % 5 == 2, p + 2).when(k % 5 == 3, p - 40).otherwise(p),
+        "habilitados": F.when(k % 4 == 1, p - 1).when(k % 4 == 2, p - 50).otherwise(p + 90),
+        "least": F.when(k % 11 == 0, -1).otherwise(0),
+    })
+    return acta.arithmetic(sheets).select("o_orderkey", "diff", "signal")
 
 
 @query("""WITH p AS (SELECT o_custkey, median(o_totalprice) AS peer FROM orders GROUP BY 1) SELECT o_orderkey, round(o_totalprice / peer, 6) AS ratio FROM orders JOIN p USING (o_custkey)""")
@@ -451,8 +571,8 @@ def group_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT r_name, n_name, count(*) AS n, count(*) FILTER (c_acctbal < 0) AS flagged, grouping(r_name, n_name)::BIGINT AS level, round(count(*) FILTER (c_acctbal < 0) / count(*), 6) AS rate
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def geo_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 nations, 5 regions
-    c = read(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     return acta.geo_rate(c, "r_name", "n_name", flagged=F.col("c_acctbal") < 0)
 
 
@@ -489,12 +609,20 @@ def copy_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acta.compare_copies(*copies, "l_orderkey", "l_returnflag")
 
 
-@query("""WITH z AS (SELECT n_nationkey, c_nationkey, c_custkey, round(c_acctbal) AS delta FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0)
-SELECT c_nationkey, count(*) FILTER (delta > 0) AS up, count(*) FILTER (delta < 0) AS down, count(*) FILTER (delta > 0) - count(*) FILTER (delta < 0) AS bias FROM (SELECT c_nationkey, round(c_acctbal) AS delta FROM customer WHERE c_acctbal > 5000 OR c_nationkey < 5)
-WHERE delta <> 0 GROUP BY 1 HAVING abs(count(*) FILTER (delta > 0) - count(*) FILTER (delta < 0)) = count(*) AND count(*) >= 2""")
+@query("""WITH m AS (SELECT c_nationkey, median(c_acctbal) AS middle FROM customer GROUP BY 1), z AS (SELECT c_custkey // 3 AS zone, round(c_acctbal - middle) AS delta FROM customer JOIN m USING (c_nationkey))
+SELECT zone, count(*) FILTER (delta > 0) AS up, count(*) FILTER (delta < 0) AS down, sum(sign(delta))::BIGINT AS bias FROM z WHERE delta <> 0 GROUP BY 1 HAVING count(*) >= 2 AND (min(delta) > 0 OR max(delta) < 0)""")
 def directional_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").where("c_acctbal > 5000 or c_nationkey < 5").select("c_nationkey", F.round("c_acctbal").alias("delta"))
-    return acta.directional_bias(c, "c_nationkey", "delta")
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    middle = c.groupBy("c_nationkey").agg(F.median("c_acctbal").alias("middle"))
+    deltas = c.join(middle, "c_nationkey").select(F.floor(F.col("c_custkey") / 3).alias("zone"), F.round(F.col("c_acctbal") - F.col("middle")).alias("delta"))
+    return acta.directional_bias(deltas, "zone", "delta")
+
+
+@query("SELECT DISTINCT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey % 50 AND s_nationkey = c_nationkey)")
+def undesignated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("juror"), F.col("s_nationkey").alias("place"))
+    signed = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 50).alias("juror"), F.col("c_nationkey").alias("place"))
+    return acta.undesignated(signed, named, ["juror", "place"]).select("c_custkey", "c_nationkey")
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, before, highest FROM (SELECT *, lag(l_linenumber) OVER w AS before, max(l_linenumber) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS highest FROM lineitem
@@ -519,5 +647,4 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    return e.groupBy(F.date_format(F.window(F.col("ts").cast("timestamp"), "1 day")["start"], "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return streaming.tumbling_counts(read(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")

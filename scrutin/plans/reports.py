@@ -48,19 +48,35 @@ def id_report(results: DataFrame, title: str = "Consulta de vigencia", caps: dic
     return "\n".join(out) + "\n"
 
 
-def verdict_report(verdicts: DataFrame, title: str, detailed: Sequence[str], columns: Sequence[str]) -> str:
-    """Counts by status and all rows of the detailed statuses, streamed to the driver row by row."""
+#: Rows of a section at most; the rest is counted in a last row. write_detail has them all.
+MOST_ROWS = 5_000
+
+
+def detail(title: str, rows: DataFrame, columns: Sequence[str], most: int = MOST_ROWS) -> list[str]:
+    """A section of the first rows by all columns; at most `most` reach the driver."""
+    head = rows.select(*columns).orderBy(*columns).limit(most + 1).collect()
+    more = rows.count() - most if len(head) > most else 0
+    body = [*head[:most], *([(f"... ({more:,} mas)", *[""] * (len(columns) - 1))] if more else [])]
+    return ["", f"## {title}", "", *markdown_table(columns, body)]
+
+
+def verdict_report(verdicts: DataFrame, title: str, detailed: Sequence[str], columns: Sequence[str], most: int = MOST_ROWS) -> str:
+    """Counts by status and the first rows of the detailed statuses."""
     out = [f"# {title}", "", *counts_section(verdicts, "status")]
     for status in detailed:
-        rows = verdicts.where(F.col("status") == status).select(*columns).orderBy(*columns).toLocalIterator()
-        out += ["", f"## {status}", "", *markdown_table(columns, rows)]
+        out += detail(status, verdicts.where(F.col("status") == status), columns, most)
     return "\n".join(out) + "\n"
 
 
-def hash_report(verdicts: DataFrame) -> str:
-    noted = verdicts.where((F.col("status") == integrity.VERIFIED) & (F.col("note") != "")).select("filename", "note")
-    rest = verdict_report(verdicts, "Verificacion de hashes", (integrity.ALTERED, integrity.UNKNOWN), ("filename", "sha256", "note"))
-    return rest + "\n".join(["", "## VERIFICADA con nota", "", *markdown_table(("filename", "note"), noted.orderBy("filename").toLocalIterator())]) + "\n"
+def write_detail(verdicts: DataFrame, path: str, detailed: Sequence[str]) -> None:
+    """All rows of the detailed statuses as a table, a folder for each status."""
+    verdicts.where(F.col("status").isin(*detailed)).write.mode("overwrite").partitionBy("status").parquet(path)
+
+
+def hash_report(verdicts: DataFrame, most: int = MOST_ROWS) -> str:
+    noted = verdicts.where((F.col("status") == integrity.VERIFIED) & (F.col("note") != ""))
+    rest = verdict_report(verdicts, "Verificacion de hashes", (integrity.ALTERED, integrity.UNKNOWN), ("filename", "sha256", "note"), most)
+    return rest + "\n".join(detail("VERIFICADA con nota", noted, ("filename", "note"), most)) + "\n"
 
 
 def size_report(sized: DataFrame) -> str:
@@ -73,7 +89,7 @@ def server_report(verdicts: DataFrame) -> str:
 
 def tls_report(observations: DataFrame) -> str:
     counts = observations.groupBy("status").count().orderBy("status").collect()
-    rows = observations.select("label", "url", "status", "issuer_cn", "subject_cn").orderBy("label").toLocalIterator()
+    rows = observations.select("label", "url", "status", "issuer_cn", "subject_cn").orderBy("label").limit(MOST_ROWS).collect()
     return "\n".join(["# Certificados", "", *(f"- {r.status}: {r['count']}" for r in counts), "", *markdown_table(("Plataforma", "URL", "Estado", "Emisor", "Sujeto"), rows)]) + "\n"
 
 

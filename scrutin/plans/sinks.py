@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.text import stem, strip
 from ..operators.ids import as_text
 from ..operators.tables import clean_rows, table_csv
 
@@ -37,6 +39,43 @@ def write_table_files(tables: DataFrame, path: str) -> None:
     t.select("stem", "n", table_csv(F.col("rows")).alias("value")).write.mode("overwrite").partitionBy("stem", "n").text(path)
 
 
+def write_named(files: DataFrame, folder: str) -> None:
+    """files(name, text): one UTF-8 file under `folder` for each row, by exactly that name (folders in it are made), each
+    written by the task that has the row. A repeated task writes the same file again."""
+    from pyarrow import fs
+
+    fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")  # fails here rather than in the tasks
+
+    def put(rows) -> None:
+        to, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for r in rows:
+            path = f"{base}/{r['name']}"
+            to.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with to.open_output_stream(path) as out:
+                out.write(r["text"].encode("utf-8"))
+
+    files.select("name", "text").foreachPartition(put)
+
+
+def write_csv_files(tables: DataFrame, folder: str, doc: str = "doc") -> None:
+    """tables(doc, page, ord, rows): each meaningful table as {doc's stem}/tabla{N}.csv, numbered over the document."""
+    t = tables.withColumn("rows", clean_rows(F.col("rows"))).where(F.size("rows") > 0)
+    t = t.withColumn("n", F.row_number().over(Window.partitionBy(doc).orderBy("page", "ord")))
+    write_named(t.select(F.format_string("%s/tabla%d.csv", stem(F.col(doc)), "n").alias("name"), F.concat(table_csv(F.col("rows")), F.lit("\n")).alias("text")), folder)
+
+
+def write_markdown(texts: DataFrame, sections: DataFrame, folder: str, doc: str = "doc") -> None:
+    """texts(doc, text) with the sections(doc, section) of their tables as {doc's stem}.md; a blank text gives no file."""
+    t = texts.join(sections.select(doc, "section"), doc, "left").where(strip(F.coalesce("text", F.lit(""))) != "")
+    write_named(t.select(F.concat(stem(F.col(doc)), F.lit(".md")).alias("name"), F.concat("text", F.coalesce("section", F.lit(""))).alias("text")), folder)
+
+
+def write_progress_sets(progress: DataFrame, path: str, bucket: str = "bucket", member: str = "member") -> None:
+    """(bucket, member) rows as text, a folder for each bucket, its members in order."""
+    p = progress.select(bucket, F.col(member).cast("string").alias("value"))
+    p.repartitionByRange(bucket, "value").sortWithinPartitions(bucket, "value").write.mode("overwrite").partitionBy(bucket).text(path)
+
+
 def write_by_place(rows: DataFrame, path: str) -> None:
     """Results by round, copy and department, so that later reads prune folders."""
     rows.repartition("round", "copy", "dept").write.mode("overwrite").partitionBy("round", "copy", "dept").parquet(path)

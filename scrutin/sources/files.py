@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +19,17 @@ RESULT_SCHEMA = "nuip string, clasificacion string, vigencia_raw string, codigo
 
 def pdf_files(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
     """The binaryFile schema plus filename. Only the columns that are selected are read, so sizes cost no content.
-    Zero-byte files, which that source leaves out, are added from the listing of a second, metadata-only source."""
+    Zero-byte files, which that source leaves out, are in empty_pdf_files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.[Pp][Dd][Ff]").load(folder)
     return found.withColumn("filename", file_name(F.col("path")))
 
 
-def empty_pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, filename) of zero-byte files: a listing on the driver through Hadoop's file system."""
+def empty_pdf_files(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
+    """(path, length, filename) of zero-byte files: a listing on the driver through Hadoop's file system, of which only
+    the empty files are kept."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(folder)
-    it = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    it = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, recursive)
     rows = []
     while it.hasNext():
         f = it.next()
@@ -34,14 +38,23 @@ def empty_pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, length bigint, filename string")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name where the driver and all executors see it: under spark.checkpoint.dir, or a temporary one where
+    that is unset and all runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def hashed(files: DataFrame) -> DataFrame:
     """(path, filename, length, sha256)."""
     return files.select("path", "filename", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def hashed_folder(spark: SparkSession, folder: str) -> DataFrame:
-    empty = empty_pdf_files(spark, folder).withColumn("sha256", F.lit(EMPTY_SHA256))
-    return hashed(pdf_files(spark, folder)).unionByName(empty.select("path", "filename", "length", "sha256"))
+def hashed_folder(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
+    empty = empty_pdf_files(spark, folder, recursive=recursive).withColumn("sha256", F.lit(EMPTY_SHA256))
+    return hashed(pdf_files(spark, folder, recursive=recursive)).unionByName(empty.select("path", "filename", "length", "sha256"))
 
 
 def is_pdf(content) -> F.Column:

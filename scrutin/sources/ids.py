@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import file_name, first_token, strip
+from ..functions.text import first_token, strip
 
 # Recognised header names.
 COLUMN_NAMES = ("nuip", "cedula", "documento", "cc", "identificacion")
@@ -35,17 +35,33 @@ def header_column(cells: Column) -> Column:
     return F.when(at > 0, at - 1)
 
 
+# A field: quoted from its start (what follows the closing quote is kept), or plain, where quotes are ordinary.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:{_QUOTED}"?+[^,\r\n]*+|[^,\r\n]*+)'
+_RECORD = rf"({_FIELD}(?:,{_FIELD})*+)(?:\r\n|\r|\n|\z)"
+
+
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text, line breaks within quotes kept; blank lines are empty records."""
+    return F.regexp_extract_all(text, F.lit(_RECORD), 1)
+
+
+def csv_cells(record: Column) -> Column:
+    plain = lambda c: F.concat(F.replace(F.regexp_extract(c, rf'^"([^"]*+(?:""[^"]*+)*+)"?', 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, rf"^{_QUOTED}\"([^,\r\n]*)$", 1))
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_FIELD})"), 1), lambda c: F.when(c.startswith('"'), plain(c)).otherwise(c))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Comma only, a byte order mark is removed. Without a recognised header the first column counts and the first row
-    is data; a short row falls back to its first cell; empty rows are skipped but numbered. Cells don't span lines."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("archivo_origen"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    first = F.get(F.split("value", "\r\n|\r|\n"), F.lit(0))
-    cells = lambda line: F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
-    files = files.withColumn("place", header_column(cells(first)))
-    rows = lines(files, "value", "archivo_origen", "place").where("line <> '' and not (linea_origen = 1 and place is not null)")
-    c = cells(F.col("line"))
-    return rows.select("archivo_origen", "linea_origen", F.coalesce(F.get(c, F.coalesce("place", F.lit(0))), F.get(c, F.lit(0))).alias("token"))
+    """Comma only, a byte order mark is removed. Without a recognised header the first column counts and the first record
+    is data; a short record falls back to its first cell; empty ones are skipped but numbered. linea_origen numbers
+    records, not lines. A file is one row until its records are told apart, so it has to fit a task's memory."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("archivo_origen"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    files = files.select("archivo_origen", csv_records(F.col("value")).alias("records"))
+    files = files.withColumn("place", header_column(csv_cells(F.get("records", F.lit(0)))))
+    rows = files.select("archivo_origen", "place", F.posexplode("records").alias("at", "record")).withColumn("linea_origen", F.col("at") + 1)
+    rows = rows.where("record <> '' and not (linea_origen = 1 and place is not null)").withColumn("c", csv_cells(F.col("record")))
+    return rows.select("archivo_origen", "linea_origen", F.coalesce(F.get("c", F.coalesce("place", F.lit(0))), F.get("c", F.lit(0))).alias("token"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return (read_csv if file_name(F.lit(path)) is not None and path.lower().endswith(".csv") else read_text)(spark, path)
+    return (read_csv if path.lower().endswith(".csv") else read_text)(spark, path)

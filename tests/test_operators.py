@@ -14,6 +14,7 @@ from scrutin import streaming
 from scrutin.functions import text
 from scrutin.operators import acta, ids, integrity, state, summaries, tables, tls
 from scrutin.plans import reports, sinks
+from scrutin.sources import config
 from scrutin.sources import files as file_source
 from scrutin.sources import ids as id_source
 from scrutin.sources import index as index_source
@@ -48,6 +49,8 @@ def test_byte_order_marks(spark, tmp_path):
         ("a,nuip\nb\n\nc,123\n", [(2, "b"), (4, "123")]),
         ("1234567;x\n", [(1, "1234567;x")]),
         ('nuip\n"1,234,567"\n', [(2, "1,234,567")]),
+        ('x,"nuip"\n"two\nlines, ""q""",5\r\n\r\n"a"b"c,6\rq"x,7', [(2, "5"), (4, "6"), (5, "7")]),
+        (',nuip\n,8\n"open,9\nend', [(2, "8"), (3, "open,9\nend")]),
     ],
 )
 def test_id_csv(spark, tmp_path, body, want):
@@ -139,6 +142,9 @@ def test_pdf_files(spark, tmp_path):
     pdfs = file_source.pdf_files(spark, str(tmp_path))
     assert [r.filename for r in pdfs.where(file_source.is_pdf(F.col("content"))).collect()] == ["a b.PDF"]
     assert file_source.pdf_files(spark, str(tmp_path), recursive=False).count() == 1
+    (tmp_path / "flat.pdf").write_bytes(b"")
+    flat = file_source.hashed_folder(spark, str(tmp_path), recursive=False)
+    assert sorted((r.filename, r.sha256) for r in flat.collect()) == [("a b.PDF", sha(b"%PDF-1")), ("flat.pdf", file_source.EMPTY_SHA256)]
 
 
 def test_places(spark):
@@ -171,6 +177,14 @@ def test_sizes_and_server(spark):
 def test_progress(spark, tmp_path):
     rows = spark.createDataFrame([(c,) for c in "abcde"], "key string")
     progress = spark.createDataFrame([("size", "a", "ok", "f1"), ("size", "b", "err", "f1"), ("size", "c", "dif", "f1"), ("online", "d", "invalid", "f1")], "mode string, key string, bucket string, input_sha256 string")
+    both = state.pending(rows, progress, "key", modes=("size", "online"))
+    assert sorted((r["mode"], r.key) for r in both.collect()) == [("online", "a"), ("online", "b"), ("online", "c"), ("online", "e"), ("size", "b"), ("size", "d"), ("size", "e")]
+    events = spark.createDataFrame([("err", "x", 1), ("ok", "x", 2), ("err", "y", 3), ("ok", "w", 4), ("ok", "w", 5)], "bucket string, member string, at int")
+    assert state.progress_rows(events, "bucket", "member").count() == 4
+    moved = state.moved_between(events, "bucket", "member", ["at"])
+    assert sorted(map(tuple, moved.collect())) == [("err", "y"), ("ok", "w"), ("ok", "x")]
+    sinks.write_progress_sets(moved, f"{tmp_path}/sets")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/sets/bucket=ok").collect()] == ["w", "x"]
     left = state.pending(rows, progress, "key")
     assert sorted(r.key for r in left.collect()) == ["b", "e"] and state.valid_progress(progress, "f2").count() == 0
     assert left.select("key").union(progress.where("bucket <> 'err'").select("key")).distinct().count() == rows.count()
@@ -185,6 +199,8 @@ def test_failure_runs(spark):
     rows = spark.createDataFrame([("k", i, x) for i, x in enumerate([1, 1, 1, 0, 1, 1, 0, *[1] * 7])], "k string, i int, bad int")
     got = sorted((r.run_start, r.run_length, r.trips) for r in state.failure_runs(rows, "k", ["i"], F.col("bad") == 1).collect())
     assert got == [(0, 3, 1), (4, 2, 0), (7, 7, 2)]
+    rows = spark.createDataFrame([("k", 1, 9), ("k", 2, 3), ("k", 3, 5)], "k string, ts int, id int")  # ids in no order
+    assert [(r.run_start, r.run_length, r.trips) for r in state.failure_runs(rows, "k", ["ts", "id"], F.lit(True)).collect()] == [(9, 3, 1)]
 
 
 def test_moves_and_their_reverse(spark):
@@ -194,6 +210,11 @@ def test_moves_and_their_reverse(spark):
     plan = state.plan_moves(f, present)
     assert {r.filename: r.outcome for r in plan.collect()} == {"1.pdf": "movida", "2.pdf": "sin_patron", "3.pdf": "sin_patron", "4.pdf": "en_sitio", "5.pdf": "conflicto"}
     moved = plan.where("outcome = 'movida'").select("filename", F.col("path").alias("original"), "organized")
+    assert tuple(state.move_counts(plan).first()) == (1, 2, 1, 1)
+    assert tuple(state.decode_counts(f, "code").first()) == (4, 1)
+    twice = [("/b/in-2/1.pdf",), ("/b/in/x/1.pdf",), ("/b/in/2/1.pdf",)]  # by parts "in" comes before "in-2", as text it comes after
+    g = spark.createDataFrame(twice, "path string").withColumns({k: F.lit(v) for k, v in {"base": "/b", "dept_name": "D", "mpio": "m", "zona": "z", "puesto": "p", "filename": "1.pdf"}.items()})
+    assert {r.path: r.outcome for r in state.plan_moves(g, g.select("path")).collect()} == {"/b/in/2/1.pdf": "movida", "/b/in/x/1.pdf": "conflicto", "/b/in-2/1.pdf": "conflicto"}
     back = state.revert_plan(moved, moved.select(F.col("organized").alias("path")))
     assert [(r.source, r.target, r.outcome) for r in back.collect()] == [("/b/ANTIOQUIA/m/z/p/1.pdf", "/b/1.pdf", "revertida")]
 
@@ -221,7 +242,7 @@ def test_certificates(spark):
     cases = [("Kaspersky CA", "h", "", True, "INTERCEPTACION_LOCAL"), ("Reset CA", "h", "", True, "INTERCEPTACION_LOCAL"), ("x", "x", "", True, "CADENA_AUTOFIRMADA_DESCONOCIDA"), ("c", "h", "Self-Signed chain", False, "CADENA_AUTOFIRMADA_DESCONOCIDA"), ("c", "h", "unable to get local issuer certificate", False, "CADENA_INCOMPLETA_SERVIDOR"), ("c", "h", "", True, "OK"), (None, None, None, None, "DESCONOCIDO")]
     df = spark.createDataFrame([c[:4] for c in cases], "issuer_cn string, subject_cn string, verify_error string, connected boolean")
     assert [r.likely_cause for r in tls.diagnose(df).collect()] == [c[4] for c in cases]
-    assert not spark.range(1).select(tls.contains_any(F.lit("Reset CA"), whole_words=True)).first()[0]
+    assert not spark.range(1).select(tls.contains_any(F.lit("reset ca"), whole_words=True)).first()[0]
     rdns = spark.createDataFrame([([[("org", "o")], [("commonName", "cn"), ("commonName", "z")]],), ([],)], "r array<array<struct<k:string,v:string>>>")
     assert [r[0] for r in rdns.select(tls.common_name(F.col("r"))).collect()] == ["cn", ""]
 
@@ -298,3 +319,98 @@ def test_transports(spark):
     at = [i for i, t in enumerate(got) if t == "primary"]
     assert at[:3] == [0, 1, 2] and got[3] == "fallback" and got[52] == "fallback"  # the 50th call on it fails on the primary
     assert at[3] == 102 and at[3:] == [102, 103, 104]  # the 100th succeeds
+
+
+def test_fixed_values():
+    """What the SQL of the queries is made from, spelled out."""
+    words = "kaspersky|eset|avast|avg|mcafee|norton|bitdefender|fortinet|fortigate|zscaler|netskope|cisco umbrella|sonicwall|forcepoint|websense|sophos|trendmicro|trend micro|gdata|malwarebytes|ssl inspection|deep packet|content filter|proxy|web filter|surfshark|nordvpn"
+    assert "|".join(tls.KEYWORDS) == words
+    names = "01 ANTIOQUIA|03 ATLANTICO|05 BOLIVAR|07 BOYACA|09 CALDAS|11 CAUCA|12 CESAR|13 CORDOBA|15 CUNDINAMARCA|16 BOGOTA D.C.|17 CHOCO|19 HUILA|21 MAGDALENA|23 NARINO|24 RISARALDA|25 NORTE DE SAN|26 QUINDIO|27 SANTANDER|28 SUCRE|29 TOLIMA|31 VALLE|40 ARAUCA|44 CAQUETA|46 CASANARE|48 LA GUAJIRA|50 GUAINIA|52 META|54 GUAVIARE|56 SAN ANDRES|60 AMAZONAS|64 PUTUMAYO|68 VAUPES|72 VICHADA|88 CONSULADOS"
+    assert "|".join(f"{k} {v}" for k, v in state.DEPARTMENTS.items()) == names
+    assert [e[0] for e in tls.ENDPOINTS] == list("123456") and all(e[2].startswith("https://") for e in tls.ENDPOINTS)
+
+
+def test_settings(spark):
+    assert config.load(None) == config.load("{}") == config.load("{bad") == config.load('{"workers": "many"}') == config.load("[1]") == config.Settings()
+    s = config.load('{"delay": "2.5", "workers": 3, "ip_mode": "manual"}')
+    assert s == config.Settings(2.5, 3, "manual") == config.load(config.dump(s))
+    assert config.given(s, delay=-1, workers=9) == config.Settings(0.0, 4, "manual") and config.given(s, workers=0).workers == 1
+    assert config.given(s, ip="x") == config.Settings(2.5, 3, "manual", "x") and config.given(s) == s
+    df = spark.createDataFrame([('{"delay": -3, "workers": 9}',), ('{"workers": "many"}',), ("[1]",), (None,), ("{}",)], "t string")
+    rows = config.captured(df, "t").select(*config.within(F.col("delay"), F.col("workers"))).collect()
+    assert [tuple(r) for r in rows] == [(0.0, 4), *[(1.0, 1)] * 4]
+
+
+def test_urls_versions_and_errors(spark):
+    df = spark.createDataFrame([("https://Host.example:8443/a/b?x=1",), ("https://h/",), ("http://h?q",), ("nonsense",), (None,)], "u string")
+    assert [tuple(r.u) for r in df.select(text.url_parts(F.col("u")).alias("u")).collect()] == [("host.example", 8443, "/a/b"), ("h", 443, "/"), ("h", 443, ""), ("", 443, "nonsense"), ("", 443, "")]
+    df = spark.createDataFrame([("v1.10",), ("v1.9.1",), ("",), ("vv",), (None,), ("1.9",)], "t string")
+    assert [r[0] for r in df.select(text.newer_version(F.col("t"), F.lit("1.9"))).collect()] == [False, True, False, False, False, False]  # as text, 1.10 comes before 1.9
+    df = spark.createDataFrame([(500, "x" * 300), (404, ""), (503, None)], "s int, b string")
+    assert [r[0] for r in df.select(ids.http_error(F.col("s"), F.col("b"))).collect()] == ["HTTP_500: " + "x" * 200, "HTTP_404", "HTTP_503"]
+
+
+def test_validity_and_endpoints(spark):
+    df = spark.sql("select date'2026-01-01' as not_before, date'2026-03-01' as not_after, explode(array(date'2025-12-31', date'2026-02-27', date'2026-03-02')) as at")
+    assert [(r.dates, r.days_left, r.valid_then) for r in tls.validity(df, "at").orderBy("at").collect()] == [("desde 2026-01-01 hasta 2026-03-01", n, ok) for n, ok in ((60, False), (2, True), (-1, False))]
+    assert tls.endpoints(spark).columns == ["key", "label", "url"] and tls.endpoints(spark).count() == 6
+
+
+def test_buckets_and_jurors(spark):
+    df = spark.createDataFrame([("A",), ("A",), ("B",), ("odd",), (None,)], "s string")
+    assert {r.bucket: r.n for r in summaries.bucket_counts(df, F.col("s"), ("A", "B")).collect()} == {"A": 2, "B": 1, "ERROR": 2}
+    assert summaries.class_rows(df, "s", "A", "odd").count() == 3
+    signed = spark.createDataFrame([("m1", "ana"), ("m1", "luz"), ("m2", "ana")], "mesa string, name string")
+    assert sorted(map(tuple, acta.undesignated(signed, signed.where("mesa = 'm1' and name = 'ana'"), ["mesa", "name"]).collect())) == [("m1", "luz"), ("m2", "ana")]
+    sized = spark.createDataFrame([(s,) for s in ("IGUAL_TAMANIO", "DIFERENTE_TAMANIO", "ERROR_DESCARGA")], "status string")
+    assert tuple(integrity.gate_counts(sized).first()) == (3, 2, 1)
+    scores = spark.createDataFrame([(0.5, None), (1.0, 2.0)], "a double, b double")
+    assert [r[0] for r in scores.select(acta.weighted_score({"a": 2.0, "b": 0.5})).collect()] == [1.0, 3.0]
+    assert ids.as_text(scores).first() == ("0.5", "")
+    kept = integrity.evidence(spark.createDataFrame([("a.pdf", b"x")], "filename string, content binary")).first()
+    assert (kept.evidence_name, bytes(kept.content)) == ("a_SERVER.pdf", b"x")
+
+
+def test_captured_inputs(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"organized_at": "x", "files": {"1.pdf": {"original": "/b/1.pdf", "organized": "/b/D/1.pdf"}}}))
+    assert file_source.read_manifest(spark, f"{tmp_path}/m.json").collect() == [("1.pdf", "/b/1.pdf", "/b/D/1.pdf")]
+    (tmp_path / "j.json").write_text(json.dumps([{"departamento": "D", "municipio": "M", "ruta": "r", "url": "u", "local_path": "p"}, {"departamento": "E"}]))
+    assert [tuple(r) for r in file_source.read_jury_index(spark, f"{tmp_path}/j.json").orderBy("departamento").collect()] == [("D", "M", "r", "u", "p"), ("E", None, None, None, None)]
+    snaps = spark.createDataFrame([("2026-06-21", 1), ("2026-06-30", 2)], "snapshot_date string, mesa int")
+    snaps.write.partitionBy("snapshot_date").parquet(f"{tmp_path}/s")
+    assert [r.mesa for r in file_source.read_snapshots(spark, f"{tmp_path}/s").where("snapshot_date = '2026-06-30'").collect()] == [2]
+    (tmp_path / "u.json").write_text(json.dumps({"_meta": "{}", "a.pdf": "https://h/a.pdf"}))
+    assert index_source.urls(index_source.read(spark, f"{tmp_path}/u.json")).collect() == [("a.pdf", "https://h/a.pdf")]
+
+
+def test_named_files(spark, tmp_path):
+    t = spark.createDataFrame([("d.pdf", 1, 1, [["a", "b"]]), ("d.pdf", 2, 1, [[None, " "]]), ("d.pdf", 3, 1, [["c"]]), ("e.x.pdf", 1, 1, [["z"]])], "doc string, page int, ord int, rows array<array<string>>")
+    sinks.write_csv_files(t, f"{tmp_path}/csv")
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in (tmp_path / "csv").rglob("*.csv")} == {"csv/d/tabla1.csv": "a,b\n", "csv/d/tabla2.csv": "c\n", "csv/e.x/tabla1.csv": "z\n"}
+    texts = spark.createDataFrame([("d.pdf", "# D é"), ("f.pdf", "plain"), ("g.pdf", "  ")], "doc string, text string")
+    sinks.write_markdown(texts, tables.table_section(t), f"{tmp_path}/md")
+    assert sorted(p.name for p in (tmp_path / "md").iterdir()) == ["d.md", "f.md"] and (tmp_path / "md/f.md").read_text() == "plain"
+    assert (tmp_path / "md/d.md").read_text(encoding="utf-8").startswith("# D é\n\n---\n\n## Tablas")
+
+
+def test_reports_of_verdicts(spark, tmp_path):
+    rows = [(f"p{i}", 5, 6 + i, "n", "u", "DIFERENTE_TAMANIO") for i in range(7)] + [("q", 5, 5, "", "u", "IGUAL_TAMANIO"), ("r", 5, 0, "", "u", "TAMANIO_NO_DISPONIBLE")]
+    sized = spark.createDataFrame(rows, "path string, local_size long, remote_size long, note string, url string, status string")
+    report = reports.size_report(sized)
+    assert sum(f"| p{i} | 5 |" in report for i in range(7)) == 7 and "## ERROR_DESCARGA" in report and "| **Total** | **9** | **100%** |" in report
+    short = reports.verdict_report(sized, "t", ("DIFERENTE_TAMANIO",), ("path", "note"), most=3)
+    assert short.count("| n |") == 3 and "| ... (4 mas) |  |" in short
+    reports.write_detail(sized, f"{tmp_path}/d", ("DIFERENTE_TAMANIO",))
+    assert spark.read.parquet(f"{tmp_path}/d").count() == 7
+    server = spark.createDataFrame([("a", "u", "MANIPULADA_EN_SERVIDOR"), ("b", "u", "IGUAL_SERVIDOR")], "path string, url string, status string")
+    assert "## MANIPULADA_EN_SERVIDOR\n\n| path | url |\n|---|---|\n| a | u |" in reports.server_report(server)
+    seen = spark.createDataFrame([("L", "u", "VALIDO", "i", "s"), ("M", "u", "TIMEOUT", None, None)], "label string, url string, status string, issuer_cn string, subject_cn string")
+    assert "- TIMEOUT: 1" in reports.tls_report(seen) and "| L | u | VALIDO | i | s |" in reports.tls_report(seen)
+
+
+def test_seen_once_in_a_stream(spark, tmp_path):
+    spark.sql("select timestamp'2026-01-01 00:00:00' as ts, explode(array('a', 'b', 'a')) as k").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, k string").parquet(f"{tmp_path}/in")
+    q = streaming.first_seen(stream, "k").writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.k for r in spark.table("seen").collect()) == ["a", "b"]
