@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,27 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _open:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end the tables that written() made within it and that are still in the list it gives: take out what
+    is to stay. Operators' results are lazy and read such tables, so write a result before the end."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        drop(spark, *made)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Removes tables that written() made and nothing reads any more."""
     for path in paths:
