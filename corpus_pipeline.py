@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrutin.llm import mixing, packing, pii, quality, simhash
-from scrutin.llm.shared import table, written
+from scrutin.llm.shared import drop, intermediates, table, written
 
 
 def whole(docs: DataFrame) -> F.Column:
@@ -59,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's result is written and read again; what a stage wrote besides, and the result before, are removed."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        with intermediates(spark) as made:
+            docs, path = written(stage(spark, docs, sf_dir), name)
+            made.remove(path)
+        drop(spark, *before)
+        before = [path]
     return docs
