@@ -187,6 +187,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     coded, at_coded = written(classes.select("node", "many", "vector", filters_of(F.col("vector"), codewords_for(classes.count())).alias("filters")), "coded")
     # Classes of a length meet only among themselves.
     met = coded.select("node", F.size("vector").alias("length"), F.explode("filters").alias("filter")).select("node", F.struct("length", "filter").alias("place"))
+    met, at_met = written(met, "met")
     places = met.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places, at_places = written(places.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "places")
     held = join_hot(met, places, "place", "n", places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
@@ -201,7 +202,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     together = dealt.groupBy("place", "i", "j").agg(F.collect_list(member).alias("members"))
     found = together.where(F.size("members") > 1).select(F.col("place.filter").alias("filter"), "members").mapInArrow(_verify(cosine), "node long, links long, to long")
     found, at_found = written(found, "found")
-    drop(spark, at_coded, at_places, at_held)
+    drop(spark, at_coded, at_met, at_places, at_held)
     components = connected_components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     by_class = classes.select("key", "node", "many").join(links, "node", "left").join(components, "node", "left")

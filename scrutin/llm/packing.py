@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, drop, table, written
+from .shared import connected_components, drop, join_hot, table, written
 
 WINDOW = 2048
 END_ID = 1
@@ -200,18 +200,19 @@ def lexical_order(ids: DataFrame, frequency, n_docs: int, mean_length: float) ->
 
     signed = ids.select("row", "n", "ids", F.xxhash64("ids").alias("node")).mapInArrow(signs, "row long, n long, node long, terms binary, weights binary")
     signed, at_signs = written(signed, "signs")
-    nodes = signed.groupBy("node").agg(F.min(F.struct("terms", "weights")).alias("s")).select("node", "s.*")
+    nodes = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("terms", "weights")).alias("s")).select("node", "copies", "s.*")
     passes = nodes.select("node", "terms", "weights", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("k")).where(F.octet_length("terms") > 2 * F.col("k"))
     passes = passes.withColumn("key", F.expr("concat(substring(terms, 2 * k + 1, 2), substring(terms, 1, 8))"))
     blocks = passes.repartitionByRange("key", "node").sortWithinPartitions("key", "node").select("node", "terms", "weights")
     links = blocks.mapInArrow(_best, "u long, v long, score float").groupBy("u").agg(F.max(F.struct("score", "v")).alias("best")).select("u", "best.v")
     links, at_links = written(links, "links")
     component = connected_components(links)
-    named = nodes.join(component, "node", "left").select("node", "terms", F.coalesce("component", "node").alias("component"))
-    lead = named.groupBy("component").agg(F.min("terms").alias("lead"))
-    named, at_named = written(named.join(lead, "component").select("node", "component", "lead"), "named")
+    named = nodes.join(component, "node", "left").select("node", "copies", "terms", F.coalesce("component", "node").alias("component"))
+    lead = named.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.min("terms").alias("lead"))
+    named = join_hot(named, lead, "component", "nodes", n_docs)
+    named, at_named = written(named.select("node", "copies", "component", "lead"), "named")
     by = ["lead", "component", "terms", "row"]
-    ordered = signed.join(named, "node").select("n", *by).repartitionByRange(*by).sortWithinPartitions(*by).select("row", "n")
+    ordered = join_hot(signed, named, "node", "copies", n_docs).select("n", *by).repartitionByRange(*by).sortWithinPartitions(*by).select("row", "n")
     ordered, _ = written(ordered.mapInArrow(_running, "row long, n long, part int, at long"), "order")
     drop(spark, at_signs, at_links, at_named)
     total, offsets = 0, []

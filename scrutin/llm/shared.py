@@ -67,12 +67,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def checked(df: DataFrame, name: str, rows: int = 50_000) -> DataFrame:
-    """df as a written table; one of at most `rows` (narrow) rows is sent to every executor, a larger one is shuffled."""
-    df, _ = written(df, name)
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def join_hot(rows: DataFrame, by_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows with by_key, which has a row for each key (never null) and in column n how many of the `total` rows have it.
 

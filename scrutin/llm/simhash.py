@@ -174,16 +174,19 @@ def components(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
     """docs -> (id_col, fp long, component_id), a row for each row of docs; component_id is the smallest id reachable.
 
-    Copies share a fingerprint, so only distinct fingerprints are joined, however large a group of copies is. Null,
+    Copies share a fingerprint, so only distinct fingerprints are joined, however large a group of copies is, and the rows
+    of a large group are not brought together (join_hot). Null,
     empty and blank texts have fingerprint zero and link like any other. A null id gets a component but never names one
     (null, if its component has no other). Repeated rows stay, each with its component. Other columns are not read."""
-    spark = docs.sparkSession
     prints, _ = written(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprints(F.col(f"`{text_col}`")).alias("fp")), "prints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     labelled = classes.join(components(classes.select("fp"), most), "fp")
-    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named, _ = written(labelled.join(names, "component").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    names = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.min("least").alias("component_id"))
+    total = labelled.count()
+    named = join_hot(labelled.select("component", "fp", "n"), names, "component", "classes", total)
+    named, _ = written(named.select("fp", "n", "component_id"), "named")
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_hot(prints, named, "fp", "n", total).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
