@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,34 +30,49 @@ OFFENDING = 0.5
 
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)")
 WORD = re.compile(r"\w+")
-#: Words longer than this also count by their beginning of so many letters, which inflected forms share.
+#: A longer word also counts by its beginning of so many letters, which inflected forms share.
 STEM = 4
+#: Words of which a worker remembers what they tell.
+MOST_WORDS = 200_000
+
+
+def features_of(word: str) -> tuple[str, ...]:
+    return (word, word[:STEM] + "*") if len(word) > STEM else (word,)
 
 
 def words_of(sentence: str) -> set[str]:
-    """A sentence's distinct words, and the beginnings of longer ones."""
-    words = set(WORD.findall(sentence.lower()))
-    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+    """A sentence's distinct words and their beginnings."""
+    return {f for w in set(WORD.findall(sentence.lower())) for f in features_of(w)}
 
 
 @dataclass
 class Model:
     weight: dict[str, float]
     bias: float
+    told: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)  # of words met before
+
+    def _tells(self, word: str) -> tuple[str, ...]:
+        found = self.told.get(word)
+        if found is None:
+            if len(self.told) >= MOST_WORDS:
+                self.told.clear()
+            found = self.told[word] = tuple(f for f in features_of(word) if f in self.weight)
+        return found
 
     def sentence_scores(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, score) of each sentence in code points; those of equal words have equal scores."""
-        get, out = self.weight.get, []
+        out = []
         for m in SENTENCE.finditer(text or ""):
-            told = [x for w in words_of(m[0]) if (x := get(w)) is not None]
-            score = 1 / (1 + math.exp(-min(40.0, max(-40.0, self.bias + sum(sorted(told)))))) if told else 0.0
+            told = {f for w in WORD.findall(m[0].lower()) for f in self._tells(w)}
+            score = 1 / (1 + math.exp(-min(40.0, max(-40.0, self.bias + math.fsum(self.weight[f] for f in told))))) if told else 0.0
             out.append((m.start(), m.end(), score))
         return out
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's noisy-or (no sentence: 0) and its offending sentences, by start."""
         scored = [s for s in self.sentence_scores(text) if s[2]]
-        return -math.expm1(math.fsum(math.log1p(-min(s, 1 - 1e-12)) for _, _, s in scored)), [s for s in scored if s[2] >= OFFENDING]
+        clean = math.fsum(math.log1p(-min(s, 1 - 1e-12)) for _, _, s in scored)
+        return max(0.0, -math.expm1(clean)), [s for s in scored if s[2] >= OFFENDING]
 
 
 def bag_of(text: str | None) -> Iterator[set[str]]:
