@@ -36,6 +36,10 @@ def coverage(rows: DataFrame, by: str, covered: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(covered).alias("covered"), F.round(F.avg(covered.cast("double")), 6).alias("share"))
 
 
-def conversion_totals(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
+def conversion_totals(rows: DataFrame, outcome: str = "outcome", started: str | None = None, ended: str | None = None) -> DataFrame:
+    """One row of counts and sums; with the times of each conversion also the seconds from the first start to the last end."""
     o = F.col(outcome)
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(o == "ok").alias("ok"), F.count_if(o == "empty").alias("empty"), F.count_if(o == "fail").alias("fail"), F.coalesce(F.sum("embedded"), F.lit(0)).alias("embedded"), F.coalesce(F.sum("csv_files"), F.lit(0)).alias("csv_files"))
+    counts = [F.count(F.lit(1)).alias("total"), *[F.count_if(o == x).alias(x) for x in ("ok", "empty", "fail")]]
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("embedded", "csv_files")]
+    elapsed = [F.coalesce(F.unix_seconds(F.max(ended)) - F.unix_seconds(F.min(started)), F.lit(0)).alias("elapsed_s")] if started and ended else []
+    return rows.agg(*counts, *sums, *elapsed)

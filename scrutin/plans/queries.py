@@ -365,6 +365,52 @@ def combined_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.combined_profile(names, last.select("c_custkey", "o_totalprice"), "c_custkey").select("c_custkey", "c_name", "o_totalprice")
 
 
+@query("""WITH c AS (SELECT c_custkey, c_custkey % 4 AS k, c_name AS n, c_mktsegment AS m FROM customer)
+SELECT c_custkey, line AS linea_origen, token FROM (
+  SELECT c_custkey, 2 AS line, CASE k WHEN 0 THEN n || chr(10) || 'x, "q"' ELSE m END AS token FROM c WHERE k < 2 UNION ALL
+  SELECT c_custkey, 4, 'short' FROM c WHERE k = 0 UNION ALL
+  SELECT c_custkey, 1, n FROM c WHERE k = 2 UNION ALL SELECT c_custkey, 2, m FROM c WHERE k = 2 UNION ALL
+  SELECT c_custkey, 1, 'a"b' FROM c WHERE k = 3)""")
+def id_csv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n, m = F.col("c_custkey") % 4, F.col("c_name"), F.col("c_mktsegment")
+    texts = (
+        F.concat(F.lit('\ufeffx, Documento ,y\r\n1,"'), n, F.lit('\nx, ""q""",2\r\n\r\nshort\r\n')),
+        F.concat(F.lit("NUIP;z,cc\n1,"), m),
+        F.concat(n, F.lit(",1\n"), m, F.lit(",2\n")),
+        F.lit('a"b,"c'),
+    )
+    text = F.when(k == 0, texts[0]).when(k == 1, texts[1]).when(k == 2, texts[2]).otherwise(texts[3])
+    return id_source.csv_tokens(read(spark, sf_dir, "customer").select("c_custkey", text.alias("value")), "c_custkey")
+
+
+@query("""SELECT n_name AS filename, lpad(n_regionkey::VARCHAR, 2, '0') AS dept, 'm' || n_nationkey AS mpio, 'z' AS zona, lpad(n_nationkey::VARCHAR, 3, '0') AS puesto FROM nation WHERE n_nationkey % 4 <> 3""")
+def index_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    place = F.when(k % 4 == 3, F.format_string("%02d/m%d", "n_regionkey", k)).otherwise(F.format_string("%02d/m%d/z/%03d", "n_regionkey", k, k))
+    entry = F.concat(F.lit('"'), "n_name", F.lit('":"'), place, F.lit('"'))
+    doc = read(spark, sf_dir, "nation").agg(F.concat(F.lit('{"by_location":{'), F.array_join(F.collect_list(entry), ","), F.lit("}}")).alias("value"))
+    return index_source.locations(doc)
+
+
+@query("""SELECT n_name AS filename, i AS place, CASE WHEN n_nationkey % 3 = 0 THEN 'v' || i || '-' || n_nationkey WHEN i = 0 AND n_nationkey % 3 = 1 THEN 'l' || n_nationkey ELSE 's' || n_nationkey END AS sha256,
+CASE WHEN n_nationkey % 3 = 0 THEN 'note ' || i WHEN i = 0 AND n_nationkey % 3 = 1 THEN 'version original' ELSE 'version servidor post-modificacion' END AS note
+FROM nation, (VALUES (0), (1)) t(i) WHERE n_nationkey % 3 < 2 OR i = 0""")
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    new = F.format_string('{"versions":[{"sha256":"v0-%d","note":"note 0"},{"sha256":"v1-%d","note":"note 1"}]}', k, k)
+    old, only = F.format_string('{"local_sha256":"l%d","server_sha256":"s%d"}', k, k), F.format_string('{"versions":[],"local_sha256":"","server_sha256":"s%d"}', k)
+    entry = F.concat(F.lit('"'), "n_name", F.lit('":'), F.when(k % 3 == 0, new).when(k % 3 == 1, old).otherwise(only))
+    doc = read(spark, sf_dir, "nation").agg(F.concat(F.lit('{"known_dif":{'), F.array_join(F.collect_list(entry), ","), F.lit("}}")).alias("value"))
+    return index_source.known_versions(doc).select("filename", F.posexplode("versions").alias("place", "v")).select("filename", "place", "v.sha256", "v.note")
+
+
+@query("SELECT s_name AS filename, 'https://host/' || s_suppkey AS url FROM supplier")
+def index_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.concat(F.lit('"'), "s_name", F.lit('":"https://host/'), F.col("s_suppkey").cast("string"), F.lit('"'))
+    s = read(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 7).alias("part")).agg(F.concat(F.lit('{"_meta":"{}",'), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))
+    return index_source.urls(s)
+
+
 # --- state ---------------------------------------------------------------------------------------------------------
 
 
@@ -526,11 +572,32 @@ def table_to_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (n_chars >= 500) AS ok, count(*) FILTER (n_chars BETWEEN 100 AND 499) AS empty, count(*) FILTER (n_chars < 100) AS fail,
-sum(doc_id % 3)::BIGINT AS embedded, sum(doc_id % 2)::BIGINT AS csv_files FROM documents""")
+sum(doc_id % 3)::BIGINT AS embedded, sum(doc_id % 2)::BIGINT AS csv_files, (max(doc_id + n_chars % 60) - min(doc_id))::BIGINT AS elapsed_s FROM documents""")
 def conversion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     n = F.col("n_chars")
-    return summaries.conversion_totals(d.select(F.when(n >= 500, "ok").when(n >= 100, "empty").otherwise("fail").alias("outcome"), (F.col("doc_id") % 3).alias("embedded"), (F.col("doc_id") % 2).alias("csv_files")))
+    times = F.timestamp_seconds(1_700_000_000 + F.col("doc_id")), F.timestamp_seconds(1_700_000_000 + F.col("doc_id") + n % 60)
+    outcome = F.when(n >= 500, "ok").when(n >= 100, "empty").otherwise("fail")
+    rows = d.select(outcome.alias("outcome"), (F.col("doc_id") % 3).alias("embedded"), (F.col("doc_id") % 2).alias("csv_files"), times[0].alias("started"), times[1].alias("ended"))
+    return summaries.conversion_totals(rows, started="started", ended="ended")
+
+
+_GAP = "chr(10) || chr(10) ||"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT conv_id AS doc, turn % 2 AS page FROM conversations WHERE turn % 5 <> 0)
+SELECT doc, count(*) AS n, {_GAP} '---' || {_GAP} '## Tablas detectadas (CSV embebido)' || {_GAP} '_' || count(*) || ' tabla(s)' AS opening FROM c GROUP BY doc""")
+def tables_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.table_section(_conversation_tables(spark, sf_dir))
+    return t.select("doc", "n", F.regexp_extract("section", r"(?s)^(.*? tabla\(s\))", 1).alias("opening"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN '' ELSE p_brand END AS cn FROM part")
+def certificate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    org = F.array(entry("organizationName", F.col("p_type")))
+    rdns = F.when(F.col("p_partkey") % 3 == 0, F.array(org, F.array(entry("commonName", F.col("p_name")), entry("commonName", F.col("p_type"))))).when(F.col("p_partkey") % 3 == 1, F.array(org)).otherwise(F.array(F.array(entry("commonName", F.col("p_brand"))), org))
+    return read(spark, sf_dir, "part").select("p_partkey", tls.common_name(rdns).alias("cn"))
 
 
 # --- rules over sheets ---------------------------------------------------------------------------------------------
@@ -558,6 +625,42 @@ def ratio_vs_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acta.ratio_vs_peers(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", F.col("o_totalprice")).select("o_orderkey", "ratio")
 
 
+@query("""WITH p AS (SELECT o_custkey, avg(o_totalprice) AS peer FROM orders GROUP BY 1) SELECT o_orderkey, round(o_totalprice / peer, 6) AS ratio FROM orders JOIN p USING (o_custkey)""")
+def ratio_vs_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acta.ratio_vs_peers(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", F.col("o_totalprice"), "mean").select("o_orderkey", "ratio")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, (o_custkey % 3 - 1) * 5 AS diff FROM orders), t AS (SELECT k, diff, CASE WHEN diff <> 0 THEN 'genuina' ELSE 'sin alerta' END AS signal,
+  CASE k % 5 WHEN 0 THEN 'revisada' WHEN 1 THEN 'en revisión' END AS review FROM s)
+SELECT k AS o_orderkey, signal, CASE WHEN review IS NOT NULL THEN review WHEN diff = 0 THEN 'sin alerta' ELSE 'alerta' END AS light,
+CASE WHEN review = 'revisada' THEN CASE WHEN diff = 0 THEN 'Mesa Limpia' ELSE 'Posible Fraude' END END AS outcome FROM t""")
+def traffic_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    sheets = acta.arithmetic(o.select("o_orderkey", (100 + (F.col("o_custkey") % 3 - 1) * 5).alias("total"), F.lit(100).alias("parts")))
+    reviews = o.where(k % 5 < 2).select("o_orderkey", F.when(k % 5 == 0, "revisada").otherwise("en revisión").alias("review"))
+    return acta.traffic_light(sheets, reviews, "o_orderkey").select("o_orderkey", "signal", "light", "outcome")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS k, o_custkey % 10 AS a, (o_custkey // 10) % 10 AS b, o_orderkey % 4 AS h, (o_orderkey % 100)::DOUBLE / 100 AS conf FROM orders)
+SELECT k AS o_orderkey, CASE WHEN h = 0 THEN 'h' WHEN conf >= 0.7 THEN a::VARCHAR WHEN h = 1 THEN 's' END AS digit, CASE WHEN h = 0 THEN 'persona' WHEN conf >= 0.7 THEN 'modelo' WHEN h = 1 THEN 'segundo' END AS source,
+CASE WHEN h = 0 OR conf >= 0.7 OR h = 1 THEN NULL WHEN conf >= 0.5 THEN a || ',' || b || ',x' WHEN conf > 0.2 THEN b || ',' || a || ',x' WHEN conf > 0.1 THEN b || ',x,' || a ELSE b || ',x,y' END AS open FROM c""")
+def settled_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, conf = F.col("o_orderkey"), (F.col("o_orderkey") % 100).cast("double") / 100
+    reading = lambda digit, c: F.struct(digit.alias("digit"), c.alias("conf"))
+    best, second = (F.col("o_custkey") % 10).cast("string"), (F.floor(F.col("o_custkey") / 10) % 10).cast("string")
+    candidates = F.array(reading(F.lit("y"), F.lit(0.1)), reading(F.lit("x"), F.lit(0.2)), reading(best, conf), reading(second, F.lit(0.4999)))
+    human, other = F.when(k % 4 == 0, "h"), F.when(k % 4 == 1, "s")
+    d = acta.settled_digit(candidates, human, other)
+    return read(spark, sf_dir, "orders").select("o_orderkey", d.alias("d")).select("o_orderkey", "d.digit", "d.source", F.array_join("d.open", ",").alias("open"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 0.5::DOUBLE + coalesce(CASE WHEN l_linenumber > 1 THEN l_discount END, 0) * 2.0::DOUBLE AS score FROM lineitem")
+def strike_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "lineitem").withColumn("second", F.when(F.col("l_linenumber") > 1, F.col("l_discount")))
+    return x.select("l_orderkey", "l_linenumber", acta.weighted_score({"l_quantity": 0.5, "second": 2.0}).alias("score"))
+
+
 @query("SELECT l_suppkey, count(*) AS n, round(stddev_samp(l_quantity), 6) AS deviation, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 6) AS iqr FROM lineitem GROUP BY 1")
 def group_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acta.dispersion(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity")

@@ -55,12 +55,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Comma only, a byte order mark is removed. Without a recognised header the first column counts and the first record
     is data; a short record falls back to its first cell; empty ones are skipped but numbered. linea_origen numbers
     records, not lines. A file is one row until its records are told apart, so it has to fit a task's memory."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("archivo_origen"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    files = files.select("archivo_origen", csv_records(F.col("value")).alias("records"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("archivo_origen"), "value")
+    return csv_tokens(files)
+
+
+def csv_tokens(files: DataFrame, name: str = "archivo_origen", value: str = "value") -> DataFrame:
+    """(name, linea_origen, token) of whole CSV texts."""
+    files = files.select(name, csv_records(F.regexp_replace(value, "^\ufeff", "")).alias("records"))
     files = files.withColumn("place", header_column(csv_cells(F.get("records", F.lit(0)))))
-    rows = files.select("archivo_origen", "place", F.posexplode("records").alias("at", "record")).withColumn("linea_origen", F.col("at") + 1)
+    rows = files.select(name, "place", F.posexplode("records").alias("at", "record")).withColumn("linea_origen", F.col("at") + 1)
     rows = rows.where("record <> '' and not (linea_origen = 1 and place is not null)").withColumn("c", csv_cells(F.col("record")))
-    return rows.select("archivo_origen", "linea_origen", F.coalesce(F.get("c", F.coalesce("place", F.lit(0))), F.get("c", F.lit(0))).alias("token"))
+    return rows.select(name, "linea_origen", F.coalesce(F.get("c", F.coalesce("place", F.lit(0))), F.get("c", F.lit(0))).alias("token"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

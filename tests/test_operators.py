@@ -225,6 +225,7 @@ def test_tables(spark, tmp_path):
     assert got == [(1, 1, 1, ["a", None]), (1, 1, 2, ['q"x', "l1\r\nl2"]), (2, 3, 1, ["", "b,c"])]
     assert [r[0] for r in t.orderBy("page").select(tables.table_csv(tables.clean_rows(F.col("rows")))).collect()] == ['a,\n"q""x",l1  l2', "", ',"b,c"']
     assert spark.range(1).select(text.csv_line(F.array(F.lit("")))).first()[0] == '""'
+    assert spark.range(1).select(text.csv_line(F.array(F.lit('"a'), F.lit("\rb\rc\r"), F.lit("d'e")))).first()[0] == '"""a",b c,d\'e'
     section = tables.table_section(t).first()
     assert section.n == 2 and "### Tabla 2 (pagina 3)\n\n```csv\n,\"b,c\"\n```" in section.section
     sinks.write_table_files(t.withColumns({"stem": F.col("doc"), "n": F.col("page")}), f"{tmp_path}/t")
