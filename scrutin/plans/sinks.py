@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,15 +41,22 @@ def write_table_files(tables: DataFrame, path: str) -> None:
     t.select("stem", "n", table_csv(F.col("rows")).alias("value")).write.mode("overwrite").partitionBy("stem", "n").text(path)
 
 
+def _file_system(folder: str):
+    """The file system of a folder and the folder's path there: a URI, or a local path with or without file:."""
+    from pyarrow import fs
+
+    if "://" in folder and not folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    local = "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else os.path.abspath(folder)
+    return fs.LocalFileSystem(), local
+
+
 def write_named(files: DataFrame, folder: str) -> None:
     """files(name, text): one UTF-8 file under `folder` for each row, by exactly that name (folders in it are made), each
     written by the task that has the row. A repeated task writes the same file again."""
-    from pyarrow import fs
-
-    fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")  # fails here rather than in the tasks
 
     def put(rows) -> None:
-        to, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        to, base = _file_system(folder)
         for r in rows:
             path = f"{base}/{r['name']}"
             to.create_dir(path.rsplit("/", 1)[0], recursive=True)

@@ -388,6 +388,8 @@ def test_named_files(spark, tmp_path):
     t = spark.createDataFrame([("d.pdf", 1, 1, [["a", "b"]]), ("d.pdf", 2, 1, [[None, " "]]), ("d.pdf", 3, 1, [["c"]]), ("e.x.pdf", 1, 1, [["z"]])], "doc string, page int, ord int, rows array<array<string>>")
     sinks.write_csv_files(t, f"{tmp_path}/csv")
     assert {str(p.relative_to(tmp_path)): p.read_text() for p in (tmp_path / "csv").rglob("*.csv")} == {"csv/d/tabla1.csv": "a,b\n", "csv/d/tabla2.csv": "c\n", "csv/e.x/tabla1.csv": "z\n"}
+    sinks.write_named(spark.createDataFrame([("a b/x.txt", "é")], "name string, text string"), f"file:{tmp_path}/uri")
+    assert (tmp_path / "uri/a b/x.txt").read_text(encoding="utf-8") == "é"
     texts = spark.createDataFrame([("d.pdf", "# D é"), ("f.pdf", "plain"), ("g.pdf", "  ")], "doc string, text string")
     sinks.write_markdown(texts, tables.table_section(t), f"{tmp_path}/md")
     assert sorted(p.name for p in (tmp_path / "md").iterdir()) == ["d.md", "f.md"] and (tmp_path / "md/f.md").read_text() == "plain"
