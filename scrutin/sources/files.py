@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name
+from .scratch import scratch_folder  # noqa: F401
 
 # The start of a PDF file; SHA-256 of no bytes.
 MAGIC = "25504446"
@@ -38,15 +36,6 @@ def empty_pdf_files(spark: SparkSession, folder: str, *, recursive: bool = True)
     return spark.createDataFrame(rows, "path string, length bigint, filename string")
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name where the driver and all executors see it: under spark.checkpoint.dir, or a temporary one where
-    that is unset and all runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def hashed(files: DataFrame) -> DataFrame:
     """(path, filename, length, sha256)."""
     return files.select("path", "filename", "length", F.sha2("content", 256).alias("sha256"))
