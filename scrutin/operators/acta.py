@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+from .quantiles import quantiles
+from .scan import join_hot
+
 # The largest difference that counts as a genuine signal; the certainty below which a digit is open.
 MOST_GENUINE = 30
 CERTAIN = 0.70
@@ -35,16 +39,22 @@ def traffic_light(sheets: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
 
 
 def ratio_vs_peers(rows: DataFrame, group: str, value: Column, statistic: str = "median") -> DataFrame:
-    """Each row's value against its group's median (or mean), from a grouped table joined back: no window gathers a group."""
-    of = F.median if statistic == "median" else F.avg
-    r = rows.withColumn("value", value)
-    peers = r.groupBy(group).agg(of("value").alias("peer"))
-    return r.join(peers, group).withColumn("ratio", F.round(F.try_divide("value", "peer"), 6))
+    """Each row's value against its group's median (or mean). No task holds a group: medians come from a distributed order,
+    and the statistics of groups with many rows are sent to the rows. Rows without a group are left out, as by a join."""
+    r = rows.withColumn("value", value).where(F.col(group).isNotNull())
+    sizes = r.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.avg("value").alias("peer"))
+    if statistic == "median":
+        sizes = sizes.drop("peer").join(quantiles(r, group, "value", {"peer": 0.5}).drop("n"), group)
+    sizes = written(sizes, "peers")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return join_hot(r, sizes, group, "size", total).withColumn("ratio", F.round(F.try_divide("value", "peer"), 6))
 
 
 def dispersion(rows: DataFrame, group: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp(value), 6).alias("deviation"), F.round(q[1] - q[0], 6).alias("iqr"))
+    """(group, n rows, deviation, iqr), the quartiles exact and from a distributed order."""
+    spread = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp(value), 6).alias("deviation"))
+    q = quantiles(rows, group, value, {"q1": 0.25, "q3": 0.75}).select(F.col(group).alias("_group"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
+    return spread.join(q, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def correlation(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:

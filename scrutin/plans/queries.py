@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import streaming
 from ..functions.text import csv_line, file_name, newer_version, path_parts, stem, url_parts
-from ..operators import acta, ids, integrity, state, summaries, tables, tls
+from ..operators import acta, ids, integrity, limiter, quantiles, scan, state, summaries, tables, tls
 from ..sources import config, files
 from ..sources import ids as id_source
 from ..sources import index as index_source
@@ -454,6 +454,39 @@ def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.failure_runs(read(spark, sf_dir, "events"), "user_id", ["value", "event_id"], F.col("event_type") == "error")
 
 
+_LIMITED = """
+r AS (SELECT doc_id, CASE WHEN n_chars % 53 = 0 THEN 429 WHEN n_chars % 2 = 0 THEN 0 WHEN n_chars % 7 = 0 THEN 503 ELSE 200 END AS status FROM documents),
+f AS (SELECT *, status = 0 OR status >= 500 AS failed, status = 429 AS limited FROM r),
+g AS (SELECT *, coalesce(sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id) - 1 AS before FROM g),
+p AS (SELECT *, CASE WHEN failed THEN before % 3 + 1 ELSE 0 END AS fails, before > 0 AND before % 3 = 0 AS pause_before FROM h),
+s AS (SELECT *, count(*) OVER w * 1.0::DOUBLE + 60.0::DOUBLE * (count(*) FILTER (pause_before) OVER w + count(*) FILTER (limited) OVER w - limited::INTEGER) AS sent_s FROM p WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))"""
+
+
+def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the requests of one session."""
+    n = F.col("n_chars")
+    status = F.when(n % 53 == 0, 429).when(n % 2 == 0, 0).when(n % 7 == 0, 503).otherwise(200)
+    requests = read(spark, sf_dir, "documents").select("doc_id", status.alias("status"))
+    return limiter.limiter(requests, ["doc_id"], limiter.transport_failed(F.col("status"), F.lit("")), F.col("status") == limiter.LIMITED_STATUS)
+
+
+@query(f"WITH {_LIMITED} SELECT doc_id, run, fails, pause_before, limited AS pause_after, sent_s FROM s")
+def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _limited(spark, sf_dir).select("doc_id", "run", "fails", "pause_before", "pause_after", "sent_s")
+
+
+@query(f"""WITH {_LIMITED}, q AS (SELECT doc_id, 'fallos' AS kind, sent_s - 60 AS starts_s FROM s WHERE pause_before UNION ALL SELECT doc_id, 'limite', sent_s FROM s WHERE limited)
+SELECT *, starts_s + 60 AS ends_s FROM q""")
+def limiter_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limiter.pauses(_limited(spark, sf_dir)).select("doc_id", "kind", "starts_s", "ends_s")
+
+
+@query(f"WITH {_LIMITED} SELECT run, min(doc_id) AS run_start, count(*) AS run_length, count(*) // 3 AS trips FROM s WHERE failed GROUP BY run")
+def limiter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limiter.runs(_limited(spark, sf_dir), at="doc_id")
+
+
 @query("""SELECT user_id, event_id, event_type, before, place::INTEGER AS place FROM (SELECT *, row_number() OVER w AS place, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE before <> event_type""")
 def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
@@ -666,6 +699,22 @@ def group_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acta.dispersion(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity")
 
 
+@query("WITH p AS (SELECT median(n_chars) AS peer FROM documents) SELECT doc_id, round(n_chars / peer, 6) AS ratio FROM documents, p")
+def ratio_vs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in one group."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit("all").alias("scope"))
+    return acta.ratio_vs_peers(d, "scope", F.col("n_chars")).select("doc_id", "ratio")
+
+
+@query("""WITH q AS (SELECT source, count(n_chars) AS n, quantile_cont(n_chars, 0.05) AS low, quantile_cont(n_chars, 0.95) AS high FROM documents GROUP BY 1)
+SELECT doc_id, n, round(low, 6) AS low, round(high, 6) AS high FROM documents JOIN q USING (source) WHERE n_chars < low OR n_chars > high""")
+def outside_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents beyond the percentiles of their source, of which one may have most rows."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "source").where("source is not null")
+    q = quantiles.quantiles(d, "source", "n_chars", {"low": 0.05, "high": 0.95})
+    return scan.join_hot(d, q.withColumn("rows", F.col("n")), "source", "rows", d.count()).where("n_chars < low or n_chars > high").select("doc_id", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 @query("SELECT l_suppkey, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem GROUP BY 1")
 def group_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acta.correlation(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice")
