@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from .. import streaming
 from ..functions.text import csv_line, file_name, newer_version, path_parts, stem, url_parts
-from ..operators import acta, ids, integrity, limiter, quantiles, scan, state, summaries, tables, tls
-from ..sources import config, files
+from ..operators import acta, ids, integrity, limiter, quantiles, scan, state, summaries, tables, tls, two_pass
+from ..sources import config, files, listing, scratch
 from ..sources import ids as id_source
 from ..sources import index as index_source
 from . import sinks
@@ -109,14 +109,56 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0").alias("code"))
 
 
+def _page_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of pages as files, a tenth of them empty."""
+    k = F.col("page_id")
+    folder = scratch.scratch_folder(spark)
+    pages = read(spark, sf_dir, "pages").select(F.format_string("%d/p%d.PDF", k % 3, k).alias("name"), F.when(k % 10 == 0, "").otherwise(F.col("html")).alias("text"))
+    sinks.write_named(pages, folder)
+    return folder
+
+
 @query("""SELECT 'p' || page_id || '.PDF' AS filename, CASE WHEN page_id % 10 = 0 THEN 0 ELSE strlen(html) END AS length, CASE WHEN page_id % 10 = 0 THEN sha256('') ELSE sha256(html) END AS sha256 FROM pages""")
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as files, which are then scanned as a folder of binary files, empty ones included."""
+    """Pages written as files, which are then listed and hashed by tasks, empty ones included."""
+    return files.hashed_folder(spark, _page_files(spark, sf_dir)).select("filename", "length", "sha256")
+
+
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN '' ELSE html END AS html FROM pages),
+r AS (SELECT page_id, html, sha256(html) AS own, CASE WHEN page_id % 11 <> 0 THEN 'u' || page_id END AS url,
+  CASE WHEN page_id % 7 = 0 THEN -1 WHEN page_id % 5 = 1 THEN 0 WHEN page_id % 4 = 1 THEN strlen(html) + 1 ELSE strlen(html) END AS remote_size,
+  CASE WHEN page_id % 3 = 0 THEN sha256(html || 'x') ELSE sha256(html) END AS remote_sha FROM p),
+z AS (SELECT *, CASE WHEN url IS NULL THEN 'URL_NO_CONSTRUIBLE' WHEN remote_size = -1 THEN 'ERROR_DESCARGA' WHEN remote_size = 0 THEN 'TAMANIO_NO_DISPONIBLE' WHEN remote_size = strlen(html) THEN 'IGUAL_TAMANIO' ELSE 'DIFERENTE_TAMANIO' END AS size_status FROM r),
+h AS (SELECT *, size_status IN ('ERROR_DESCARGA', 'TAMANIO_NO_DISPONIBLE', 'IGUAL_TAMANIO') AS second FROM z)
+SELECT 'p' || page_id || '.PDF' AS filename, url, size_status, CASE WHEN second THEN own END AS local_sha256,
+CASE WHEN NOT second THEN size_status WHEN own = remote_sha THEN 'IGUAL_SERVIDOR' WHEN page_id % 2 = 0 AND html <> '' THEN 'MANIPULADA_EN_SERVIDOR' ELSE 'DIFERENTE_SERVIDOR' END AS status,
+CASE WHEN second THEN strlen(html) END AS bytes_read FROM h""")
+def two_pass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by size, then by hash: only those that sizes leave open are opened."""
     k = F.col("page_id")
-    name = F.format_string("%d/p%d.PDF", k % 3, k)
-    folder = files.scratch_folder(spark)
-    sinks.write_named(read(spark, sf_dir, "pages").select(name.alias("name"), F.when(k % 10 == 0, "").otherwise(F.col("html")).alias("text")), folder)
-    return files.hashed_folder(spark, folder).select("filename", "length", "sha256")
+    html = F.when(k % 10 == 0, "").otherwise(F.col("html"))
+    size = F.octet_length(html).cast("long")
+    pages = read(spark, sf_dir, "pages")
+    url = F.concat(F.lit("u"), k)
+    listed = listing.list_files(spark, _page_files(spark, sf_dir)).withColumn("k", F.regexp_extract("filename", "[0-9]+", 0).cast("long"))
+    listed = listed.withColumn("url", F.when(F.col("k") % 11 != 0, F.concat(F.lit("u"), "k")))
+    remote = pages.select(url.alias("url"), F.when(k % 7 == 0, -1).when(k % 5 == 1, 0).when(k % 4 == 1, size + 1).otherwise(size).alias("remote_size"), sha(F.when(k % 3 == 0, F.concat(html, F.lit("x"))).otherwise(html)).alias("server_sha256"), F.lit(None).cast("string").alias("error"))
+    index = pages.where((k % 2 == 0) & (html != "")).select(sha(html).alias("sha256"), F.lit(integrity.VERIFIED).alias("indice_status"))
+    return two_pass.verify(listed, remote, index).select(file_name(F.col("path")).alias("filename"), "url", "size_status", "local_sha256", "status", "bytes_read")
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, len(text) AS chars FROM documents""")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as lines of a folder of text files, which tasks read by splits: each line's number over the folder."""
+    folder = scratch.scratch_folder(spark)
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.translate("text", "\r\n", "  "))
+    read(spark, sf_dir, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(folder)
+    rows = id_source.numbered_lines(spark, folder)
+    sizes = scratch.written(rows.groupBy("archivo_origen").agg(F.max("linea_origen").alias("n")), "sizes")
+    before = Window.orderBy("archivo_origen").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    sizes = sizes.select("archivo_origen", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = rows.join(sizes, "archivo_origen")
+    return numbered.select(F.substring_index("line", " ", 1).cast("long").alias("doc_id"), (F.col("before") + F.col("linea_origen")).alias("place"), (F.char_length("line") - F.char_length(F.substring_index("line", " ", 1)) - 1).cast("long").alias("chars"))
 
 
 @query(f"""WITH d(code, dept_name) AS (VALUES {_DEPARTMENTS}), c AS (SELECT lpad((c_custkey % 100)::VARCHAR, 2, '0') AS code, count(*) AS n FROM customer GROUP BY 1)

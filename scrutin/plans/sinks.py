@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import stem, strip
 from ..operators.ids import as_text
 from ..operators.tables import clean_rows, table_csv
+from ..sources.listing import file_system
 
 
 def write_results(rows: DataFrame, path: str, *, append: bool = True) -> None:
@@ -41,27 +42,25 @@ def write_table_files(tables: DataFrame, path: str) -> None:
     t.select("stem", "n", table_csv(F.col("rows")).alias("value")).write.mode("overwrite").partitionBy("stem", "n").text(path)
 
 
-def _file_system(folder: str):
-    """The file system of a folder and the folder's path there: a URI, or a local path with or without file:."""
-    from pyarrow import fs
-
-    if "://" in folder and not folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    local = "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else os.path.abspath(folder)
-    return fs.LocalFileSystem(), local
-
-
 def write_named(files: DataFrame, folder: str) -> None:
     """files(name, text): one UTF-8 file under `folder` for each row, by exactly that name (folders in it are made), each
-    written by the task that has the row. A repeated task writes the same file again."""
+    written by the task that has the row: aside first and then renamed, so no file is ever half there, and a repeated task
+    writes the same again. Names that would leave the folder are refused."""
 
     def put(rows) -> None:
-        to, base = _file_system(folder)
+        to, base = file_system(folder)
+        made = set()
         for r in rows:
+            if not r["name"] or r["name"].startswith("/") or {"", ".", ".."} & set(r["name"].split("/")):
+                raise ValueError(f"not a name within the folder: {r['name']!r}")
             path = f"{base}/{r['name']}"
-            to.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            with to.open_output_stream(path) as out:
+            if (parent := path.rsplit("/", 1)[0]) not in made:
+                to.create_dir(parent, recursive=True)
+                made.add(parent)
+            aside = f"{parent}/.{uuid.uuid4().hex}"
+            with to.open_output_stream(aside) as out:
                 out.write(r["text"].encode("utf-8"))
+            to.move(aside, path)
 
     files.select("name", "text").foreachPartition(put)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name
-from .scratch import scratch_folder  # noqa: F401
+from . import listing
 
 # The start of a PDF file; SHA-256 of no bytes.
 MAGIC = "25504446"
@@ -24,7 +24,7 @@ def pdf_files(spark: SparkSession, folder: str, *, recursive: bool = True) -> Da
 
 def empty_pdf_files(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
     """(path, length, filename) of zero-byte files: a listing on the driver through Hadoop's file system, of which only
-    the empty files are kept."""
+    the empty files are kept. For folders that only Spark can open; listing.list_files lists others in tasks."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(folder)
     it = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, recursive)
@@ -42,6 +42,11 @@ def hashed(files: DataFrame) -> DataFrame:
 
 
 def hashed_folder(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
+    """(path, filename, length, sha256) of a folder's PDF files, empty ones too: listed and read in blocks by tasks, or where
+    only Spark can open the folder by its own reader, and empty files by a listing on the driver."""
+    if listing.in_tasks(folder):
+        found = listing.list_files(spark, folder, recursive=recursive)
+        return found.join(listing.hashed_paths(found).select("path", "sha256"), "path").select("path", "filename", "length", "sha256")
     empty = empty_pdf_files(spark, folder, recursive=recursive).withColumn("sha256", F.lit(EMPTY_SHA256))
     return hashed(pdf_files(spark, folder, recursive=recursive)).unionByName(empty.select("path", "filename", "length", "sha256"))
 

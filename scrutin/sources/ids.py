@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import first_token, strip
+from . import listing
+from .scratch import written
 
+#: A byte order mark in hex; splits are sent to all executors up to this many.
+BOM, MOST_SENT = "EFBBBF", 50_000
 # Recognised header names.
 COLUMN_NAMES = ("nuip", "cedula", "documento", "cc", "identificacion")
 
@@ -22,11 +27,32 @@ def tokens(rows: DataFrame) -> DataFrame:
     return rows.where((s != "") & ~s.startswith("#")).withColumn("token", first_token(F.col("line"))).drop("line")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(archivo_origen, linea_origen from 1, line, has_bom) of text files, a large one read by many tasks.
+
+    A first pass counts the lines of each split of a file, and the sums over the splits before give each split its first
+    number; no line is moved for that. Line ends are \\r\\n, \\r and \\n. A byte order mark is left out by the reader;
+    has_bom says that line 1 began with one."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("archivo_origen"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    splits = rows.groupBy("archivo_origen", "_start").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("archivo_origen").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = written(splits.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "splits")
+    marked = splits.where("_before = 0").select("archivo_origen").distinct()
+    if listing.in_tasks(path):
+        marked = listing.heads(marked.select(F.col("archivo_origen").alias("path")), 3).select(F.col("path").alias("archivo_origen"), F.hex("head").alias("head"))
+    else:
+        marked = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("archivo_origen"), F.hex(F.substring("content", 1, 3)).alias("head"))
+    splits = splits.join(marked.select("archivo_origen", (F.col("head") == BOM).alias("has_bom")), "archivo_origen")
+    few = splits.count() <= MOST_SENT
+    joined = rows.join(F.broadcast(splits) if few else splits, ["archivo_origen", "_start"])
+    return joined.select("archivo_origen", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int").alias("linea_origen"), "line", "has_bom")
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """A byte order mark stays, so the first ID of such a file is not numeric; `has_bom` warns of it."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("archivo_origen"), "value")
-    files = files.withColumn("has_bom", F.startswith("value", F.lit("﻿")))
-    return tokens(lines(files, "value", "archivo_origen", "has_bom"))
+    rows = numbered_lines(spark, path)
+    mark = F.when(F.col("has_bom") & (F.col("linea_origen") == 1), F.lit("\ufeff")).otherwise("")
+    return tokens(rows.select("archivo_origen", "has_bom", "linea_origen", F.concat(mark, "line").alias("line")))
 
 
 def header_column(cells: Column) -> Column:
