@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .. import streaming
 from ..functions.text import csv_line, file_name, newer_version, path_parts, stem, url_parts
 from ..operators import acta, ids, integrity, limiter, quantiles, scan, state, summaries, tables, tls, two_pass
-from ..sources import config, files, listing, scratch
+from ..sources import config, files, jsonparts, listing, scratch
 from ..sources import ids as id_source
 from ..sources import index as index_source
 from . import sinks
@@ -95,6 +95,22 @@ def index_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("vuelta", F.when(~F.col("malformed"), F.col("vuelta")))
 
 
+@query(r"""SELECT 'by_hash' AS section, sha256(text) AS key, 'd"\é' || doc_id || '.pdf' AS value FROM documents UNION ALL
+SELECT 'by_filename', 'd"\é' || doc_id || '.pdf', CASE doc_id % 3 WHEN 0 THEN sha256(text) WHEN 1 THEN '{"sha256": "' || sha256(text) || '", "vuelta": ["{", 2]}' END FROM documents UNION ALL SELECT NULL, 'version', 't,"}{' UNION ALL SELECT NULL, 'parts', '["a", {"b": 1}]'""")
+def index_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index document over a folder of files, read by byte ranges."""
+    k = F.col("doc_id")
+    d = read(spark, sf_dir, "documents").select("doc_id", sha(F.col("text")).alias("sha"), F.concat(F.lit(r'"d\"\\\u00e9'), k.cast("string"), F.lit('.pdf"')).alias("name"))
+    entry = F.when(k % 3 == 0, F.concat(F.lit('"'), "sha", F.lit('"'))).when(k % 3 == 1, F.concat(F.lit('{"sha256": "'), "sha", F.lit('", "vuelta": ["{", 2]}'))).otherwise("null")
+    lines = d.select(F.lit(0).alias("part"), "doc_id", F.concat(F.lit(' "'), "sha", F.lit('" : '), "name", F.lit(",")).alias("value"))
+    lines = lines.unionByName(d.select(F.lit(1).alias("part"), "doc_id", F.concat("name", F.lit(":"), entry, F.lit(",")).alias("value")))
+    frame = [(0, '{"version": "t,\\"}{", "parts": ["a", {"b": 1}], "by_hash" : {'), (1, '"-": null}, "by_filename":{'), (2, '"-": null} }')]
+    lines = lines.unionByName(spark.createDataFrame([(part, None, text) for part, text in frame], "part int, doc_id long, value string"))
+    folder = scratch.scratch_folder(spark)
+    lines.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id").select("value").write.text(folder)
+    return jsonparts.members(spark, folder).where("key <> '-'")
+
+
 @query("""SELECT page_id, regexp_extract(url, '[^/]*$') AS filename, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem,
 strlen(html) AS length, sha256(html) AS sha256 FROM pages""")
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
