@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import streaming
 from ..functions.text import csv_line, file_name, newer_version, path_parts, stem, url_parts
-from ..operators import acta, ids, integrity, limiter, quantiles, scan, state, summaries, tables, tls, two_pass
+from ..operators import acta, history, ids, integrity, limiter, quantiles, scan, state, summaries, tables, tls, two_pass
 from ..sources import config, files, jsonparts, listing, scratch
 from ..sources import ids as id_source
 from ..sources import index as index_source
@@ -858,3 +858,17 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.tumbling_counts(read(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""WITH c AS (SELECT t AS date, doc_id, n_chars + CASE WHEN doc_id % 4 = t % 4 THEN t ELSE doc_id % 2 * (t // 3) END AS size FROM documents, range(1, 6) AS r(t) WHERE (doc_id + t) % 6 <> 0),
+b AS (SELECT *, CASE WHEN lag(date) OVER w = date - 1 AND lag(size) OVER w = size THEN 0 ELSE 1 END AS begins FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY date)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY date) AS run FROM b)
+SELECT doc_id, size, 'd' || min(date) AS valid_from, CASE WHEN max(date) < 5 THEN 'd' || (max(date) + 1) END AS valid_to FROM r GROUP BY doc_id, run, size""")
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five captures of an index, merged one after the other."""
+    folder, k = scratch.scratch_folder(spark), F.col("doc_id")
+    for t in range(1, 6):
+        d = read(spark, sf_dir, "documents").where((k + t) % 6 != 0)
+        size = F.col("n_chars") + F.when(k % 4 == t % 4, t).otherwise(k % 2 * (t // 3))
+        history.merge(folder, d.select("doc_id", size.alias("size")), "doc_id", f"d{t}")
+    return history.history(spark, folder)
