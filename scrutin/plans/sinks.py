@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,22 +49,24 @@ def write_named(files: DataFrame, folder: str) -> None:
     written by the task that has the row: aside first and then renamed, so no file is ever half there, and a repeated task
     writes the same again. Names that would leave the folder are refused."""
 
-    def put(rows) -> None:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, base = file_system(folder)
         made = set()
-        for r in rows:
-            if not r["name"] or r["name"].startswith("/") or {"", ".", ".."} & set(r["name"].split("/")):
-                raise ValueError(f"not a name within the folder: {r['name']!r}")
-            path = f"{base}/{r['name']}"
-            if (parent := path.rsplit("/", 1)[0]) not in made:
-                to.create_dir(parent, recursive=True)
-                made.add(parent)
-            aside = f"{parent}/.{uuid.uuid4().hex}"
-            with to.open_output_stream(aside) as out:
-                out.write(r["text"].encode("utf-8"))
-            to.move(aside, path)
-
-    files.select("name", "text").foreachPartition(put)
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                if not name or name.startswith("/") or {"", ".", ".."} & set(name.split("/")):
+                    raise ValueError(f"not a name within the folder: {name!r}")
+                path = f"{base}/{name}"
+                if (parent := path.rsplit("/", 1)[0]) not in made:
+                    to.create_dir(parent, recursive=True)
+                    made.add(parent)
+                aside = f"{parent}/.{uuid.uuid4().hex}"
+                with to.open_output_stream(aside) as out:
+                    out.write(text.encode("utf-8"))
+                to.move(aside, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["files"])
+
+    files.select("name", "text").mapInArrow(put, "files long").write.format("noop").mode("overwrite").save()
 
 
 def write_csv_files(tables: DataFrame, folder: str, doc: str = "doc") -> None:
