@@ -57,9 +57,28 @@ def path_parts(path: Column) -> Column:
 
 
 def url_parts(url: Column) -> Column:
-    """struct(host, port, path): host in lower case or empty; without a port the one that https has."""
-    port = F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-z]+://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1), F.lit("")).cast("int"), F.lit(443))
-    return F.struct(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))).alias("host"), port.alias("port"), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")).alias("path"))
+    """struct(host, port, path) of any text: host in lower case or empty; port 443 where there is none or 0, null where it is
+    no port; brackets of an address and what names a user are left out. White space before, tabs and line ends don't count."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    rest = F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    place = F.regexp_extract(F.regexp_extract(rest, "^//([^/?#]*)", 1), "([^@]*)$", 1)
+    bracketed = F.regexp_extract(place, r"\[([^\]]*)", 1)
+    host = F.when(F.contains(place, F.lit("[")), bracketed).otherwise(F.substring_index(place, ":", 1))
+    port = F.when(F.contains(place, F.lit("[")), F.regexp_extract(place, r"\[[^\]]*\][^:]*:(.*)$", 1)).otherwise(F.regexp_extract(place, "^[^:]*:(.*)$", 1))
+    number = F.when(port.rlike("^[0-9]+$"), F.nullif(F.ltrim(port, F.lit("0")), F.lit("")))
+    number = F.when((port == "") | (port.rlike("^0+$")), 443).when(F.char_length(number) <= 5, number.cast("int"))
+    zone = F.substr(host, F.char_length(F.substring_index(host, "%", 1)) + 1)
+    path = F.regexp_extract(F.regexp_replace(rest, "^//[^/?#]*", ""), "^([^?#]*)", 1)
+    return F.struct(F.concat(F.lower(F.substring_index(host, "%", 1)), zone).alias("host"), F.when(number <= 65535, number).alias("port"), path.alias("path"))
+
+
+def form_encoded(fields: dict[str, Column]) -> Column:
+    """The body of a form: name=value pairs in order, percent-encoded but for letters, digits and _.-~, spaces as plus signs. A
+    null value is written None."""
+    def quoted(c):
+        return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+    return F.concat_ws("&", *[F.concat(quoted(F.lit(k)), F.lit("="), quoted(F.coalesce(c.cast("string"), F.lit("None")))) for k, c in fields.items()])
 
 
 def newer_version(tag: Column, current: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import streaming
-from ..functions.text import csv_line, file_name, newer_version, path_parts, stem, url_parts
+from ..functions.text import csv_line, file_name, form_encoded, newer_version, path_parts, stem, url_parts
 from ..operators import acta, history, ids, integrity, limiter, quantiles, scan, state, summaries, tables, tls, two_pass
 from ..sources import config, files, jsonparts, listing, scratch
 from ..sources import ids as id_source
@@ -285,13 +285,25 @@ def magic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(files.is_pdf(F.col("content"))).select("page_id", F.octet_length("content").cast("long").alias("length"))
 
 
-@query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:]*)', 1)) AS host, CASE WHEN page_id % 2 = 0 THEN 8443 ELSE 443 END AS port,
-regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM pages""")
+@query(r"""WITH k AS (SELECT page_id, page_id % 10 AS k, url FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'h' || page_id || '.co' WHEN 4 THEN '::1' WHEN 5 THEN 'x' WHEN 6 THEN '' WHEN 8 THEN 'h' WHEN 9 THEN regexp_extract(url, '^[a-z]+://([^/:]*)', 1) ELSE 'h' END AS host,
+(CASE k WHEN 0 THEN 9 WHEN 3 THEN 5 WHEN 4 THEN 8443 WHEN 7 THEN NULL WHEN 9 THEN 8443 ELSE 443 END)::INTEGER AS port,
+CASE k WHEN 0 THEN '/x' WHEN 1 THEN '/a b' WHEN 2 THEN '/x' WHEN 3 THEN '/' WHEN 4 THEN '/p' WHEN 5 THEN '/y' WHEN 6 THEN 'no/host:1' WHEN 7 THEN '' WHEN 8 THEN '' ELSE regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) END AS path FROM k""")
 def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^([a-z]+://[^/:]*)", "$1:8443")).otherwise(F.col("url"))
+    k = F.col("page_id") % 10
+    forms = {0: F.concat(F.lit("HTTPS://User:p@H"), "page_id", F.lit(".Co:9/x?q#f")), **{i: F.lit(x) for i, x in {1: "https://h/a b", 2: "https://h:0/x?q", 3: "ftp+x://h:5/", 4: "https://[::1]:8443/p#f", 5: " \t//x/y", 6: "no/host:1", 7: "https://h:port", 8: "https://h?/no"}.items()}}
+    url = F.regexp_replace("url", "^([a-z]+://[^/:]*)", "$1:8443")
+    for i, form in forms.items():
+        url = F.when(k == i, form).otherwise(url)
     return read(spark, sf_dir, "pages").select("page_id", url_parts(url).alias("u")).select("page_id", "u.*")
 
 
+@query(r"""SELECT page_id, 'url=' || replace(url_encode(url), '%20', '+') || '&ctl00%24x+%C3%A9=' || CASE WHEN page_id % 3 = 0 THEN 'None' ELSE replace(url_encode(html || '~*é'), '%20', '+') END AS body FROM pages""")
+def form_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.when(F.col("page_id") % 3 != 0, F.concat("html", F.lit("~*é")))
+    return read(spark, sf_dir, "pages").select("page_id", form_encoded({"url": F.col("url"), "ctl00$x é": html}).alias("body"))
+
+
 @query("""SELECT p_partkey, ltrim(CASE p_partkey % 4 WHEN 0 THEN 'v' WHEN 1 THEN 'vv' WHEN 2 THEN '' ELSE 'v1.' END || CASE WHEN p_partkey % 4 <> 2 THEN p_size::VARCHAR ELSE '' END, 'v') > '1.3' AS newer FROM part""")
 def version_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
@@ -299,11 +311,18 @@ def version_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", newer_version(tag, F.lit("1.3")).alias("newer"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 5 AS k, round(o_totalprice / 1000) - 100 AS delay, o_custkey % 7 AS workers FROM orders)
-SELECT o_orderkey, CASE WHEN k IN (0, 1) THEN greatest(0.0::DOUBLE, delay) ELSE 1.0::DOUBLE END AS delay, CASE WHEN k = 0 THEN greatest(1, least(4, workers))::INTEGER ELSE 1 END AS workers FROM r""")
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 10 AS k, round(o_totalprice / 1000) - 100 AS delay, o_custkey % 7 AS workers FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (0, 1, 6, 9) THEN greatest(0.0::DOUBLE, delay) ELSE 1.0::DOUBLE END AS delay, CASE WHEN k IN (0, 9) THEN greatest(1, least(4, workers)) WHEN k IN (6, 7) THEN 4 ELSE 1 END AS workers FROM r""")
 def settings_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, delay, workers = F.col("o_orderkey") % 5, F.round(F.col("o_totalprice") / 1000) - 100, F.col("o_custkey") % 7
-    text = F.when(k == 0, F.format_string('{"delay": %.1f, "workers": %d}', delay, workers)).when(k == 1, F.format_string('{"delay": %.1f}', delay)).when(k == 2, "{}").when(k == 3, F.format_string('{"workers": %d', workers)).otherwise('{"workers": "many", "delay": 3.5}')
+    k, delay, workers = F.col("o_orderkey") % 10, F.round(F.col("o_totalprice") / 1000) - 100, F.col("o_custkey") % 7
+    forms = {
+        0: F.format_string('{"delay": %.1f, "workers": %d}', delay, workers), 1: F.format_string('{"delay": %.1f}', delay), 2: F.lit("{}"), 3: F.format_string('{"workers": %d', workers),
+        4: F.lit('{"workers": "many", "delay": 3.5}'), 5: F.lit('{"delay": null, "workers": 3}'), 6: F.format_string('{"delay": %.1f, "workers": 99999999999}', delay),
+        7: F.lit('{"workers": 1000000000000000000000000000000}'), 8: F.lit('[{"workers": 3}]'), 9: F.format_string('{"delay": "%.1f", "workers": "%d"}', delay, workers),
+    }
+    text = F.lit(None).cast("string")
+    for i, form in forms.items():
+        text = F.when(k == i, form).otherwise(text)
     r = config.captured(read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text")
     bounded = config.within(F.col("delay"), F.col("workers"))
     return r.select("o_orderkey", bounded[0].alias("delay"), bounded[1].alias("workers"))

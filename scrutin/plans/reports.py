@@ -52,12 +52,12 @@ def id_report(results: DataFrame, title: str = "Consulta de vigencia", caps: dic
 MOST_ROWS = 5_000
 
 
-def detail(title: str, rows: DataFrame, columns: Sequence[str], most: int = MOST_ROWS) -> list[str]:
-    """A section of the first rows by all columns; at most `most` reach the driver."""
-    head = rows.select(*columns).orderBy(*columns).limit(most + 1).collect()
-    more = rows.count() - most if len(head) > most else 0
-    body = [*head[:most], *([(f"... ({more:,} mas)", *[""] * (len(columns) - 1))] if more else [])]
-    return ["", f"## {title}", "", *markdown_table(columns, body)]
+def detail(title: str, rows: DataFrame, columns: Sequence[str], most: int = MOST_ROWS, head: Sequence[str] = ()) -> list[str]:
+    """A section of the first rows by all columns, and how many more there are; at most `most` reach the driver."""
+    shown = rows.select(*columns).orderBy(*columns).limit(most + 1).collect()
+    more = rows.count() - most if len(shown) > most else 0
+    body = [*shown[:most], *([(f"... ({more:,} mas)", *[""] * (len(columns) - 1))] if more else [])]
+    return ["", f"## {title}", "", *markdown_table(head or columns, body)]
 
 
 def verdict_report(verdicts: DataFrame, title: str, detailed: Sequence[str], columns: Sequence[str], most: int = MOST_ROWS) -> str:
@@ -87,10 +87,11 @@ def server_report(verdicts: DataFrame) -> str:
     return verdict_report(verdicts, "Verificacion contra el servidor", (integrity.TAMPERED, integrity.DIFFERENT, integrity.FETCH_ERROR), ("path", "url"))
 
 
-def tls_report(observations: DataFrame) -> str:
-    counts = observations.groupBy("status").count().orderBy("status").collect()
-    rows = observations.select("label", "url", "status", "issuer_cn", "subject_cn").orderBy("label").limit(MOST_ROWS).collect()
-    return "\n".join(["# Certificados", "", *(f"- {r.status}: {r['count']}" for r in counts), "", *markdown_table(("Plataforma", "URL", "Estado", "Emisor", "Sujeto"), rows)]) + "\n"
+def tls_report(observations: DataFrame, most: int = MOST_ROWS) -> str:
+    """Counts by status, then the platforms; those beyond `most` are counted in a last row."""
+    counts = observations.groupBy("status").count().orderBy("status").collect()  # a row for each status
+    rows = detail("Plataformas", observations, ("label", "url", "status", "issuer_cn", "subject_cn"), most, ("Plataforma", "URL", "Estado", "Emisor", "Sujeto"))
+    return "\n".join(["# Certificados", "", *(f"- {r.status}: {r['count']}" for r in counts), *rows]) + "\n"
 
 
 def write_report(text: str, folder: str, name: str, now: datetime | None = None) -> tuple[str, str]:

@@ -47,13 +47,20 @@ def given(settings: Settings, *, delay: float | None = None, workers: int | None
 
 def within(delay: Column, workers: Column) -> tuple[Column, Column]:
     """The same bounds for columns of settings of many runs."""
-    return F.greatest(F.lit(0.0), delay), F.greatest(F.lit(1), F.least(F.lit(MOST_WORKERS), workers))
+    return F.greatest(F.lit(0.0), delay), F.greatest(F.lit(1), F.least(F.lit(MOST_WORKERS), workers)).cast("int")
 
 
 def captured(rows: DataFrame, text: str) -> DataFrame:
-    """rows(text: a JSON document) plus delay and workers with their defaults, all defaults where it is corrupt."""
-    v = F.try_parse_json(text)
-    delay, workers = F.try_variant_get(v, "$.delay", "double"), F.try_variant_get(v, "$.workers", "int")
-    there = lambda k: F.get_json_object(text, f"$.{k}").isNotNull()
-    usable = F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)) & ~(there("delay") & delay.isNull()) & ~(there("workers") & workers.isNull())
-    return rows.withColumns({"delay": F.coalesce(F.when(usable, delay), F.lit(Settings.delay)), "workers": F.coalesce(F.when(usable, workers), F.lit(Settings.workers))})
+    """rows(text: a JSON document) plus delay and workers (long) as `load` gives them: their defaults where they are left out,
+    all defaults where the text is corrupt, no object, or has a value for one of them that is of no use, null included. Whole
+    numbers beyond a long are the nearest long."""
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # the parser ignores what comes after a value
+    v = F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
+    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    delay, workers, number = (F.try_variant_get(v, f"$.{k}", t) for k, t in (("delay", "double"), ("workers", "bigint"), ("workers", "double")))
+    is_text = F.startswith(F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.workers", "variant")), F.lit("")), F.lit("STRING"))
+    bound = F.lit(9.2e18)
+    workers = F.coalesce(workers, F.when(~is_text & number.isNotNull() & ~F.isnan(number), F.greatest(-bound, F.least(bound, number)).cast("long")))
+    lacks = lambda k, value: F.array_contains(keys, k) & value.isNull()
+    usable = F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)) & ~lacks("delay", delay) & ~lacks("workers", workers)
+    return rows.withColumns({"delay": F.coalesce(F.when(usable, delay), F.lit(Settings.delay)), "workers": F.coalesce(F.when(usable, workers), F.lit(Settings.workers).cast("long"))})
