@@ -32,18 +32,44 @@ ROTATIONS = 4
 CODEWORDS = 600
 PER_VECTOR = 120
 LEAST = 12
+#: What share of pairs at the least cosine must share a filter, in any number of dimensions; there are at least
+#: FEWEST codewords.
+RECALL, FEWEST = 0.998, 8
 SEED = 20240229
 #: Vectors per block of a large filter; a task compares two blocks at a time.
 BLOCK = 512
 
 
-def codewords_for(n_vectors: int) -> int:
-    return max(CODEWORDS, math.isqrt(PER_VECTOR * n_vectors) + 1)
+def codewords_for(n_vectors: int, dim: int) -> int:
+    """Codewords for so many vectors of a length: as many as the vectors ask for, or the most, by fours, with which pairs at
+    the least cosine still meet. In few dimensions many directions lie between two vectors that are alike."""
+    most, k = max(CODEWORDS, math.isqrt(PER_VECTOR * n_vectors) + 1), FEWEST
+    while k < most and tried(dim, k)[1] <= 8 * ROTATIONS * least_for(k) and tried(dim, min(most, 4 * k))[0] >= RECALL:
+        k = min(most, 4 * k)
+    return k
+
+
+@lru_cache(maxsize=64)
+def tried(dim: int, codewords: int, pairs: int = 500, seed: int = SEED) -> tuple[float, float]:
+    """Of made pairs at exactly COSINE: the share that share a filter, and how many filters a vector has (in very few
+    dimensions codewords repeat each other, and with them filters)."""
+    rng = np.random.default_rng([seed, dim, codewords])
+    x, y = rng.standard_normal((2, pairs, max(dim, 2)))[:, :, :dim]
+    if dim < 2:
+        return 1.0, math.inf
+    x = units_of(x)
+    y = units_of(y - (y * x).sum(axis=1, keepdims=True) * x)
+    y = COSINE * x + math.sqrt(1 - COSINE**2) * y
+    step, met, held = max(8, 600_000 // codewords), 0, 0
+    for k in range(0, pairs, step):
+        for a, b in zip(decode(x[k : k + step], codewords), decode(y[k : k + step], codewords)):
+            met, held = met + (len(np.intersect1d(a, b)) > 0), held + len(a)
+    return met / pairs, held / pairs
 
 
 def least_for(codewords: int) -> int:
     """Filters of a vector in a rotation: with more directions two like vectors share a given one more seldom."""
-    return round(LEAST * (codewords / CODEWORDS) ** 0.25)
+    return max(LEAST, round(LEAST * (codewords / CODEWORDS) ** 0.25))
 
 
 @lru_cache(maxsize=8)
@@ -87,18 +113,20 @@ def units_of(values: np.ndarray) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-def filters_of(vector: Column, codewords: int) -> Column:
+def filters_of(vector: Column, codewords: dict[int, int]) -> Column:
+    """codewords: by length of the vector."""
+
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def filters(vectors: pd.Series) -> pd.Series:
         out = np.empty(len(vectors), object)
         by_length: dict[int, list[int]] = {}
         for i, v in enumerate(vectors):
             by_length.setdefault(len(v), []).append(i)
-        many = max(8, 600_000 // codewords)
-        for at in by_length.values():
+        for length, at in by_length.items():
+            many = max(8, 600_000 // codewords[length])
             for k in range(0, len(at), many):
                 some = at[k : k + many]
-                for i, f in zip(some, decode(units_of(np.array([vectors.iloc[i] for i in some], np.float64)), codewords)):
+                for i, f in zip(some, decode(units_of(np.array([vectors.iloc[i] for i in some], np.float64)), codewords[length])):
                     out[i] = f
         return pd.Series(out)
 
@@ -182,9 +210,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     plain = F.transform("vector", lambda x: x + F.lit(0))  # -0.0 becomes 0.0
     vector = F.when(good, plain)
     rows, _ = written(v.select("id", vector.alias("vector"), F.sha2(F.to_json(F.struct(vector.cast("array<double>").alias("x"))), 256).alias("key")), "vectors")
-    classes = rows.where("vector is not null").groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("many"), F.any_value("vector").alias("vector"))
-    classes, at_classes = written(classes, "classes")
-    coded, at_coded = written(classes.select("node", "many", "vector", filters_of(F.col("vector"), codewords_for(classes.count())).alias("filters")), "coded")
+    classes = rows.where("vector is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"), F.any_value("vector").alias("vector"))
+    # Classes are nodes by a number of their own: rows of one id may hold several vectors.
+    classes, at_classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sizes = classes.groupBy(F.size("vector").alias("length")).count().collect()  # a row for each length of vectors
+    codewords = {r["length"]: codewords_for(r["count"], r["length"]) for r in sizes}
+    coded, at_coded = written(classes.select("node", "many", "vector", filters_of(F.col("vector"), codewords).alias("filters")), "coded")
     # Classes of a length meet only among themselves.
     met = coded.select("node", F.size("vector").alias("length"), F.explode("filters").alias("filter")).select("node", F.struct("length", "filter").alias("place"))
     met, at_met = written(met, "met")
@@ -205,10 +236,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     drop(spark, at_coded, at_met, at_places, at_held)
     components = connected_components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by_class = classes.select("key", "node", "many").join(links, "node", "left").join(components, "node", "left")
-    by_class = by_class.select("key", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    by_class, _ = written(by_class, "by_class")
-    drop(spark, at_classes, at_found)
+    by_class = classes.select("key", "node", "many", "least").join(links, "node", "left").join(components, "node", "left")
+    by_class = by_class.select("key", "many", "least", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("of"))
+    by_class, at_joined = written(by_class, "joined")
+    named = by_class.groupBy("of").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("classes"))
+    by_class, _ = written(join_hot(by_class, named, "of", "classes", by_class.count()).select("key", "many", "n_links", "component"), "by_class")
+    drop(spark, at_classes, at_found, at_joined)
     total = by_class.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
     out = rows.where("vector is not null").select("id", "key")
     out = join_hot(out, by_class, "key", "many", total)

@@ -4,8 +4,8 @@ Tokens are summed per source, repetition rates follow from the targets, and each
 plus one copy drawn by a seeded hash of its id with probability equal to its source's fraction.
 
 A few long documents can hold much of a source, and one seed's draws could then miss its target by far. So each source
-has a seed of its own: of SEEDS seeds the one whose draws come nearest its target. Every document of a source is drawn
-at the same fraction by the same seed."""
+has a seed of its own: of SEEDS seeds, whose draws are independent, the one whose draws come nearest its target. Every
+document of a source is drawn at the same fraction by the same seed. With seeds=1 nothing is chosen."""
 
 from __future__ import annotations
 
@@ -66,47 +66,47 @@ def with_rates(rows: DataFrame, rates: DataFrame, n_docs: int) -> DataFrame:
     return join_hot(rows, rates, "key", "n_docs", n_docs)
 
 
-def draw(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the key and the seed alone: reruns and retried tasks agree."""
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 8)
-    return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
+def digest(key: Column, seed: str, group: Column | int) -> Column:
+    """Four draws' bits that depend on the key, the seed and the group of seeds alone: reruns and retried tasks agree."""
+    number = F.lit(group) if isinstance(group, int) else group
+    return F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def turned(u: Column, seed_no: Column) -> Column:
-    """The draw under another seed: u and the seed's number over SEEDS added on a circle of length 1, without rounding."""
-    at = u + seed_no / F.lit(float(SEEDS))
-    return at - F.floor(at)
+def draw(bits: Column, place: Column | int) -> Column:
+    """A number in [0, 1): one of the four of a digest."""
+    part = F.substring(bits, F.lit(1) + 8 * (F.lit(place) if isinstance(place, int) else place), F.lit(8))
+    return F.conv(part, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def with_seeds(sized: DataFrame, rates: DataFrame, n_docs: int) -> DataFrame:
+def with_seeds(sized: DataFrame, rates: DataFrame, n_docs: int, seed: str = SEED, seeds: int = SEEDS) -> DataFrame:
     """rates plus seed_no: of all seeds the one whose draws come nearest what the fraction asks for (ties: the first).
-    sized(key, size, u) is summed once for all seeds, with partial sums."""
+    sized(key, size, id) is summed once, for all seeds side by side, with partial sums."""
     met = with_rates(sized, rates.select("key", "n_docs", "fraction"), n_docs)
-    tried = met.select("key", "size", "u", "fraction", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed_no"))
-    taken = F.sum(F.when(turned(F.col("u"), F.col("seed_no")) < F.col("fraction"), F.col("size")).otherwise(F.lit(0)))
-    off = F.abs(F.col("taken") - (F.col("target") - F.floor("rate") * F.col("source_size")))
-    tried = tried.groupBy("key", "seed_no").agg(taken.alias("taken")).join(rates, "key").select("key", F.struct(off.alias("off"), "seed_no").alias("s"))
-    return rates.join(tried.groupBy("key").agg(F.min("s")["seed_no"].alias("seed_no")), "key")
+    met = met.select("key", "size", "fraction", *[digest(F.col("id"), seed, g).alias(f"bits{g}") for g in range(-(-seeds // 4))])
+    taken = [F.sum(F.when(draw(F.col(f"bits{k // 4}"), k % 4) < F.col("fraction"), F.col("size")).otherwise(F.lit(0))) for k in range(seeds)]
+    sums = met.groupBy("key").agg(*[t.alias(f"t{k}") for k, t in enumerate(taken)]).join(rates, "key")
+    off = lambda k: F.abs(F.col(f"t{k}") - (F.col("target") - F.floor("rate") * F.col("source_size")))
+    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("seed_no")) for k in range(seeds)]))
+    return sums.select(*rates.columns, best["seed_no"].alias("seed_no"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED, seeds: int = SEEDS) -> DataFrame:
     """A row of struct `row` (the document, all its columns) with size, source_size, target and copies.
 
     Null text: size 0, and like any empty text it is copied at its source's rate without adding words. Null source: a
     source of its own, after the others. Null id: drawn as the key "null". Repeated rows draw alike. Empty table: no
     rows. A source without words: target 0, copies 0. No document has more than `most` copies."""
-    size, u = words_of(F.col(f"`{text_col}`")), draw(F.col(f"`{id_col}`"), seed)
     source = F.col(f"`{source_col}`")
-    sized, path = written(docs.select(source.alias("source"), key_of(source).alias("key"), size.alias("size"), u.alias("u")), "sized")
+    sized, path = written(docs.select(source.alias("source"), key_of(source).alias("key"), words_of(F.col(f"`{text_col}`")).alias("size"), F.col(f"`{id_col}`").cast("string").alias("id")), "sized")
     rates = source_rates(sized, weights, most).withColumns({"key": key_of(F.col("source")), "fraction": F.col("rate") - F.floor("rate")}).drop("source")
     rates, _ = written(rates, "rates")
     n_docs = rates.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    seeded = with_seeds(sized, rates, n_docs)
+    seeded = with_seeds(sized, rates, n_docs, seed, seeds)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     d = d.select("row", key_of(F.col(f"row.`{source_col}`")).alias("key"), words_of(F.col(f"row.`{text_col}`")).alias("size"))
     met = with_rates(d, seeded, n_docs)
     drop(docs.sparkSession, path)
-    once_more = turned(draw(F.col(f"row.`{id_col}`"), seed), F.col("seed_no")) < F.col("fraction")
+    once_more = draw(digest(F.col(f"row.`{id_col}`"), seed, F.floor(F.col("seed_no") / 4)), F.col("seed_no") % 4) < F.col("fraction")
     copies = F.least(F.floor("rate") + once_more.cast("long"), F.lit(most)).cast("long")
     return met.select("row", "size", "source_size", "target", copies.alias("copies"))
 
@@ -123,8 +123,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -141,14 +140,17 @@ WITH sized AS (
   SELECT source, source_size, least(cap::DOUBLE, one.lev * weight) AS target FROM levels, one
 ), rates AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets
+), draws AS (
+  SELECT doc_id, source, size, k AS seed_no, ('0x' || substr(md5('mix-1:' || k // 4 || ':' || coalesce(doc_id::VARCHAR, 'null')), 1 + 8 * (k % 4), 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM sized, range(32) AS seed(k)
 ), seeds AS (
   SELECT source, arg_min(seed_no, (off, seed_no)) AS seed_no FROM (
-    SELECT r.source, k AS seed_no, abs(coalesce(sum(size) FILTER ((u + k / 32.0::DOUBLE) - floor(u + k / 32.0::DOUBLE) < rate - floor(rate)), 0)::BIGINT - any_value(target - floor(rate) * source_size)) AS off
-    FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source CROSS JOIN range(32) AS seed(k) GROUP BY r.source, k
+    SELECT r.source, seed_no, abs(coalesce(sum(size) FILTER (u < rate - floor(rate)), 0)::BIGINT - any_value(target - floor(rate) * source_size)) AS off
+    FROM draws s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source GROUP BY r.source, seed_no
   ) GROUP BY source
 ), copies AS (
-  SELECT s.doc_id, s.size, r.source_size, r.target, least(3, floor(rate)::BIGINT + ((u + seed_no / 32.0::DOUBLE) - floor(u + seed_no / 32.0::DOUBLE) < rate - floor(rate))::BIGINT) AS copies
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source JOIN seeds ON s.source IS NOT DISTINCT FROM seeds.source
+  SELECT s.doc_id, s.size, r.source_size, r.target, least(3, floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS copies
+  FROM draws s JOIN seeds ON s.source IS NOT DISTINCT FROM seeds.source AND s.seed_no = seeds.seed_no JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copies
 """

@@ -29,9 +29,9 @@ PRIVATE = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
 BEARER = re.compile(r"[Bb]earer\x20+([A-Za-z0-9+/_.=-]{16,})")
 URL_PASSWORD = re.compile(r"[a-z]://[^\s/@:?#]+:([^\s/@?#]{6,})@")
 
-#: A value is a copied example if so many repositories hold it, or so many owners. Two owners may share a live one.
-COPIED_REPOSITORIES = 10
-COPIED_OWNERS = 3
+#: A value is a copied example if so many owners hold it, in so many repositories. Two owners may share a live one, and one
+#: owner's, however often it is pasted, is that owner's.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 3
 #: Bits a character; a value below this (repeated or plain words) does not look live.
 LIVE_ENTROPY = 2.5
 CLASSES = ("copied", "weak", "shared", "live")
@@ -96,9 +96,9 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def class_of(n_repositories: Column, n_owners: Column, entropy_: Column, repositories: int = COPIED_REPOSITORIES, owners: int = COPIED_OWNERS) -> Column:
-    """copied: at least so many repositories or owners hold the value; weak: it is of low entropy; shared: several owners
-    hold it, too few for an example; live: a single owner does."""
-    copied = (n_repositories >= repositories) | (n_owners >= owners)
+    """copied: at least so many owners hold the value, in at least so many repositories; weak: it is of low entropy; shared:
+    several owners hold it, too few for an example; live: a single owner does, in however many repositories."""
+    copied = (n_repositories >= repositories) & (n_owners >= owners)
     return F.when(copied, "copied").when(entropy_ < LIVE_ENTROPY, "weak").when(n_owners > 1, "shared").otherwise("live")
 
 

@@ -7,15 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A key that more than one in so many rows has is hot. There are fewer than this many hot keys, whatever the table.
-HOT_KEYS = 20_000
-#: A key with fewer rows than this is never hot.
-LEAST_HOT = 256
+from ..operators.scan import join_hot
+
+__all__ = ["connected_components", "drop", "intermediates", "join_hot", "running", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,13 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for made in _open:
+    for made in _open.get():
         made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-_open: list[list[str]] = []
+#: The lists of the context that runs: threads, and so pipelines in several, don't see each other's.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
@@ -52,11 +53,11 @@ def intermediates(spark: SparkSession) -> Iterator[list[str]]:
     """Removes at its end the tables that written() made within it and that are still in the list it gives: take out what
     is to stay. Operators' results are lazy and read such tables, so write a result before the end."""
     made: list[str] = []
-    _open.append(made)
+    token = _open.set((*_open.get(), made))
     try:
         yield made
     finally:
-        _open.remove(made)
+        _open.reset(token)
         drop(spark, *made)
 
 
@@ -67,18 +68,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def join_hot(rows: DataFrame, by_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """rows with by_key, which has a row for each key (never null) and in column n how many of the `total` rows have it.
-
-    Hot keys are fewer than HOT_KEYS by counting, so their rows of by_key are sent to every executor and the many rows of
-    each stay where they are; only the others are shuffled. n is left out of the result."""
-    hot = F.col(n) > max(LEAST_HOT, total // HOT_KEYS)
-    sent = F.broadcast(by_key.where(hot).drop(n))
-    own = by_key.where(hot).select(F.col(key).alias("_hot"))
-    others = rows.join(F.broadcast(own), F.col(key) == F.col("_hot"), "left_anti")
-    return rows.join(sent, key).unionByName(others.join(by_key.where(~hot).drop(n), key))
-
-
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """df plus for each name the sum of its column over all rows before, in an order without ties.
 

@@ -25,9 +25,12 @@ K = 5
 LEVELS = 32
 SHARD = 32_768
 QUERY_BLOCK, LEAST_BLOCK = 16_384, 128
-#: After these shares of a query's postings the proof is tried; so few possible members end the query before the last one.
-TRIES = (0.8, 0.9, 0.95, 1.0)
+#: The proof is tried whenever another such share of a query's postings has been summed; so few possible members end the
+#: query.
+TRIES = 16
 RESCORE = 512
+#: Sums of products below this are exact in doubles; shards and queries beyond it are scored in whole numbers of any size.
+EXACT = 1 << 53
 
 
 class ImpactIndex:
@@ -58,7 +61,7 @@ class ImpactIndex:
         used = np.nonzero((impact.ravel() > 0) & (np.diff(self.ends) > 0))[0]
         used = used[np.argsort(-impact.ravel()[used], kind="stable")]
         lengths = self.ends[used + 1] - self.ends[used]
-        done = np.searchsorted(np.cumsum(lengths), np.array(TRIES) * lengths.sum(), side="right") if len(used) else np.zeros(len(TRIES), int)
+        done = np.searchsorted(np.cumsum(lengths), np.arange(1, TRIES + 1) / TRIES * lengths.sum(), side="right") if len(used) else np.zeros(TRIES, int)
         done[-1], gained, left = len(used), np.zeros(n), np.zeros(impact.size, impact.dtype)
         left[used] = impact.ravel()[used]
         for begin, end in zip([0, *done[:-1].tolist()], done.tolist()):
@@ -77,6 +80,20 @@ class ImpactIndex:
         return possible, self.values[possible] @ query
 
 
+class Plain:
+    """A shard whose sums of products may not fit a double: every vector is scored, in Python's integers."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values.astype(object)
+
+    def search(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.setdiff1d(np.arange(len(self.values)), own)
+        score = self.values[at] @ query.astype(object)
+        if len(at) and max(score.max(), -score.min()) >= 1 << 63:
+            raise ValueError(f"a score of {max(score.max(), -score.min())} doesn't fit a long")
+        return at, score.astype(np.int64)
+
+
 def _search(k: int):
     def vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return rows.column("id").to_numpy(), rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
@@ -85,7 +102,9 @@ def _search(k: int):
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
         if len(candidates) and len(asked):
             (ids, values), (queries, weights) = vectors(candidates), vectors(asked)
-            index, where = ImpactIndex(values), {x: i for i, x in enumerate(ids.tolist())}
+            largest = [max(int(x.max()), -int(x.min())) for x in (values, weights)]
+            index = ImpactIndex(values) if values.shape[1] * (largest[0] + 1) * 2 * (largest[1] + 1) < EXACT else Plain(values)
+            where = {x: i for i, x in enumerate(ids.tolist())}
             for qid, query in zip(queries.tolist(), weights):
                 own = where.get(qid)
                 at, score = index.search(query, k, np.array([] if own is None else [own], np.int64))
@@ -100,12 +119,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """candidates(id long, vector array<long>), queries(id, vector) -> (query_id, rank, vec_id, score), exact.
 
     A query's own id is no candidate; ties go to the smaller id; fewer than k candidates are all returned. Vectors meet
-    only those of their length. Null ids, null and empty vectors and those with nulls take no part; repeated candidate
-    rows are one candidate, repeated query rows one query. Sums of products must fit a double without loss (components
-    up to 2^20). Each shard of candidates meets each block of queries in a task of bounded size that builds the shard's
+    only those of their length. Null ids, null and empty vectors and those with nulls take no part; rows that repeat an id
+    are one candidate or query, that with the least vector by its components, whatever the order of rows. Scores are exact
+    whatever the components; one that doesn't fit a long is an error. Each shard of candidates meets each block of queries in a task of bounded size that builds the shard's
     index and returns k rows for each query; blocks grow with the queries, so that candidates are sent to few of them."""
     whole = F.col("id").isNotNull() & F.coalesce(F.size("vector") > 0, F.lit(False)) & F.coalesce(F.forall("vector", lambda x: x.isNotNull()), F.lit(False))
-    c, q = (df.where(whole).dropDuplicates(["id"]).select("id", "vector", F.size("vector").alias("length")) for df in (candidates, queries))
+    c, q = (df.where(whole).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("length", F.size("vector")) for df in (candidates, queries))
     n_queries, shards = q.count(), max(1, -(-c.count() // SHARD))
     busy = -(-2 * c.sparkSession.sparkContext.defaultParallelism // shards)
     blocks = max(1, -(-n_queries // QUERY_BLOCK), min(-(-n_queries // LEAST_BLOCK), busy))
@@ -122,7 +141,8 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row whose vec_id is divisible by EVERY against all others, by components floor(SCALE * x).
 
     Vectors null, empty or with null or non-finite components and rows with a null id take no part, neither as queries nor
-    as candidates; zero vectors do, with score 0. Of rows that repeat an id one takes part. Other columns are not read."""
+    as candidates; zero vectors do, with score 0. Of rows that repeat an id that with the
+    least vector takes part. A component beyond a long is an error. Other columns are not read."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return top_k(*integers(e))
 
@@ -130,15 +150,17 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integers(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates and queries of (id, vector): finite vectors as integers."""
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    ints = F.transform("vector", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    beyond = F.raise_error(F.lit("a component doesn't fit a long")).cast("long")
+    scaled = lambda x: x.cast("double") * SCALE
+    ints = F.transform("vector", lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).otherwise(beyond))
     e, _ = written(e.where(finite).select("id", ints.alias("vector")), "ints")
     return e, e.where(F.col("id") % EVERY == 0)
 
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0 GROUP BY vec_id
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
