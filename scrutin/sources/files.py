@@ -45,8 +45,8 @@ def hashed_folder(spark: SparkSession, folder: str, *, recursive: bool = True) -
     """(path, filename, length, sha256) of a folder's PDF files, empty ones too: listed and read in blocks by tasks, or where
     only Spark can open the folder by its own reader, and empty files by a listing on the driver."""
     if listing.in_tasks(folder):
-        found = listing.list_files(spark, folder, recursive=recursive)
-        return found.join(listing.hashed_paths(found).select("path", "sha256"), "path").select("path", "filename", "length", "sha256")
+        read = listing.hashed_paths(listing.list_files(spark, folder, recursive=recursive))
+        return read.select("path", file_name(F.col("path")).alias("filename"), F.col("bytes_read").alias("length"), "sha256")
     empty = empty_pdf_files(spark, folder, recursive=recursive).withColumn("sha256", F.lit(EMPTY_SHA256))
     return hashed(pdf_files(spark, folder, recursive=recursive)).unionByName(empty.select("path", "filename", "length", "sha256"))
 
