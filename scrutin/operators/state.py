@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import automaton
+
 # Failures in a row that trip the breaker; calls between two tries of the first transport; the codes of
 # departments.
 TRIP = 3
@@ -112,24 +112,21 @@ def revert_plan(manifest: DataFrame, present: DataFrame) -> DataFrame:
     return r.select("filename", F.col("organized").alias("source"), F.col("original").alias("target"), F.when(F.col("there"), "revertida").otherwise("error").alias("outcome"))
 
 
-def transports(rows: DataFrame, key: str, order: list[str], primary_failed: str, trip: int = TRIP, reprobe: int = REPROBE) -> DataFrame:
+def transports(rows: DataFrame, key: list[str], order: list[str], primary_failed: str, trip: int = TRIP, reprobe: int = REPROBE) -> DataFrame:
     """Which transport each captured call of a session would have gone through: rows plus `transport`.
 
     After `trip` failures in a row calls go to the fallback; there every `reprobe`-th call tries the primary first, and
-    returns to it if that succeeds. primary_failed: whether the primary fails at that call. The state is three numbers
-    that depend on all calls before, so a session's calls are read in order by one task; sessions run in parallel."""
-
-    def walk(calls: pd.DataFrame) -> pd.DataFrame:
-        calls = calls.sort_values(order, kind="stable")
-        fails, since, fallback, used = 0, 0, False, []
-        for bad in calls[primary_failed].fillna(True).astype(bool):
-            if not fallback and fails >= trip:
-                fallback, since, fails = True, 0, 0
-            since += fallback
-            probes = fallback and since % reprobe == 0
-            fallback = fallback and not (probes and not bad)
-            used.append("fallback" if fallback else "primary")
-            fails = fails + 1 if bad and not fallback else 0
-        return calls.assign(transport=used)
-
-    return rows.groupBy(key).applyInPandas(walk, T.StructType([*rows.schema.fields, T.StructField("transport", T.StringType())]))
+    returns to it if that succeeds. primary_failed: whether the primary fails at that call (null: it does). key: sessions of
+    their own, one for all rows if empty. States are the failures so far, or the calls since the last try: a session's
+    calls are read in order by many tasks."""
+
+    def step(state: int, failed: int) -> int:
+        """So many failures on the primary up to `trip`, above it so many calls on the fallback, in turns of `reprobe`."""
+        if state < trip:
+            return state + 1 if failed else 0
+        calls = (state - trip) % reprobe + 1
+        return 0 if calls == reprobe and not failed else trip + calls
+
+    table = automaton.table_of(trip + 1 + reprobe, 2, step)
+    r = automaton.walked(rows, key, order, F.coalesce(F.col(primary_failed).cast("int"), F.lit(1)), table)
+    return r.withColumn("transport", F.when(F.col("state") > trip, "fallback").otherwise("primary")).drop("state")

@@ -559,6 +559,20 @@ def limiter_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.pauses(_limited(spark, sf_dir)).select("doc_id", "kind", "starts_s", "ends_s")
 
 
+@query("""WITH RECURSIVE c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, n_chars % 5 < 2 OR doc_id // 150 % 3 = 1 AS bad FROM documents),
+walk(i, fails, since, fallback) AS (  -- before call i: failures in a row, calls on the fallback, whether on it
+  SELECT 1::BIGINT, 0, 0, false UNION ALL
+  SELECT i + 1, CASE WHEN bad AND NOT now THEN (CASE WHEN w.fallback THEN 0 ELSE fails END) + 1 ELSE 0 END, s, now FROM (
+    SELECT w.*, c.bad, CASE WHEN w.fallback OR fails >= 3 THEN (CASE WHEN w.fallback THEN since ELSE 0 END) + 1 ELSE since END AS s,
+      (w.fallback OR fails >= 3) AND NOT (((CASE WHEN w.fallback THEN since ELSE 0 END) + 1) % 50 = 0 AND NOT bad) AS now FROM walk w JOIN c USING (i)) w)
+SELECT doc_id, CASE WHEN n.fallback THEN 'fallback' ELSE 'primary' END AS transport FROM c JOIN walk n ON n.i = c.i + 1""")
+def transport_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the calls of one session."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    calls = read(spark, sf_dir, "documents").select("doc_id", ((n % 5 < 2) | (F.floor(k / 150) % 3 == 1)).alias("bad"))
+    return state.transports(calls, [], ["doc_id"], "bad").select("doc_id", "transport")
+
+
 @query(f"WITH {_LIMITED} SELECT run, min(doc_id) AS run_start, count(*) AS run_length, count(*) // 3 AS trips FROM s WHERE failed GROUP BY run")
 def limiter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.runs(_limited(spark, sf_dir), at="doc_id")

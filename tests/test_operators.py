@@ -316,7 +316,7 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_transports(spark):
     bad = [1, 1, 1, *[1] * 49, 1, *[0] * 49, 0, 0, 1]
     rows = spark.createDataFrame([("s", i, bool(x)) for i, x in enumerate(bad)] + [("t", 0, None)], "k string, i int, bad boolean")
-    got = [r.transport for r in state.transports(rows, "k", ["i"], "bad").where("k = 's'").orderBy("i").collect()]
+    got = [r.transport for r in state.transports(rows, ["k"], ["i"], "bad").where("k = 's'").orderBy("i").collect()]
     at = [i for i, t in enumerate(got) if t == "primary"]
     assert at[:3] == [0, 1, 2] and got[3] == "fallback" and got[52] == "fallback"  # the 50th call on it fails on the primary
     assert at[3] == 102 and at[3:] == [102, 103, 104]  # the 100th succeeds

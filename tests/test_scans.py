@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrutin.operators import acta, limiter, quantiles, scan
+from scrutin.operators import acta, automaton, limiter, quantiles, scan, state
 
 
 def largest_part(spark, made):
@@ -132,3 +132,32 @@ def test_peers_of_one_group(spark):
     assert len(got) == 2002 and {r["v"]: r["ratio"] for r in got if r["g"] == "g"} == {v: round(v / 1001, 6) for g, v in rows if g == "g"}
     mean = acta.ratio_vs_peers(spark.createDataFrame(rows, "g string, v double"), "g", F.col("v"), "mean").collect()
     assert {r["v"]: r["ratio"] for r in mean if r["g"] == "g"} == {v: round(v / 1001, 6) for g, v in rows if g == "g"}
+
+
+def plain_transports(calls, trip=3, reprobe=50):
+    fails, since, fallback, used = 0, 0, False, []
+    for bad in calls:
+        if not fallback and fails >= trip:
+            fallback, since, fails = True, 0, 0
+        since += fallback
+        fallback = fallback and not (since % reprobe == 0 and not bad)
+        used.append("fallback" if fallback else "primary")
+        fails = fails + 1 if bad and not fallback else 0
+    return used
+
+
+def test_transports_over_a_hundred_partitions(spark, hundred, monkeypatch):
+    made = []
+    real = automaton.written
+    monkeypatch.setattr(automaton, "written", lambda df, name: made.append(real(df, name)) or made[-1])
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None]), i, rng.choice([None, True, False, i // 200 % 2 == 0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s string, i long, bad boolean").repartition(9)
+    for key, reprobe in ((["s"], 7), ([], 50)):
+        got = {r["i"]: r["transport"] for r in state.transports(df, key, ["i"], "bad", reprobe=reprobe).collect()}
+        for s in ("a", "b", None) if key else ("all",):
+            own = [(i, bad is None or bad) for k, i, bad in rows if not key or k == s]
+            assert [got[i] for i, _ in own] == plain_transports([b for _, b in own], reprobe=reprobe)
+        assert {"primary", "fallback"} == set(got.values())
+    assert largest_part(spark, made) < 300
+    assert state.transports(df.limit(0), [], ["i"], "bad").count() == 0
