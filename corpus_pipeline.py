@@ -14,7 +14,11 @@ def whole(docs: DataFrame) -> F.Column:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5. Documents that the classifier, fitted on this stage's labelled documents, scores under 0.5 go."""
+    """Operator 5. Documents that the classifier, fitted on this stage's labelled documents, scores under 0.5 go.
+
+    Null, empty and blank texts share a score and so stay or go together; a null id is scored and never learned from;
+    repeated rows share their text's lot; no labels: all score 0.5 and stay; an empty table stays empty. Columns are carried
+    as one struct, so none can clash."""
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select(whole(docs), quality.score_of(forest, F.col("text")).alias("score"))
     return scored.where("score >= 0.5").select("row.*")
@@ -33,7 +37,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7. Personal data becomes [KIND]; n_chars follows the new text."""
+    """Operator 7. Personal data becomes [KIND]; n_chars follows the new text.
+
+    A null text stays null with its n_chars, an empty one empty; a text without personal data is left as it is, very long ones
+    included; repeated rows each stay; an empty table stays empty. Columns are carried as one struct, so none can clash."""
     marked = docs.select(whole(docs), pii.redact(F.col("text")).alias("clean"))
     changed = F.when(F.col("clean").eqNullSafe(F.col("row.text")), F.col("row.n_chars")).otherwise(F.char_length("clean"))
     put = {"text": F.col("clean"), "n_chars": changed.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("clean")}
@@ -41,12 +48,19 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4. Each document as often as its source's rate says, rows repeated."""
+    """Operator 4. Each document as often as its source's rate says, rows repeated.
+
+    Null and empty texts are of size 0 and copied at their source's rate; a null source is one of its own; a null id is drawn
+    as the text "null"; repeated rows draw alike; sources without words go; an empty table stays empty. Columns are carried
+    as one struct, so none can clash."""
     return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10. The pieces of all sequences; each repeated row is packed."""
+    """Operator 10. The pieces of all sequences.
+
+    Null and empty texts are the end id alone; a null id and rows that repeat one are documents of their own, as the mix
+    repeats rows; very long texts fill windows; an empty table has no pieces. Only doc_id and text are read."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
