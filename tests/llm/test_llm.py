@@ -56,6 +56,28 @@ def components(n, links):
 # --- shared ---
 
 
+def test_intermediates_of_two_threads(spark):
+    """A run in one thread neither registers nor removes the tables of a run in another."""
+    from threading import Barrier, Thread
+
+    barrier, counts, lists = Barrier(2), {}, {}
+
+    def run(name, rows):
+        with shared.intermediates(spark) as made:
+            df, _ = shared.written(spark.range(rows), name)
+            lists[name] = list(made)
+            barrier.wait()
+            if name == "second":
+                gone.join()  # the other run has ended, and removed its own
+            counts[name] = df.count()
+
+    gone = Thread(target=run, args=("first", 10))
+    other = Thread(target=run, args=("second", 20))
+    gone.start(), other.start()
+    other.join()
+    assert counts == {"first": 10, "second": 20} and all(len(m) == 1 for m in lists.values())
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
@@ -850,7 +872,7 @@ def test_ids_are_those_of_the_plain_call():
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
