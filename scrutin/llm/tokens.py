@@ -24,9 +24,11 @@ from .shared import table
 #: half goes when the newer is full); longer segments than LONG characters are computed again each time.
 TOGETHER, MOST_SEGMENTS, LONG = 2_000_000, 300_000, 512
 
-#: Pre-tokens never reach over a white space that follows something else, nor from a letter to a stop or comma, so a text
-#: is cut there and each segment (white space and a word, marks at a word's end, or white space and anything else) is
-#: worked on once. White space of Python's that other engines don't count is left alone.
+#: Under this pattern (a fixed value) pre-tokens never reach over a white space that follows something else, nor from a
+#: letter to a stop or comma, so a text is cut there and each segment (white space and a word, marks at a word's end, or white space and anything else) is
+#: worked on once. White space of Python's that other engines don't count is left alone, and under any other pattern a text
+#: is not cut.
+CUT_UNDER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SEGMENT = re.compile(rf"\s*[{LETTERS}]+(?=[\s.,;:!?]|$)|[.,;:!?]+(?=\s|$)|\s*\S+|\s+")
 UNUSUAL = re.compile("[\x1c-\x1f]")
@@ -35,8 +37,10 @@ UNUSUAL = re.compile("[\x1c-\x1f]")
 ONLY_END, NO_END = 2.0, 1.0
 
 
-def segments(text: str) -> list[str]:
-    return [text] if UNUSUAL.search(text) else SEGMENT.findall(text)
+def segments(text: str, pattern: str = CUT_UNDER) -> list[str]:
+    if pattern != CUT_UNDER or UNUSUAL.search(text):
+        return [text] if text else []
+    return SEGMENT.findall(text)
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -54,7 +58,7 @@ class Trie:
         # Log scores are under 0. Ends of pieces that are no pieces have ONLY_END: where even that is absent, no longer piece ends.
         self.ends = dict.fromkeys((p[i:] for p in pieces for i in range(1, len(p))), ONLY_END) | self.scores
         self.unknown = -2 * math.log(len(pieces) + 1)
-        self.pre_token = regex.compile(pattern)
+        self.pattern, self.pre_token = pattern, regex.compile(pattern)
         self.seen: dict[str, tuple[int, int, float]] = {}
         self.older = self.seen
 
@@ -96,7 +100,7 @@ class Trie:
         return {s: (len(own), sum(of[w][0] for w in own), math.fsum(of[w][1] for w in own)) for s, own in parts.items()}
 
     def together(self, texts: list[str]) -> Iterator[tuple[int, int, int, float]]:
-        cut = [segments(t) for t in texts]
+        cut = [segments(t, self.pattern) for t in texts]
         needed = set().union(*cut)
         if len(self.seen) > MOST_SEGMENTS:
             self.older, self.seen = self.seen, {}

@@ -128,6 +128,19 @@ def test_tokens(spark, monkeypatch):
     assert len(got) == len(ODD) + 4 and got[0][1:] == (0, 0, 0, 0.0) and got[1].n_tokens == 0
 
 
+def test_tokens_under_another_pattern(spark):
+    """A pattern whose pre-tokens reach over what the other never joins: texts are not cut."""
+    import regex
+
+    pattern = r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""
+    texts_ = ["foo.\n\nbar", "a,b \n c", "", None, "it's 12345 !\n"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in tokens.token_counts(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern).collect()}
+    column = next(c for c in got[0].asDict() if "pre" in c)
+    assert [got[i][column] for i in range(5)] == [len(regex.findall(pattern, t or "")) for t in texts_]
+    assert tokens.CUT_UNDER == public_tokenizers.PATTERN
+
+
 def test_segments_keep_pre_tokens():
     import regex
 
