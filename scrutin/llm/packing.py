@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,26 @@ TELLING, PASSES, BLOCK = 16, 8, 64
 K1, B = 1.2, 0.75
 #: Posting lists with at least one in so many of a shard's documents are long.
 DENSE = 16
+#: A shard of at most SQUARE documents (of 512 tokens on average, so that a good part of them become seeds) scores its long
+#: lists for STRIP documents at a time, by one matrix product.
+SQUARE, STRIP = 2048, 256
+#: Tokens of documents that are told apart by one sort.
+TOGETHER = 1 << 20
 _held: dict = {}
 
+#: Under this pattern (a fixed value) pieces are those of a second one, whose `++` only say what never is given back, and,
+#: in texts without two white spaces in a row, of a third one that needs no look ahead and so no backtracking.
+LOOKS_AHEAD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+KEEPS = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+STRAIGHT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+WHITE = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def has_runs(text: str) -> bool:
+    """Two white spaces in a row."""
+    white = [w for w in (WHITE[:6] if text.isascii() else WHITE) if w in text]
+    return any(a + b in text for a in white for b in white)
+
 
 def ranks_of(kind: dict) -> dict[bytes, int] | None:
     """The byte pieces of a tokenizer file by rank, if it is plain byte-level BPE whose merges are in the order of their
@@ -73,17 +93,23 @@ class Encoder:
         ranks, added = ranks_of(kind), kind.get("added_tokens", [])
         if max([*kind["model"]["vocab"].values(), *(t["id"] for t in added)]) > 65535:
             raise ValueError("ids must fit 16 bits")
-        self.file, self.added, self.plain = tokenizer_json, [t["content"] for t in added], None
+        self.file, self.added, self.plain, self.straight = tokenizer_json, [t["content"] for t in added], None, None
         if ranks and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
             import tiktoken
 
-            self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            def under(pattern: str):
+                return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+            if pattern == LOOKS_AHEAD:
+                self.fast, self.straight = under(KEEPS), under(STRAIGHT)
+            else:
+                self.fast = under(pattern)
         else:
             self.fast = None
 
     def run(self, text: str) -> list[int]:
         if self.fast and not any(x in text for x in self.added):
-            return self.fast(text)
+            return self.straight(text) if self.straight and not has_runs(text) else self.fast(text)
         if not self.plain:
             from tokenizers import Tokenizer
 
@@ -92,7 +118,8 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the text (null: none), then the end id."""
-        return np.array([*self.run(text or ""), END_ID], "<u2").tobytes()
+        ids = self.run(text or "")
+        return np.fromiter(chain(ids, (END_ID,)), "<u2", len(ids) + 1).tobytes()
 
 
 def worker_encoder(tokenizer_json: str, pattern: str) -> Encoder:
@@ -105,30 +132,56 @@ def worker_encoder(tokenizer_json: str, pattern: str) -> Encoder:
 
 
 def ids_of(spark: SparkSession, text: Column, tokenizer_path: str, pattern: str) -> Column:
-    """A struct: ids, compressed since they are shuffled twice, and n, their number."""
+    """A struct: ids, compressed since they are shuffled twice, n, their number, and, in the first row of each batch, held:
+    how many documents of the batch hold each id."""
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())  # of fixed size
 
-    @F.pandas_udf("ids binary, n long")
+    @F.pandas_udf("ids binary, n long, held binary")
     def ids(texts: pd.Series) -> pd.DataFrame:
         encoder, codec = worker_encoder(sent.value, pattern), pa.Codec("zstd", compression_level=1)
         raw = [encoder.encode(t) for t in texts]
-        return pd.DataFrame({"ids": [codec.compress(x, asbytes=True) for x in raw], "n": [len(x) // 2 for x in raw]})
+        total = np.zeros(65536, "<u4")
+        for docs in few([np.frombuffer(x, "<u2") for x in raw]):
+            total += np.bincount(counted(docs)[1], minlength=65536).astype("<u4")
+        held = [codec.compress(total.tobytes(), asbytes=True), *[None] * (len(raw) - 1)][: len(raw)]
+        return pd.DataFrame({"ids": [codec.compress(x, asbytes=True) for x in raw], "n": [len(x) // 2 for x in raw], "held": held})
 
     return ids.asNondeterministic()(text)
 
 
 def unpacked(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
     codec = pa.Codec("zstd")
-    return [np.frombuffer(codec.decompress(x.as_py(), 2 * n.as_py(), asbytes=True), "<u2") for x, n in zip(rows.column("ids"), rows.column("n"))]
+    return [np.frombuffer(codec.decompress(x, 2 * n, asbytes=True), "<u2") for x, n in zip(rows.column("ids").to_pylist(), rows.column("n").to_pylist())]
+
+
+def few(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The documents in their order, by lists of about TOGETHER tokens."""
+    ends = np.cumsum([len(d) for d in docs])
+    begin = 0
+    while begin < len(docs):
+        before = ends[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(ends, before + TOGETHER, "right")), begin + 1)
+        yield docs[begin:end]
+        begin = end
+
+
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and times for each distinct term of each document, by document, then term."""
+    kind = np.uint32 if len(docs) <= 65536 else np.uint64
+    key = np.repeat(np.arange(len(docs), dtype=kind), [len(d) for d in docs]) << 16 | np.concatenate(docs)
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    key, times = key[first], np.diff(first, append=len(key))
+    return (key >> 16).astype(np.int64), (key & 0xFFFF).astype(np.int64), times
 
 
 def _frequencies(batches):
-    """Documents that hold each id, of a task's documents."""
-    total = np.zeros(65536, np.int64)
+    """Documents that hold each id, of a task's batches of documents."""
+    total, codec = np.zeros(65536, np.int64), pa.Codec("zstd")
     for batch in batches:
-        for doc in unpacked(batch):
-            total[np.unique(doc)] += 1
+        for held in batch.column("held").to_pylist():
+            total += np.frombuffer(codec.decompress(held, 4 * 65536, asbytes=True), "<u4")
     at = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
@@ -137,17 +190,22 @@ def inverse(frequency: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
 
 
-def telling(doc: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[bytes, bytes]:
-    """A document's TELLING terms of the highest BM25 weight, best first, and the weights. idf: 0 for terms of one document."""
-    terms, times = np.unique(doc, return_counts=True)
-    weight = idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(doc) / mean_length))
-    if len(weight) > TELLING:  # of those that reach the last place, the first by weight, then by term
-        best = np.nonzero(weight >= np.partition(weight, len(weight) - TELLING)[len(weight) - TELLING])[0]
-        best = best[np.argsort(-weight[best], kind="stable")][:TELLING]
-    else:
-        best = np.argsort(-weight, kind="stable")
-    best = best[weight[best] > 0]
-    return terms[best].astype(">u2").tobytes(), weight[best].astype("<f2").tobytes()
+def telling(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> Iterator[tuple[bytes, bytes]]:
+    """Each document's TELLING terms of the highest BM25 weight, best first, and the weights. idf: 0 for terms of one document."""
+    for some in few(docs):
+        of, terms, times = counted(some)
+        lengths = np.array([len(d) for d in some])
+        weights = idf[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[of] / mean_length))
+        ends = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
+        for begin, end in zip(ends, ends[1:]):
+            term, weight = terms[begin:end], weights[begin:end]
+            if len(weight) > TELLING:  # of those that reach the last place, the first by weight, then by term
+                best = np.flatnonzero(weight >= np.partition(weight, len(weight) - TELLING)[len(weight) - TELLING])
+                best = best[np.argsort(-weight[best], kind="stable")][:TELLING]
+            else:
+                best = np.argsort(-weight, kind="stable")
+            best = best[weight[best] > 0]
+            yield term[best].astype(">u2").tobytes(), weight[best].astype("<f2").tobytes()
 
 
 def best_of_block(nodes: np.ndarray, terms: list[bytes], weights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +240,18 @@ def _running(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array(np.full(len(n), part, np.int32)), pa.array(at)], names=["row", "n", "part", "at"])
 
 
+def components_of_links(links: DataFrame, most: int) -> DataFrame:
+    """links(u, v), one of each node that has any -> (node, component), for every u, the components of the undirected graph.
+
+    Only nodes that others link to are searched: all others belong where their own link leads. most: links at most. A node
+    that links nowhere and is absent is a component's name, if any."""
+    targets = links.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    core = links.join(targets.select(F.col("v").alias("u")), "u", "left_semi")
+    found = connected_components(core).withColumnRenamed("node", "v")
+    by_target = targets.join(found, "v", "left").select("v", "n", F.coalesce("component", "v").alias("component"))
+    return join_hot(links, by_target, "v", "n", most).select(F.col("u").alias("node"), "component")
+
+
 def lexical_order(ids: DataFrame, frequency, n_docs: int, mean_length: float) -> DataFrame:
     """ids(row, ids, n) -> (row, place): the tokens before the document in an order where related documents are neighbours.
 
@@ -194,7 +264,7 @@ def lexical_order(ids: DataFrame, frequency, n_docs: int, mean_length: float) ->
     def signs(batches):
         idf = np.where(frequency.value > 1, inverse(frequency.value, n_docs), 0)
         for batch in batches:
-            found = [telling(d, idf, mean_length) for d in unpacked(batch)]
+            found = list(telling(unpacked(batch), idf, mean_length))
             columns = [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), batch.column("node"), *columns], names=["row", "n", "node", "terms", "weights"])
 
@@ -206,7 +276,7 @@ def lexical_order(ids: DataFrame, frequency, n_docs: int, mean_length: float) ->
     blocks = passes.repartitionByRange("key", "node").sortWithinPartitions("key", "node").select("node", "terms", "weights")
     links = blocks.mapInArrow(_best, "u long, v long, score float").groupBy("u").agg(F.max(F.struct("score", "v")).alias("best")).select("u", "best.v")
     links, at_links = written(links, "links")
-    component = connected_components(links)
+    component = components_of_links(links, n_docs)
     named = nodes.join(component, "node", "left").select("node", "copies", "terms", F.coalesce("component", "node").alias("component"))
     lead = named.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.min("terms").alias("lead"))
     named = join_hot(named, lead, "component", "nodes", n_docs)
@@ -219,7 +289,7 @@ def lexical_order(ids: DataFrame, frequency, n_docs: int, mean_length: float) ->
     for part, n in sorted(ordered.groupBy("part").agg(F.sum("n")).collect()):  # a row for each task
         offsets.append((part, total))
         total += n
-    offsets = spark.createDataFrame(offsets, "part int, offset long")
+    offsets = spark.createDataFrame(pa.table({"part": pa.array([o[0] for o in offsets], pa.int32()), "offset": pa.array([o[1] for o in offsets], pa.int64())}))
     return ordered.join(F.broadcast(offsets), "part").select("row", (F.col("offset") + F.col("at")).alias("place"))
 
 
@@ -228,9 +298,7 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], frequency: np.ndarray, n_docs: int, mean_length: float):
         lengths = np.array([len(d) for d in docs])
-        key = np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 16 | np.concatenate(docs)
-        key, times = np.unique(key, return_counts=True)
-        doc, term = key >> 16, key & 0xFFFF
+        doc, term, times = counted(docs)
         self.weight = inverse(frequency, n_docs)[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[doc] / mean_length))
         self.begin, self.term = np.searchsorted(doc, np.arange(len(docs) + 1)), term
         order = np.argsort(term, kind="stable")
@@ -245,17 +313,28 @@ class Index:
         rows = self.row[term[order]]
         self.dense = np.zeros((len(long_), self.n))
         self.dense[rows[rows >= 0], self.postings[rows >= 0]] = self.impact[rows >= 0]
+        self.strips: dict[int, np.ndarray] = {}
+
+    def long_scores(self, seed: int) -> np.ndarray:
+        """What the long lists add to each document's score."""
+        if self.n > SQUARE:
+            asks = np.zeros(len(self.dense))
+            row = self.row[self.term[self.begin[seed] : self.begin[seed + 1]]]
+            asks[row[row >= 0]] = 1
+            return asks @ self.dense
+        strip, at = divmod(seed, STRIP)
+        if strip not in self.strips:
+            self.strips[strip] = (self.dense[:, strip * STRIP : (strip + 1) * STRIP] > 0).T.astype(float) @ self.dense
+        return self.strips[strip][at].copy()
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, by score, ties in the shard's order."""
         terms = self.term[self.begin[seed] : self.begin[seed + 1]]
-        row = self.row[terms]
-        asks = np.zeros(len(self.dense))
-        asks[row[row >= 0]] = 1
-        score, rare = asks @ self.dense, terms[row < 0]
+        score, rare = self.long_scores(seed), terms[self.row[terms] < 0]
         if len(rare):
-            slices = [slice(a, b) for a, b in zip(self.ends[rare].tolist(), self.ends[rare + 1].tolist())]
-            score += np.bincount(np.concatenate([self.postings[s] for s in slices]), weights=np.concatenate([self.impact[s] for s in slices]), minlength=self.n)
+            begin, n = self.ends[rare], self.ends[rare + 1] - self.ends[rare]
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score += np.bincount(self.postings[at], weights=self.impact[at], minlength=self.n)
         score[~unused] = 0
         found = np.nonzero(score)[0]
         return found[np.argsort(-score[found], kind="stable")]
@@ -317,7 +396,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, *, id_col: str = "d
     ids = docs.select(F.col(f"`{id_col}`").alias("doc"), ids_of(spark, F.col(f"`{text_col}`"), tokenizer_path, pattern).alias("r")).select("doc", "r.*")
     ids, _ = written(ids.withColumn("row", F.monotonically_increasing_id()), "ids")
     n_docs, n_tokens = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    by_id = ids.select("ids", "n").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    by_id = ids.select("held").where("held is not null").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     frequency = np.zeros(65536, np.int64)
     for row in by_id.collect():  # at most as many rows as the vocabulary has ids
         frequency[row["id"]] = row["n"]
@@ -339,7 +418,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, *, id_col: str = "d
         return pa.Table.from_arrays([rows.column("doc").take(pa.array(columns[0]))] + [pa.array(c, pa.int64()) for c in columns[1:]], names=schema.names)
 
     if n_tokens > shard_tokens:
-        ids = ids.join(lexical_order(ids, sent, n_docs, mean), "row")
+        ids = ids.join(lexical_order(ids, sent, n_docs, mean).hint("shuffle_hash"), "row")  # the order's rows are small, those of ids are not sorted
         shard = F.expr(f"place div {shard_tokens}")
     else:  # one shard has all
         ids, shard = ids.withColumn("place", F.col("row")), F.lit(0).cast("long")

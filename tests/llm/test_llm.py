@@ -891,3 +891,91 @@ def test_against_sql(spark, name):
     columns = sorted(got.columns)
     rel = con.sql(registry.SQL[name]).select(*[duckdb.ColumnExpression(c) for c in columns])
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, rel.fetchall()))
+
+
+def test_ids_over_white_space_are_those_of_the_plain_call():
+    """Texts with and without two white spaces in a row take different patterns: same ids. No look ahead where none is needed."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), packing.Encoder(open(path, encoding="utf-8").read(), public_tokenizers.PATTERN)
+    calls = []
+    straight, fast = e.straight, e.fast
+    e.straight, e.fast = (lambda x: calls.append("straight") or straight(x)), (lambda x: calls.append("fast") or fast(x))
+    rng = random.Random(17)
+    parts = ["word", "'s", "'ll", "12", "é", "日本", "..", "?", "\x1c", "\x1f", "​", *packing.WHITE, " ", " ", "\n"]
+    for _ in range(5000):
+        x = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert np.frombuffer(e.encode(x), "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert calls.pop() == ("fast" if re.search(r"[^\S\x1c-\x1f]{2}", x) else "straight")
+    other = packing.Encoder(open(path, encoding="utf-8").read(), r"\S+|\s+")
+    assert other.straight is None and other.fast("a  b") == [64, 220, 220, 65]
+
+
+def test_terms_are_counted_for_documents_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 40, rng.integers(1, 90)).astype("<u2") for _ in range(300)] + [np.array([65535, 0, 65535], "<u2")]
+    of, terms, times = packing.counted(docs)
+    assert list(zip(of.tolist(), terms.tolist(), times.tolist())) == [(i, t, c) for i, d in enumerate(docs) for t, c in sorted(collections.Counter(d.tolist()).items())]
+    many = [np.array([i & 7], "<u2") for i in range(70_000)]
+    assert [x.tolist() for x in packing.counted(many)] == [list(range(70_000)), [i & 7 for i in range(70_000)], [1] * 70_000]
+    frequency = np.bincount(terms, minlength=65536)
+    idf = np.where(frequency > 1, packing.inverse(frequency, len(docs)), 0)
+    mean = float(np.mean([len(d) for d in docs]))
+    want = []
+    for d in docs:
+        weight = {t: idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t, c in collections.Counter(d.tolist()).items()}
+        want.append(sorted((t for t in weight if weight[t] > 0), key=lambda t: (-weight[t], t))[: packing.TELLING])
+    for together in (1, 100, 1 << 20):  # documents beyond it, several lists, one
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        assert [len(d) for x in packing.few(docs) for d in x] == [len(d) for d in docs]
+        assert [np.frombuffer(t, ">u2").tolist() for t, _ in packing.telling(docs, idf, mean)] == want
+    # The frequencies that the encoding's batches note are those of all documents.
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        some = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+        rows = some.select(packing.ids_of(spark, F.col("text"), path, public_tokenizers.PATTERN).alias("r")).select("r.*").localCheckpoint()
+        got = {r.id: r.n for r in rows.where("held is not null").select("held").mapInArrow(packing._frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        ids = packing.unpacked(rows.select("ids", "n").toArrow())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(ids) == 150 and got == dict(collections.Counter(i for d in ids for i in set(d.tolist())))
+
+
+def test_strips_of_scores_are_those_of_single_seeds(monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 120, 80).astype(np.uint16) for _ in range(90)]
+    frequency = np.bincount(packing.counted(docs)[1], minlength=65536)
+    monkeypatch.setattr(packing, "STRIP", 32)
+    strips, unused = packing.Index(docs, frequency, 90, 80.0), rng.random(90) < 0.7
+    got = [(strips.long_scores(i), strips.neighbours(i, unused), strips.neighbours(i, unused)) for i in range(90)]
+    monkeypatch.setattr(packing, "SQUARE", 10)
+    single = packing.Index(docs, frequency, 90, 80.0)
+    for i, (scores, first, again) in enumerate(got):
+        assert np.allclose(scores, single.long_scores(i), rtol=1e-12) and (first == again).all()
+        assert sorted(first) == sorted(single.neighbours(i, unused))
+
+
+def test_components_of_links(spark):
+    """Chains, cycles, leaves, a hub and a target that links nowhere."""
+    rng = random.Random(8)
+    links = {u: rng.choice([v for v in range(max(0, u - 9), u + 5) if v != u]) for u in range(400)}
+    links |= {1000 + i: 2000 for i in range(50)} | {3000: 3001, 3001: 3002, 3002: 3000, 3003: 3000}
+    at = {}
+
+    def top(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for u, v in links.items():
+        at[top(u)] = top(v)
+    rows = packing.components_of_links(spark.createDataFrame(list(links.items()), "u long, v long"), len(links)).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(rows) == len(got) and set(got) == set(links)
+    names = collections.defaultdict(set)
+    for u, c in got.items():
+        names[top(u)].add(c)
+    assert all(len(x) == 1 for x in names.values()) and len({min(x) for x in names.values()}) == len(names)
+    assert got[1000] == 2000 and all(top(c) == top(u) for u, c in got.items())
